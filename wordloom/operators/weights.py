@@ -23,14 +23,18 @@ IDF_MODES = ("floor", "real", "smooth", "spark")
 
 
 def term_counts(df: DataFrame, tokens: str | Column = "tokens", id_col: str = "doc_id",
-                keep: tuple[str, ...] = ()) -> DataFrame:
+                keep: tuple[str, ...] = (), min_len: int | None = None) -> DataFrame:
     """(doc_id, *keep, term, n): raw term frequency per document.
 
     ``keep`` carries per-document columns (e.g. ``side``) through the grouping.
+    ``min_len`` drops exploded pieces shorter than that (a code-generated
+    filter after ``explode``, cheaper than an array ``filter`` lambda).
     """
     tok = F.col(tokens) if isinstance(tokens, str) else tokens
-    return (df.select(F.col(id_col).alias("doc_id"), *keep, F.explode(tok).alias("term"))
-              .groupBy("doc_id", *keep, "term").agg(F.count(F.lit(1)).alias("n")))
+    rows = df.select(F.col(id_col).alias("doc_id"), *keep, F.explode(tok).alias("term"))
+    if min_len:
+        rows = rows.where(F.length("term") >= min_len)
+    return rows.groupBy("doc_id", *keep, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def with_tf(counts: DataFrame, mode: str = "raw") -> DataFrame:
@@ -48,9 +52,18 @@ def with_tf(counts: DataFrame, mode: str = "raw") -> DataFrame:
     raise ValueError(f"unknown tf mode {mode!r}")
 
 
-def document_frequency(counts: DataFrame) -> DataFrame:
-    """(term, df, cf): documents containing the term and its total count."""
-    return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("cf"))
+def document_frequency(counts: DataFrame, where: Column | None = None) -> DataFrame:
+    """(term, df, cf): documents containing the term and its total count.
+
+    ``where`` restricts the statistics to some rows (e.g. the fitted side) by
+    conditional aggregation, so callers can share one ``counts`` exchange
+    between fitting and applying instead of filtering it into two subtrees.
+    """
+    if where is None:
+        return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("cf"))
+    return (counts.groupBy("term")
+                  .agg(F.count_if(where).alias("df"), F.sum(F.when(where, F.col("n"))).alias("cf"))
+                  .where(F.col("df") > 0))
 
 
 def idf_expr(n_docs: Column, df: Column, mode: str = "floor") -> Column:
@@ -78,47 +91,51 @@ def count_docs(docs: DataFrame) -> Column:
     return docs.select(F.count(F.lit(1))).scalar()
 
 
-def fit_idf(counts: DataFrame, n_docs: Column, mode: str = "floor") -> DataFrame:
+def fit_idf(counts: DataFrame, n_docs: Column, mode: str = "floor",
+            where: Column | None = None) -> DataFrame:
     """(term, df, cf, idf) over the fitted corpus."""
-    return document_frequency(counts).withColumn("idf", idf_expr(n_docs, F.col("df"), mode))
+    return document_frequency(counts, where).withColumn("idf", idf_expr(n_docs, F.col("df"), mode))
 
 
-def top_terms(counts: DataFrame, max_features: int) -> DataFrame:
-    """The ``max_features`` most frequent terms (ties by term); bounded top-N."""
-    return (counts.groupBy("term").agg(F.sum("n").alias("cf"))
-                  .orderBy(F.desc("cf"), F.asc("term")).limit(max_features).select("term"))
+def top_terms(counts: DataFrame, max_features: int, where: Column | None = None) -> DataFrame:
+    """The ``max_features`` most frequent terms (ties by term); bounded top-N
+    (each partition keeps N candidates, one task merges them)."""
+    return (document_frequency(counts, where)
+            .orderBy(F.desc("cf"), F.asc("term")).limit(max_features).select("term"))
 
 
 def fit_tfidf(counts: DataFrame, n_docs: Column, max_features: int | None = None,
-              mode: str = "smooth") -> DataFrame:
-    """Model table (term, idf) fitted on ``counts`` of the reference side."""
-    model = fit_idf(counts, n_docs, mode).select("term", "idf")
+              mode: str = "smooth", where: Column | None = None) -> DataFrame:
+    """Model table (term, idf) fitted on the ``where`` rows of ``counts``."""
+    model = fit_idf(counts, n_docs, mode, where).select("term", "idf")
     if max_features:
-        model = model.join(top_terms(counts, max_features), "term", "left_semi")
+        model = model.join(top_terms(counts, max_features, where), "term", "left_semi")
     return model
 
 
 def apply_tfidf(counts: DataFrame, model: DataFrame, sublinear: bool = False,
-                normalize: bool = True) -> DataFrame:
-    """(doc_id, term, w): tf * idf, terms outside the model dropped, rows L2-normalised."""
+                normalize: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *keep, term, w): tf * idf, terms outside the model dropped,
+    rows L2-normalised (window per document: bounded by document length)."""
     tf = (F.lit(1.0) + F.log("n")) if sublinear else F.col("n").cast("double")
-    w = counts.join(model, "term").select("doc_id", "term", (tf * F.col("idf")).alias("w"))
+    w = counts.join(model, "term").select("doc_id", *keep, "term", (tf * F.col("idf")).alias("w"))
     if not normalize:
         return w
     nrm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
-    return w.select("doc_id", "term", (F.col("w") / nrm).alias("w"))
+    return w.select("doc_id", *keep, "term", (F.col("w") / nrm).alias("w"))
 
 
-def fit_vocabulary(counts: DataFrame, max_features: int | None = None) -> DataFrame:
+def fit_vocabulary(counts: DataFrame, max_features: int | None = None,
+                   where: Column | None = None) -> DataFrame:
     """Vocabulary (term) of the count matrix, cut to the most frequent terms."""
     if max_features:
-        return top_terms(counts, max_features)
-    return counts.select("term").distinct()
+        return top_terms(counts, max_features, where)
+    return document_frequency(counts, where).select("term")
 
 
-def apply_counts(counts: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(doc_id, term, n) restricted to the fitted vocabulary."""
-    return counts.join(vocab, "term", "left_semi").select("doc_id", "term", "n")
+def apply_counts(counts: DataFrame, vocab: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *keep, term, n) restricted to the fitted vocabulary."""
+    return counts.join(vocab, "term", "left_semi").select("doc_id", *keep, "term", "n")
 
 
 def with_term_ids(vocab: DataFrame) -> DataFrame:

@@ -1,5 +1,10 @@
-"""Similar-document plans: fit a weighting on the old side, apply to the new
-side, rank the k nearest old documents for every new one."""
+"""Similar-document plans: fit a weighting on the old side, apply it to both
+sides, rank the k nearest old documents for every new one.
+
+One scan, one tokenisation and one ``(doc_id, side, term, n)`` aggregate feed
+both the fit (conditional aggregates over the old rows) and the apply; the
+counts exchange is reused instead of re-planned per side.
+"""
 
 from __future__ import annotations
 
@@ -8,29 +13,42 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import weights as W
-from ..operators.similarity import sparse_topk
+from ..operators.similarity import sparse_topk_sided
 from .corpus import NEW, OLD, two_sided
 
+def is_old():
+    return F.col("side") == OLD
+
 
-def side_counts(spark: SparkSession, sf_dir: str, tokens_fn=T.unicode_terms) -> DataFrame:
+def side_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, side, term, n) with the 2+ word-character token rule."""
     docs = two_sided(spark, sf_dir)
-    return W.term_counts(docs.select("doc_id", "side", tokens_fn("text").alias("tokens")),
-                         keep=("side",))
+    pieces = F.split(F.lower("text"), r"[^\p{L}\p{N}_]+")
+    return W.term_counts(docs.select("doc_id", "side", pieces.alias("tokens")),
+                         keep=("side",), min_len=2)
+
+
+def side_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, is_query) for every document: new documents are the queries."""
+    return two_sided(spark, sf_dir, "n_chars").select("doc_id", (F.col("side") == NEW).alias("is_query"))
+
 
+def n_old_docs(spark: SparkSession, sf_dir: str):
+    return W.count_docs(two_sided(spark, sf_dir, "n_chars").where(is_old()))
 
-def tfidf_sides(spark: SparkSession, sf_dir: str, normalize: bool = True,
-                max_features: int | None = None, sublinear: bool = False):
-    """(w_old, w_new, ids_old, ids_new) of the TF-IDF matrix fitted on the old side."""
-    docs = two_sided(spark, sf_dir, "n_chars")
+
+def tfidf_weights(spark: SparkSession, sf_dir: str, normalize: bool = True,
+                  max_features: int | None = None, sublinear: bool = False) -> DataFrame:
+    """(doc_id, side, term, w): TF-IDF matrix fitted on old, applied to both sides."""
     counts = side_counts(spark, sf_dir)
-    old_c = counts.where(F.col("side") == OLD).drop("side")
-    new_c = counts.where(F.col("side") == NEW).drop("side")
-    ids_old = docs.where(F.col("side") == OLD).select("doc_id")
-    ids_new = docs.where(F.col("side") == NEW).select("doc_id")
-    model = W.fit_tfidf(old_c, W.count_docs(ids_old), max_features=max_features, mode="smooth")
-    w_old = W.apply_tfidf(old_c, model, sublinear=sublinear, normalize=normalize)
-    w_new = W.apply_tfidf(new_c, model, sublinear=sublinear, normalize=normalize)
-    return w_old, w_new, ids_old, ids_new
+    model = W.fit_tfidf(counts, n_old_docs(spark, sf_dir), max_features=max_features,
+                        mode="smooth", where=is_old())
+    return W.apply_tfidf(counts, model, sublinear=sublinear, normalize=normalize, keep=("side",))
+
+
+def _report(top: DataFrame) -> DataFrame:
+    return top.select(F.col("query_id").alias("new_id"), F.col("rank").cast("long").alias("rank"),
+                      F.col("ref_id").alias("old_id"), F.round("dist", 6).alias("dist"))
 
 
 def topk_tfidf(spark: SparkSession, sf_dir: str, k: int = 3, metric: str = "cosine") -> DataFrame:
@@ -39,23 +57,16 @@ def topk_tfidf(spark: SparkSession, sf_dir: str, k: int = 3, metric: str = "cosi
     Cosine is scale-free, so rows are not L2-normalised first (one shuffle
     less); Euclidean and Jaccard see the normalised rows, as in the matrix.
     """
-    w_old, w_new, ids_old, ids_new = tfidf_sides(spark, sf_dir, normalize=(metric != "cosine"))
-    top = sparse_topk(w_new, w_old, k, metric, query_ids=ids_new, ref_ids=ids_old)
-    return top.select(F.col("query_id").alias("new_id"), "rank", F.col("ref_id").alias("old_id"),
-                      F.round("dist", 6).alias("dist"))
+    w = tfidf_weights(spark, sf_dir, normalize=(metric != "cosine"))
+    w = w.select("doc_id", (F.col("side") == NEW).alias("is_query"), "term", "w")
+    return _report(sparse_topk_sided(w, side_ids(spark, sf_dir), k, metric))
 
 
 def topk_counts_jaccard(spark: SparkSession, sf_dir: str, k: int = 3,
                         max_features: int | None = None) -> DataFrame:
     """Real-valued Jaccard top-k over the count matrix fitted on the old side."""
-    docs = two_sided(spark, sf_dir)
     counts = side_counts(spark, sf_dir)
-    old_c = counts.where(F.col("side") == OLD).drop("side")
-    new_c = counts.where(F.col("side") == NEW).drop("side")
-    vocab = W.fit_vocabulary(old_c, max_features)
-    to_w = lambda c: W.apply_counts(c, vocab).select("doc_id", "term", F.col("n").alias("w"))
-    top = sparse_topk(to_w(new_c), to_w(old_c), k, "jaccard",
-                      query_ids=docs.where(F.col("side") == NEW).select("doc_id"),
-                      ref_ids=docs.where(F.col("side") == OLD).select("doc_id"))
-    return top.select(F.col("query_id").alias("new_id"), "rank", F.col("ref_id").alias("old_id"),
-                      F.round("dist", 6).alias("dist"))
+    vocab = W.fit_vocabulary(counts, max_features, where=is_old())
+    w = W.apply_counts(counts, vocab, keep=("side",)).select(
+        "doc_id", (F.col("side") == NEW).alias("is_query"), "term", F.col("n").alias("w"))
+    return _report(sparse_topk_sided(w, side_ids(spark, sf_dir), k, "jaccard"))

@@ -58,5 +58,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# primary key of each input table (hash-partitioning key for small scans)
+TABLE_KEYS = {"documents": "doc_id", "labels": "doc_id", "embeddings": "vec_id",
+              "pages": "page_id", "benchmark": "item_id", "conversations": "conv_id"}
+
+
+def balanced(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Spread a scan that yields fewer splits than twice the cores.
+
+    Small inputs written as one row group are read by a single task; hashing a
+    *small* scan on its key is cheap (no sort, unlike round-robin) and lets
+    every core tokenise; the hash partitioning on the id also satisfies later
+    groupings that start with that id. Large inputs already have many more
+    splits than cores and are left alone (no shuffle of raw text at scale).
+    """
+    want = 2 * df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want, key) if key else df.repartition(want)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return balanced(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"), TABLE_KEYS.get(name))
