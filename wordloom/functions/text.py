@@ -21,6 +21,7 @@ LETTERS_ONLY_PATTERN = "[^a-zA-Z]"             # ASCII letters kept, all else ->
 PUNCT_TOKEN_PATTERN = r"[\w']+|[.,!?;/-]"      # word/apostrophe runs or one punctuation mark
 WORD_TOKEN_PATTERN = r"\w+(?=n't)|n't|'\w+|\w+(?:-\w+)*|[^\w\s]"  # Treebank-like split
 SENTENCE_BREAK = "\u0001"
+WS = r"[ \t\n\x0B\f\r]+"                          # str.split() whitespace, spelled out
 
 
 def _c(col) -> Column:
@@ -41,7 +42,7 @@ def strip_url_lines(col) -> Column:
 
 def whitespace_tokens(col) -> Column:
     """``str.split()``: split on runs of whitespace, no empty pieces."""
-    return F.filter(F.split(_c(col), r"\s+"), lambda x: x != F.lit(""))
+    return F.filter(F.split(_c(col), WS), lambda x: x != F.lit(""))
 
 
 def drop_at_tokens(col) -> Column:
@@ -96,7 +97,7 @@ def word_list(col, remove_stops: bool = False, stops: Iterable[str] = ENGLISH_ST
 
 
 def unicode_terms(col, min_len: int = 2) -> Column:
-    """Lower-cased maximal runs of Unicode word characters, ``min_len`` or longer
+    r"""Lower-cased maximal runs of Unicode word characters, ``min_len`` or longer
     (sklearn's default token rule, ``[\p{L}\p{N}_]{2,}``).
 
     Implemented as a split on the complement class plus a length filter: the
@@ -123,7 +124,7 @@ def word_tokens(col) -> Column:
 
 def split_sentences(col) -> Column:
     """Split after ., ! or ? followed by whitespace; empty pieces dropped."""
-    marked = F.regexp_replace(F.trim(_c(col)), r"([.!?])\s+", "$1" + SENTENCE_BREAK)
+    marked = F.regexp_replace(F.trim(_c(col)), r"([.!?])" + WS, "$1" + SENTENCE_BREAK)
     return F.filter(F.split(marked, SENTENCE_BREAK), lambda s: F.length(s) > 0)
 
 

@@ -83,3 +83,62 @@ sh AS (SELECT a.doc_id AS new_id, b.doc_id AS old_id, count(*) AS both_nz,
                    / (coalesce(x.nnz, 0) + coalesce(y.nnz, 0) - coalesce(sh.both_nz, 0)) END AS dist
        FROM ({pairs}) p LEFT JOIN sh USING (new_id, old_id)
        LEFT JOIN nz x ON x.doc_id = p.new_id LEFT JOIN nz y ON y.doc_id = p.old_id''', k)}"""
+
+
+# ----------------------------------------------------------------------------- text
+WS = r"[ \t\n\x0B\f\r]+"
+STOPS = sql_list(ENGLISH_STOP_WORDS)
+
+
+def _ws_tokens(x: str) -> str:
+    return f"list_filter(regexp_split_to_array({x}, '{WS}'), lambda t: t <> '')"
+
+
+def _clean_tokens(x: str = "text") -> str:
+    s1 = f"regexp_replace({x}, '(?m)^https?://.*[\\r\\n]*', '', 'g')"
+    s2 = f"array_to_string(list_filter({_ws_tokens(s1)}, lambda t: NOT starts_with(t, '@')), ' ')"
+    s3 = f"translate({s2}, chr(10) || chr(9), '  ')"
+    s4 = f"regexp_replace(regexp_replace({s3}, '[^a-zA-Z]', ' ', 'g'), ' +', ' ', 'g')"
+    return f"list_filter({_ws_tokens(s4)}, lambda t: NOT list_contains({STOPS}, t))"
+
+
+CLEANED_OLD_NEW = f"""SELECT doc_id, len(toks)::BIGINT AS n_tokens, array_to_string(toks, ' ') AS clean
+FROM (SELECT doc_id, {_clean_tokens()} AS toks FROM documents)"""
+
+FILTER_REPORT = f"""SELECT count(*) AS n_before, count(*) FILTER (WHERE n > 0) AS n_after,
+       count(*) FILTER (WHERE n = 0) AS n_removed
+FROM (SELECT len({_clean_tokens()}) AS n FROM documents)"""
+
+_SENTS = f"""list_filter(string_split(regexp_replace(trim(text), '([.!?]){WS}', '\\1' || chr(1), 'g'), chr(1)),
+                         lambda s: length(s) > 0)"""
+_WORDS = f"""list_filter(list_transform({_SENTS},
+               lambda s: {_ws_tokens("lower(regexp_replace(s, '[^a-zA-Z]', ' ', 'g'))")}), lambda w: len(w) > 0)"""
+SENTENCE_STATS = f"""SELECT doc_id, len({_SENTS})::BIGINT AS n_sentences, len({_WORDS})::BIGINT AS n_word_lists,
+       len(flatten({_WORDS}))::BIGINT AS n_words FROM documents"""
+
+_PUNCT = "regexp_extract_all(text, '[\\w'']+|[.,!?;/-]')"
+PUNCT_TOKEN_STATS = f"""SELECT doc_id, len({_PUNCT})::BIGINT AS n_tokens,
+       len(list_filter({_PUNCT}, lambda x: regexp_full_match(x, '[.,!?;/-]')))::BIGINT AS n_punct FROM documents"""
+
+ALPHA_TOKEN_STATS = f"""SELECT doc_id, len({_ws_tokens('lower(text)')})::BIGINT AS n_tokens,
+       len(list_filter({_ws_tokens('lower(text)')}, lambda x: regexp_full_match(x, '\\p{{L}}+')))::BIGINT AS n_alpha
+FROM documents"""
+
+_HDR = "CASE WHEN instr(text, chr(10) || chr(10)) > 0 THEN substr(text, instr(text, chr(10) || chr(10)) + 2) ELSE '' END"
+_FOOT_LINES = f"string_split(regexp_replace(h, '^\\s+|\\s+$', '', 'g'), chr(10))"
+NEWSGROUP_STRIPPED = f"""WITH a AS (SELECT doc_id, {_HDR} AS h FROM documents),
+b AS (SELECT doc_id, h, {_FOOT_LINES} AS lines FROM a),
+c AS (SELECT doc_id, h, lines,
+             list_max(list_transform(range(1, len(lines) + 1),
+                      lambda i: CASE WHEN regexp_full_match(lines[i], '\\s*-*\\s*') THEN i ELSE 0 END)) AS idx
+      FROM b),
+d AS (SELECT doc_id, CASE WHEN idx > 1 THEN array_to_string(lines[1:idx - 1], chr(10)) ELSE h END AS f FROM c),
+e AS (SELECT doc_id, array_to_string(list_filter(string_split(f, chr(10)),
+             lambda ln: NOT regexp_matches(ln, '(writes in|writes:|wrote:|says:|said:|^In article|^Quoted from|^\\||^>)')),
+             chr(10)) AS body FROM d)
+SELECT doc_id, length(body)::BIGINT AS n_chars, md5(body) AS body_md5 FROM e"""
+
+CONVERSATION_TOKENS = f"""SELECT conv_id, count(*) AS n_turns, sum(n) AS n_tokens FROM (
+  SELECT conv_id, len(list_filter({_ws_tokens("lower(regexp_replace(text, '[^a-zA-Z]', ' ', 'g'))")},
+                                  lambda t: NOT list_contains({STOPS}, t))) AS n
+  FROM conversations) GROUP BY conv_id"""
