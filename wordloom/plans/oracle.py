@@ -142,3 +142,45 @@ CONVERSATION_TOKENS = f"""SELECT conv_id, count(*) AS n_turns, sum(n) AS n_token
   SELECT conv_id, len(list_filter({_ws_tokens("lower(regexp_replace(text, '[^a-zA-Z]', ' ', 'g'))")},
                                   lambda t: NOT list_contains({STOPS}, t))) AS n
   FROM conversations) GROUP BY conv_id"""
+
+
+# ----------------------------------------------------------------------------- weighting
+_WORDS_DOC = _ws_tokens("lower(regexp_replace(text, '[^a-zA-Z]', ' ', 'g'))")
+WORD_COUNTS = f"""wt AS (SELECT doc_id, side, unnest({_WORDS_DOC}) AS term FROM d),
+wc AS (SELECT doc_id, side, term, count(*) AS n FROM wt GROUP BY ALL)"""
+
+TF_MODES = f"""WITH {SIDES}, {WORD_COUNTS}
+SELECT doc_id, term, n, round(1 + ln(n), 6) AS tf_sublinear,
+       round(0.5 + 0.5 * n / max(n) OVER (PARTITION BY doc_id), 6) AS tf_augmented FROM wc"""
+
+IDF_TABLE = f"""WITH {SIDES}, {WORD_COUNTS},
+nold AS (SELECT count(*)::DOUBLE AS n FROM d WHERE side = 'old'),
+x AS (SELECT term, count(*) AS df FROM wc WHERE side = 'old' GROUP BY term),
+y AS (SELECT term, df, round(1 + ln(floor(nold.n / df)), 6) AS idf_floor, round(1 + ln(nold.n / df), 6) AS idf_real
+      FROM x, nold)
+SELECT *, min(idf_floor) OVER () AS min_idf_floor FROM y"""
+
+TFIDF_MATRIX = f"""WITH {SIDES}, {COUNTS}, {TFIDF}
+SELECT doc_id, side, term, round(w, 6) AS w FROM w"""
+
+
+def tfidf_sublinear_top_sql(max_features: int = 5000) -> str:
+    return f"""WITH {SIDES}, {COUNTS},
+nold AS (SELECT count(*)::DOUBLE AS n FROM d WHERE side = 'old'),
+st AS (SELECT term, count(*) AS df, sum(n) AS cf FROM c WHERE side = 'old' GROUP BY term),
+top AS (SELECT term FROM st ORDER BY cf DESC, term LIMIT {max_features}),
+idf AS (SELECT st.term, ln((nold.n + 1) / (df + 1)) + 1 AS idf FROM st, nold WHERE st.term IN (SELECT term FROM top)),
+w0 AS (SELECT c.doc_id, c.side, c.term, (1 + ln(c.n)) * idf.idf AS w FROM c JOIN idf ON c.term = idf.term),
+w AS (SELECT doc_id, side, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM w0)
+SELECT doc_id, side, term, round(w, 6) AS w FROM w"""
+
+
+def count_matrix_sql(max_features: int = 1000) -> str:
+    return f"""WITH {SIDES}, {COUNTS},
+top AS (SELECT term FROM c WHERE side = 'old' GROUP BY term ORDER BY sum(n) DESC, term LIMIT {max_features})
+SELECT doc_id, side, term, n FROM c WHERE term IN (SELECT term FROM top)"""
+
+
+DOC_LENGTHS = f"""WITH {SIDES}
+SELECT doc_id, side, len({_WORDS_DOC})::BIGINT AS n_tokens, len(list_distinct({_WORDS_DOC}))::BIGINT AS n_distinct
+FROM d"""
