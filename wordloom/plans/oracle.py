@@ -184,3 +184,120 @@ SELECT doc_id, side, term, n FROM c WHERE term IN (SELECT term FROM top)"""
 DOC_LENGTHS = f"""WITH {SIDES}
 SELECT doc_id, side, len({_WORDS_DOC})::BIGINT AS n_tokens, len(list_distinct({_WORDS_DOC}))::BIGINT AS n_distinct
 FROM d"""
+
+
+# ----------------------------------------------------------------------------- embeddings
+EMB = """e AS (SELECT vec_id AS doc_id, vec_id % 5 = 0 AS is_query, embedding::DOUBLE[] AS vec, label FROM embeddings)"""
+
+
+def topk_embeddings_sql(k: int = 5, metric: str = "cosine") -> str:
+    if metric == "cosine":
+        dist = """1 - list_dot_product(q.vec, r.vec) / (sqrt(list_dot_product(q.vec, q.vec)) * sqrt(list_dot_product(r.vec, r.vec)))"""
+    else:
+        dist = """sqrt(list_sum(list_transform(list_zip(q.vec, r.vec), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))"""
+    pairs = f"""SELECT q.doc_id AS new_id, r.doc_id AS old_id, {dist} AS dist
+                FROM e q, e r WHERE q.is_query AND NOT r.is_query"""
+    return f"""WITH {EMB},
+{topk_pairs(pairs, k)}"""
+
+
+def most_similar_benchmark_sql(k: int = 10) -> str:
+    return f"""WITH d AS (SELECT doc_id, FALSE AS q, text FROM documents UNION ALL
+                SELECT item_id, TRUE, text FROM benchmark),
+t AS (SELECT doc_id, q, unnest(regexp_extract_all(lower(text), '{TERM_RE}')) AS term FROM d),
+c AS (SELECT doc_id, q, term, count(*) AS n FROM t GROUP BY ALL),
+nd AS (SELECT count(*)::DOUBLE AS n FROM documents),
+idf AS (SELECT term, ln((nd.n + 1) / (count(*) + 1)) + 1 AS idf FROM c, nd WHERE NOT q GROUP BY term, nd.n),
+w AS (SELECT c.doc_id, c.q, c.term, c.n * idf.idf AS w FROM c JOIN idf USING (term)),
+nrm AS (SELECT doc_id, q, sqrt(sum(w * w)) AS nrm FROM w GROUP BY doc_id, q),
+dots AS (SELECT a.doc_id AS item_id, b.doc_id, sum(a.w * b.w) AS dot FROM w a JOIN w b USING (term)
+         WHERE a.q AND NOT b.q GROUP BY 1, 2),
+p AS (SELECT i.doc_id AS item_id, x.doc_id FROM d i, d x WHERE i.q AND NOT x.q),
+s AS (SELECT p.item_id, p.doc_id,
+             CASE WHEN coalesce(ni.nrm, 0) = 0 OR coalesce(nx.nrm, 0) = 0 THEN 'NaN'::DOUBLE
+                  ELSE 1 - coalesce(dots.dot, 0) / (ni.nrm * nx.nrm) END AS dist
+      FROM p LEFT JOIN dots USING (item_id, doc_id)
+      LEFT JOIN nrm ni ON ni.doc_id = p.item_id AND ni.q LEFT JOIN nrm nx ON nx.doc_id = p.doc_id AND NOT nx.q),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(dist, 7), doc_id) AS rank FROM s)
+SELECT item_id, rank, doc_id, round(1 - dist, 6) AS similarity FROM r WHERE rank <= {k}"""
+
+
+def _hash_vec(dim: int = 8) -> str:
+    comps = ", ".join(
+        f"('0x' || substr(md5(term || '#{i // 8}'), {4 * (i % 8) + 1}, 4))::BIGINT / 65535.0 - 0.5"
+        for i in range(dim))
+    return f"[{comps}]"
+
+
+def word_vectors_cte(dim: int = 8) -> str:
+    return f"""{WORD_COUNTS},
+vocab AS (SELECT term FROM wc GROUP BY term HAVING count(*) >= 2),
+raw AS (SELECT term, {_hash_vec(dim)} AS v FROM vocab),
+wv AS (SELECT term, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS vec FROM raw)"""
+
+
+def _vec_of(rows: str, weight: str, keys: str = "doc_id, side") -> str:
+    return f"""SELECT {keys}, list(round(s / cnt, 6) ORDER BY i) AS vec FROM (
+  SELECT {keys}, i, sum({weight} * vec[i]) AS s, any_value(cnt) AS cnt FROM (
+    SELECT *, sum(n) OVER (PARTITION BY doc_id) AS cnt FROM ({rows})) x,
+    range(1, 9) AS g(i) GROUP BY {keys}, i) GROUP BY {keys}"""
+
+
+WORD_VECTORS_TABLE = f"""WITH {SIDES}, {word_vectors_cte()}
+SELECT term, list_transform(vec, lambda x: round(x, 6)) AS vec FROM wv"""
+
+DOC_VECTORS_MEAN = f"""WITH {SIDES}, {word_vectors_cte()}
+{_vec_of("SELECT wc.doc_id, wc.side, wc.n, wv.vec FROM wc JOIN wv USING (term)", "n")}"""
+
+
+def doc_vectors_tfidf_sql(tf_mode: str = "raw") -> str:
+    tf = {"raw": "n", "sublinear": "1 + ln(n)",
+          "augmented": "0.5 + 0.5 * n / max(n) OVER (PARTITION BY doc_id)"}[tf_mode]
+    return f"""WITH {SIDES}, {word_vectors_cte()},
+nold AS (SELECT count(*)::DOUBLE AS n FROM d WHERE side = 'old'),
+idf AS (SELECT term, 1 + ln(floor(nold.n / count(*))) AS idf FROM wc, nold WHERE side = 'old' GROUP BY term, nold.n),
+mn AS (SELECT min(idf) AS m FROM idf),
+inv AS (SELECT wc.* FROM wc WHERE term IN (SELECT term FROM wv)),
+tf AS (SELECT *, {tf} AS tf FROM inv),
+rows AS (SELECT tf.doc_id, tf.side, tf.n, tf.n * tf.tf * coalesce(idf.idf, mn.m) AS wt, wv.vec
+         FROM tf LEFT JOIN idf USING (term) CROSS JOIN mn JOIN wv USING (term))
+{_vec_of("SELECT * FROM rows", "wt")}"""
+
+
+_SEQ_FILTERS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~' + "' || chr(9) || chr(10) || '"
+_SEQ_TOKENS = ("list_filter(string_split(translate(lower(text), '" + _SEQ_FILTERS.replace("'", "''").replace("'' || chr(9) || chr(10) || ''", "' || chr(9) || chr(10) || '")
+               + "', repeat(' ', 33)), ' '), lambda x: x <> '')")
+SEQ_TOKENS = f"""st AS (SELECT doc_id, unnest(tk) AS term, unnest(range(len(tk))) AS pos
+       FROM (SELECT doc_id, {_SEQ_TOKENS} AS tk FROM documents)),
+widx AS (SELECT term, row_number() OVER (ORDER BY count(*) DESC, min((doc_id, pos))) AS term_id, count(*) AS n
+         FROM st GROUP BY term)"""
+
+WORD_INDEX = f"""WITH {SEQ_TOKENS} SELECT term, term_id, n FROM widx"""
+
+
+def padded_sequences_sql(length: int = 50) -> str:
+    return f"""WITH {SEQ_TOKENS},
+s AS (SELECT doc_id, list(term_id ORDER BY pos) AS seq FROM st JOIN widx USING (term) GROUP BY doc_id),
+a AS (SELECT documents.doc_id, coalesce(seq, []::BIGINT[]) AS seq FROM documents LEFT JOIN s USING (doc_id))
+SELECT doc_id, list_concat(list_transform(range(greatest({length} - len(seq), 0)), lambda x: 0::BIGINT),
+                           seq[greatest(len(seq) - {length}, 0) + 1:]) AS seq FROM a"""
+
+
+EMBEDDING_MATRIX = f"""WITH {SIDES}, {word_vectors_cte()}, {SEQ_TOKENS}
+SELECT term_id, list_transform(coalesce(wv.vec, [0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]), lambda x: round(x, 6)) AS vec
+FROM widx LEFT JOIN wv USING (term)
+UNION ALL SELECT 0, [0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]"""
+
+
+def subsampled_counts_sql(threshold: float = 1e-3, seed: int = 7) -> str:
+    return f"""WITH tk AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS pos
+            FROM (SELECT doc_id, {_WORDS_DOC} AS w FROM documents)),
+tot AS (SELECT count(*)::DOUBLE AS n FROM tk),
+cf AS (SELECT term, count(*) / any_value(tot.n) AS f FROM tk, tot GROUP BY term),
+x AS (SELECT doc_id, ('0x' || substr(md5(doc_id::VARCHAR || ':' || pos::VARCHAR || ':{seed}'), 1, 8))::BIGINT
+                     / 4294967296.0 < (sqrt(f / {threshold}) + 1) * {threshold} / f AS keep
+      FROM tk JOIN cf USING (term))
+SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (WHERE keep) AS n_kept FROM x GROUP BY doc_id"""
+
+
+ENCODE_SOURCES = """SELECT source, dense_rank() OVER (ORDER BY source) AS code FROM (SELECT DISTINCT source FROM documents)"""
