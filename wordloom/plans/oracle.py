@@ -301,3 +301,44 @@ SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (WHERE keep) AS n_kept FROM
 
 
 ENCODE_SOURCES = """SELECT source, dense_rank() OVER (ORDER BY source) AS code FROM (SELECT DISTINCT source FROM documents)"""
+
+
+# ----------------------------------------------------------------------------- clusters
+LABEL_COUNTS = "SELECT label, count(*) AS n FROM embeddings GROUP BY label"
+
+_ASSIGN = f"""{EMB},
+cen AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS cluster_id, vec FROM (SELECT * FROM e ORDER BY doc_id LIMIT 10)),
+dd AS (SELECT e.doc_id, cen.cluster_id, e.label, e.vec,
+              sqrt(list_sum(list_transform(list_zip(e.vec, cen.vec), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS dist
+       FROM e, cen),
+asg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(dist, 7), cluster_id) AS r FROM dd)
+        WHERE r = 1),
+cont AS (SELECT cluster_id, label, count(*) AS n FROM asg GROUP BY cluster_id, label)"""
+
+CLUSTER_CONTINGENCY = f"WITH {_ASSIGN} SELECT cluster_id, label, n FROM cont"
+
+CLUSTER_SCORES_FIXED = f"""WITH {_ASSIGN},
+per AS (SELECT cluster_id, sum(n) AS nc, max(n) AS mx, sum(n * log2(n)) AS snl FROM cont GROUP BY cluster_id)
+SELECT sum(nc) AS n, round(sum(mx) / sum(nc), 6) AS purity,
+       round(sum(nc * (snl / nc - log2(nc))) / sum(nc), 6) AS entropy FROM per"""
+
+CLUSTER_MAJORITY = f"""WITH {_ASSIGN}
+SELECT cluster_id, label, n FROM (
+  SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, label) AS r FROM cont) WHERE r = 1"""
+
+KMEANS_STEP = f"""WITH {_ASSIGN}
+SELECT cluster_id, any_value(n) AS n, list(round(m, 6) ORDER BY i) AS vec, round(any_value(cost), 4) AS cost FROM (
+  SELECT cluster_id, i, avg(vec[i]) AS m, count(*) AS n, any_value(cost) AS cost FROM (
+     SELECT *, sum(dist * dist) OVER (PARTITION BY cluster_id) AS cost FROM asg) a,
+     range(1, 65) AS g(i) GROUP BY cluster_id, i) GROUP BY cluster_id"""
+
+TOP_TERMS_PER_SOURCE = f"""WITH t AS (SELECT doc_id, source, unnest(regexp_extract_all(lower(text), '{TERM_RE}')) AS term FROM documents),
+c AS (SELECT doc_id, source, term, count(*) AS n FROM t GROUP BY ALL),
+nd AS (SELECT count(*)::DOUBLE AS n FROM documents),
+idf AS (SELECT term, ln((nd.n + 1) / (count(*) + 1)) + 1 AS idf FROM c, nd GROUP BY term, nd.n),
+w0 AS (SELECT c.doc_id, c.source, c.term, c.n * idf.idf AS w FROM c JOIN idf USING (term)),
+w AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS wn FROM w0),
+sz AS (SELECT source, count(*) AS nd FROM documents GROUP BY source),
+cen AS (SELECT source, term, sum(wn) / any_value(nd) AS weight FROM w JOIN sz USING (source) GROUP BY source, term),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY weight DESC, term) AS rank FROM cen)
+SELECT source, rank, term, round(weight, 6) AS weight FROM r WHERE rank <= 20"""
