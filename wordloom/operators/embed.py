@@ -74,3 +74,19 @@ def tfidf_mean_vectors(counts: DataFrame, wv: DataFrame, fit_where: Column, n_fi
               .join(wv, "term"))
     weight = F.col("n") * F.col("tf") * F.col("idf")
     return _weighted_sum(rows, list(keys), weight, F.col("n"))
+
+
+def train_word_vectors(sentences: DataFrame, col: str = "sentence", dim: int = 300, window: int = 10,
+                       min_count: int = 0, max_iter: int = 1, seed: int = 1,
+                       partitions: int | None = None, normalize: bool = True) -> DataFrame:
+    """Train word vectors on a table of token arrays (one row per sentence) with
+    MLlib Word2Vec (skip-gram, hierarchical softmax) and return
+    (term, vec ARRAY<DOUBLE>), unit length by default. More ``partitions``
+    train faster at some cost in quality."""
+    from pyspark.ml.feature import Word2Vec
+    w2v = Word2Vec(vectorSize=dim, windowSize=window, minCount=min_count, maxIter=max_iter,
+                   seed=seed, inputCol=col, outputCol="_v",
+                   numPartitions=partitions or 1)
+    model = w2v.fit(sentences.select(col))
+    vecs = model.getVectors().select(F.col("word").alias("term"), vector_to_array("vector").alias("vec"))
+    return normalize_vectors(vecs) if normalize else vecs
