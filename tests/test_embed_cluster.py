@@ -92,3 +92,33 @@ def test_f11_word_index_and_pad(spark):
     assert idx == {"cat": 1, "dog": 2, "fish": 3, "bird": 4}
     seqs = {r["doc_id"]: r["seq"] for r in S.pad(S.id_sequences(toks, S.word_index(toks)), 5).collect()}
     assert seqs[2] == [0, 1, 4, 4, 2]
+
+
+def test_single_linkage_f8(spark):
+    from wordloom.operators import linkage as L
+    rows = {0: [0.0, 0.926937, 0.375218, 0.0], 1: [0.0, 0.0, 0.629228, 0.777221],
+            2: [0.891844, 0.351570, 0.284626, 0.0], 3: [0.0, 0.0, 0.0, 1.0]}
+    pts = spark.createDataFrame([(k, v) for k, v in rows.items()], "doc_id long, vec array<double>")
+    mst = {(r["a"], r["b"]): r["height"] for r in L.minimum_spanning_tree(pts).collect()}
+    assert len(mst) == 3
+    assert math.isclose(mst[(1, 3)], 0.667501, abs_tol=1e-5)
+    assert math.isclose(mst[(0, 2)], 1.065195, abs_tol=1e-5)
+    assert math.isclose(max(mst.values()), 1.236044, abs_tol=1e-5)
+    two = {r["doc_id"]: r["cluster_id"] for r in L.cut(pts, L.minimum_spanning_tree(pts), 2).collect()}
+    assert two[0] == two[2] and two[1] == two[3] and two[0] != two[1]
+
+
+def test_mst_matches_prim(spark):
+    import numpy as np
+    from wordloom.operators import linkage as L
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(60, 3))
+    pts = spark.createDataFrame([(i, x[i].tolist()) for i in range(60)], "doc_id long, vec array<double>")
+    got = sorted(r["height"] for r in L.minimum_spanning_tree(pts).collect())
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    seen, best, total = {0}, d[0].copy(), []
+    for _ in range(59):
+        best[list(seen)] = np.inf
+        j = int(np.argmin(best)); total.append(best[j]); seen.add(j)
+        best = np.minimum(best, d[j])
+    assert np.allclose(sorted(total), got)

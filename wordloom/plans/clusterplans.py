@@ -151,3 +151,20 @@ def pca_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     pts = points(spark, sf_dir)
     out = R.pca_2d(pts.select("doc_id", "vec"), 2)
     return out.select(F.col("doc_id").alias("vec_id"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+def single_linkage_mst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single-linkage merge heights: (a, b, height) minimum spanning tree edges."""
+    from ..operators import linkage as L
+    pts = points(spark, sf_dir)
+    mst = L.minimum_spanning_tree(pts.select("doc_id", "vec"))
+    return mst.select("a", "b", F.round("height", 6).alias("height"))
+
+
+def single_linkage_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single-linkage tree cut at k clusters, scored against the labels."""
+    from ..operators import linkage as L
+    pts = points(spark, sf_dir)
+    p = pts.select("doc_id", "vec")
+    assign = L.cut(p, L.minimum_spanning_tree(p), K)
+    return _scored("single_linkage", assign, pts.select("doc_id", "label"))
