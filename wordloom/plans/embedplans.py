@@ -110,3 +110,15 @@ def encode_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.ranking import dense_index
     src = table(spark, sf_dir, "documents").select("source").distinct()
     return dense_index(src, [F.asc("source")], name="code")
+
+
+def sequence_autoencoder_codes(spark: SparkSession, sf_dir: str, length: int = SEQ_LEN, dim: int = 30) -> DataFrame:
+    """Sequence representation: padded id sequences -> embedding rows -> flattened
+    -> optimal linear autoencoder codes (``dim`` components)."""
+    from ..operators import reduce as R
+    toks = _seq_tokens(spark, sf_dir)
+    idx = S.word_index(toks)
+    seqs = S.pad(S.id_sequences(toks, idx, all_docs=table(spark, sf_dir, "documents")), length)
+    emb = S.embedding_matrix(idx, word_vectors(spark, sf_dir), WV_DIM)
+    codes = R.linear_autoencoder(R.embedded_sequences(seqs, emb), dim)
+    return codes.select("doc_id", V.round_array("code", 6).alias("code"))
