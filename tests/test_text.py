@@ -59,3 +59,8 @@ def test_sample_corpus_cleaning_golden(spark):
     assert long.select(F.lower("w")).distinct().count() == 3600
     first = {r["name"][:10]: r["t"][:6] for r in toks.collect()}
     assert [w.lower() for w in first["fb07058d88"]] == "a prosecutor has dismissed allegations that".split()
+
+
+def test_custom_splitter(spark):
+    got = one(spark, lambda c: T.sentence_words(c, splitter=lambda x: F.split(x, "\n")), "A b.\nC d")
+    assert got == [["a", "b"], ["c", "d"]]

@@ -128,10 +128,15 @@ def split_sentences(col) -> Column:
     return F.filter(F.split(marked, SENTENCE_BREAK), lambda s: F.length(s) > 0)
 
 
-def sentence_words(col, remove_stops: bool = False) -> Column:
+def sentence_words(col, remove_stops: bool = False, splitter=None) -> Column:
     """Document -> sentences -> word lists, empty sentences skipped *before*
-    stop-word removal (so an empty list can reappear afterwards)."""
-    sents = F.transform(split_sentences(col), lambda s: word_list(s))
+    stop-word removal (so an empty list can reappear afterwards).
+
+    ``splitter`` (Column -> ARRAY<STRING> Column) replaces the default
+    punctuation rule, e.g. ``lambda c: F.split(c, "\\n")``.
+    """
+    pieces = (splitter or split_sentences)(col if not isinstance(col, str) else F.col(col))
+    sents = F.transform(pieces, lambda s: word_list(s))
     sents = F.filter(sents, lambda s: F.size(s) > 0)
     if remove_stops:
         sents = F.transform(sents, lambda s: remove_stopwords(s))
