@@ -31,9 +31,10 @@ def term_counts(df: DataFrame, tokens: str | Column = "tokens", id_col: str = "d
     filter after ``explode``, cheaper than an array ``filter`` lambda).
     """
     tok = F.col(tokens) if isinstance(tokens, str) else tokens
-    rows = df.select(F.col(id_col).alias("doc_id"), *keep, F.explode(tok).alias("term"))
-    if min_len:
-        rows = rows.where(F.length("term") >= min_len)
+    # explode_outer: a plain explode makes Catalyst infer ``size(tokens) > 0`` and
+    # push it below the scan-side exchange, tokenising every document twice
+    rows = df.select(F.col(id_col).alias("doc_id"), *keep, F.explode_outer(tok).alias("term"))
+    rows = rows.where(F.length("term") >= (min_len or 0)) if min_len else rows.where(F.col("term").isNotNull())
     return rows.groupBy("doc_id", *keep, "term").agg(F.count(F.lit(1)).alias("n"))
 
 

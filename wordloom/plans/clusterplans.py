@@ -12,7 +12,7 @@ from ..functions import vectors as V
 from ..operators import cluster as C
 from ..operators import reduce as R
 from ..operators import weights as W
-from ..session import table
+from ..session import cut_lineage, table
 from .corpus import NEW, two_sided
 from .similar import is_old, n_old_docs, side_counts, tfidf_weights
 
@@ -127,7 +127,8 @@ def _lsi(spark: SparkSession, sf_dir: str, rank: int, max_features: int):
     feats, vocab = R.tfidf_vectors(toks.where(is_old()), "tokens", model)
     v, s = R.fit_lsi(feats, min(rank, len(vocab)), len(vocab))
     comps = R.components_table(spark, vocab, v)
-    weights = W.apply_tfidf(counts, model, normalize=True, keep=("side",))
+    # the weighted rows feed the fold-in and both variance sums: materialise once
+    weights = cut_lineage(W.apply_tfidf(counts, model, normalize=True, keep=("side",)))
     return weights, comps
 
 
