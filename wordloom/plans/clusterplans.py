@@ -118,17 +118,16 @@ def top_terms_per_source(spark: SparkSession, sf_dir: str, n: int = 20) -> DataF
 
 # ----------------------------------------------------------------------------- reduction
 def _lsi(spark: SparkSession, sf_dir: str, rank: int, max_features: int):
-    counts = side_counts(spark, sf_dir)
+    """Tokenise once: counts and TF-IDF rows are checkpointed and feed the
+    vocabulary, the Gram pass, the fold-in and the variance sums."""
+    counts = cut_lineage(side_counts(spark, sf_dir))
     model = W.fit_tfidf(counts, n_old_docs(spark, sf_dir), max_features=max_features,
                         mode="smooth", where=is_old())
-    docs = two_sided(spark, sf_dir)
-    toks = docs.select("doc_id", "side", F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"),
-                                                  lambda x: F.length(x) >= 2).alias("tokens"))
-    feats, vocab = R.tfidf_vectors(toks.where(is_old()), "tokens", model)
+    vocab = [r["term"] for r in model.select("term").orderBy("term").collect()]  # bounded by the cut
+    weights = cut_lineage(W.apply_tfidf(counts, model, normalize=True, keep=("side",)))
+    feats = R.rows_from_weights(weights.where(is_old()), vocab)
     v, s = R.fit_lsi(feats, min(rank, len(vocab)), len(vocab))
     comps = R.components_table(spark, vocab, v)
-    # the weighted rows feed the fold-in and both variance sums: materialise once
-    weights = cut_lineage(W.apply_tfidf(counts, model, normalize=True, keep=("side",)))
     return weights, comps
 
 
