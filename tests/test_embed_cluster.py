@@ -122,3 +122,21 @@ def test_mst_matches_prim(spark):
         j = int(np.argmin(best)); total.append(best[j]); seen.add(j)
         best = np.minimum(best, d[j])
     assert np.allclose(sorted(total), got)
+
+
+def test_paragraph_vectors_separate_topics(spark):
+    import numpy as np
+    from wordloom.operators.doc2vec import paragraph_vectors
+    rows = []
+    for d in range(20):
+        words = ["a1", "a2", "a3"] if d < 10 else ["b1", "b2", "b3"]
+        rows += [(d, w, 3) for w in words]
+    counts = spark.createDataFrame(rows, "doc_id long, term string, n long")
+    wv = spark.createDataFrame([("a1", [1.0, 0.0]), ("a2", [0.9, 0.1]), ("a3", [1.0, 0.2]),
+                                ("b1", [0.0, 1.0]), ("b2", [0.1, 0.9]), ("b3", [-0.1, 1.0])],
+                               "term string, vec array<double>")
+    pv = {r["doc_id"]: np.array(r["vec"]) for r in
+          paragraph_vectors(counts, wv, 2, epochs=50, alpha=0.5, min_count=1, negatives=6).collect()}
+    assert len(pv) == 20
+    cos = lambda x, y: x @ y / np.linalg.norm(x) / np.linalg.norm(y)
+    assert cos(pv[0], pv[1]) > cos(pv[0], pv[15])

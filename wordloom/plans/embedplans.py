@@ -122,3 +122,12 @@ def sequence_autoencoder_codes(spark: SparkSession, sf_dir: str, length: int = S
     emb = S.embedding_matrix(idx, word_vectors(spark, sf_dir), WV_DIM)
     codes = R.linear_autoencoder(R.embedded_sequences(seqs, emb), dim)
     return codes.select("doc_id", V.round_array("code", 6).alias("code"))
+
+
+def doc2vec_vectors(spark: SparkSession, sf_dir: str, epochs: int = 10) -> DataFrame:
+    """Paragraph vectors (PV-DBOW, frozen hash-made word vectors, min count 5,
+    10 epochs with alpha falling from 0.025), unit length."""
+    from ..operators.doc2vec import paragraph_vectors
+    counts = word_counts(spark, sf_dir).drop("side")
+    pv = paragraph_vectors(counts, word_vectors(spark, sf_dir), WV_DIM, epochs=epochs, min_count=5)
+    return pv.select("doc_id", V.round_array(V.l2_normalize("vec"), 6).alias("vec"))
