@@ -80,3 +80,13 @@ def balanced(df: DataFrame, key: str | None = None) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return balanced(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"), TABLE_KEYS.get(name))
+
+
+def write_state(df: DataFrame, name: str = "state") -> DataFrame:
+    """Cut lineage by writing a parquet table under ``spark.checkpoint.dir`` (the
+    shared folder) and reading it back; for small per-iteration state tables."""
+    import uuid
+    root = ensure_checkpoint_dir(df.sparkSession)
+    path = f"{root.rstrip('/')}/wordloom-{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
