@@ -79,3 +79,18 @@ def test_porter_examples():
     for w, st in {"caresses": "caress", "ponies": "poni", "hopping": "hop", "relational": "relat",
                   "generalizations": "gener", "electrical": "electr", "adoption": "adopt"}.items():
         assert porter_stem(w) == st
+
+
+def test_word2vec_save_lookup_and_report(spark, tmpdir_path):
+    from pyspark.ml.feature import Word2VecModel
+    from wordloom.operators import embed as E
+    from wordloom.operators.similarity import named_report, sparse_topk
+    sents = spark.createDataFrame([(["a", "b", "c"],), (["b", "c", "d"],)] * 5, "sentence array<string>")
+    wv = E.save_word2vec(sents, f"{tmpdir_path}/w2v", dim=4, partitions=1)
+    assert Word2VecModel.load(f"{tmpdir_path}/w2v").getVectors().count() == 4
+    assert E.lookup(wv, "b").count() == 1 and E.lookup(wv, "zz").count() == 0
+    w = spark.createDataFrame([(1, "x", 1.0), (10, "x", 1.0), (11, "y", 1.0)], "doc_id long, term string, w double")
+    top = sparse_topk(w.where("doc_id < 10"), w.where("doc_id >= 10"), 1)
+    names = spark.createDataFrame([(1, "q.txt"), (10, "a.txt"), (11, "b.txt")], "doc_id long, name string")
+    rep = named_report(top, names, names).first()
+    assert (rep["query_name"], rep["rank"], rep["ref_name"]) == ("q.txt", 1, "a.txt")

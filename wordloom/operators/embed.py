@@ -90,3 +90,19 @@ def train_word_vectors(sentences: DataFrame, col: str = "sentence", dim: int = 3
     model = w2v.fit(sentences.select(col))
     vecs = model.getVectors().select(F.col("word").alias("term"), vector_to_array("vector").alias("vec"))
     return normalize_vectors(vecs) if normalize else vecs
+
+
+def lookup(wv: DataFrame, word: str) -> DataFrame:
+    """The vector of one word (empty when out of vocabulary)."""
+    return wv.where(F.col("term") == F.lit(word))
+
+
+def save_word2vec(sentences: DataFrame, path: str, col: str = "sentence", dim: int = 300, window: int = 10,
+                  min_count: int = 0, seed: int = 1, partitions: int | None = None) -> DataFrame:
+    """Train MLlib Word2Vec, save the model itself (reloadable with
+    ``Word2VecModel.load``) and return its (term, vec) table."""
+    from pyspark.ml.feature import Word2Vec
+    model = Word2Vec(vectorSize=dim, windowSize=window, minCount=min_count, seed=seed,
+                     inputCol=col, outputCol="_v", numPartitions=partitions or 1).fit(sentences.select(col))
+    model.write().overwrite().save(path)
+    return model.getVectors().select(F.col("word").alias("term"), vector_to_array("vector").alias("vec"))
