@@ -86,6 +86,11 @@ def spectral_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored("spectral", assign, pts.select("doc_id", "label"))
 
 
+def _single_linkage_cut(p: DataFrame, k: int = K) -> DataFrame:
+    from ..operators import linkage as L
+    return L.cut(p, L.minimum_spanning_tree(p), k)
+
+
 def compare_clusterings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(method, n, purity, entropy) for each clustering of the same points."""
     pts = points(spark, sf_dir)
@@ -96,6 +101,7 @@ def compare_clusterings(spark: SparkSession, sf_dir: str) -> DataFrame:
         _scored("kmeans", C.kmeans(p, K, seed=1)[0], labels),
         _scored("spherical_kmeans", C.kmeans(p, K, seed=1, metric="cosine")[0], labels),
         _scored("spectral", C.spectral(p, K), labels),
+        _scored("single_linkage", _single_linkage_cut(p), labels),
     ]
     return _reduce(DataFrame.unionByName, parts)
 
