@@ -31,7 +31,7 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def topk_embeddings(spark: SparkSession, sf_dir: str, k: int = 5, metric: str = "cosine") -> DataFrame:
     top = dense_topk_sided(embeddings(spark, sf_dir), k, metric)
     return top.select(F.col("query_id").alias("new_id"), F.col("rank").cast("long").alias("rank"),
-                      F.col("ref_id").alias("old_id"), F.round("dist", 6).alias("dist"))
+                      F.col("ref_id").alias("old_id"), (F.round("dist", 6) + F.lit(0.0)).alias("dist"))
 
 
 def most_similar_benchmark(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:

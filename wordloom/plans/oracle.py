@@ -30,7 +30,7 @@ def topk_pairs(dist_sql: str, k: int) -> str:
     return f"""r AS (SELECT new_id, old_id, dist,
               row_number() OVER (PARTITION BY new_id ORDER BY round(dist, 7), old_id) AS rank
               FROM ({dist_sql}))
-SELECT new_id, rank, old_id, round(dist, 6) AS dist FROM r WHERE rank <= {k}"""
+SELECT new_id, rank, old_id, round(dist, 6) + 0.0 AS dist FROM r WHERE rank <= {k}"""
 
 
 def topk_tfidf_sql(k: int = 3, metric: str = "cosine") -> str:

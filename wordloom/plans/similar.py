@@ -48,7 +48,7 @@ def tfidf_weights(spark: SparkSession, sf_dir: str, normalize: bool = True,
 
 def _report(top: DataFrame) -> DataFrame:
     return top.select(F.col("query_id").alias("new_id"), F.col("rank").cast("long").alias("rank"),
-                      F.col("ref_id").alias("old_id"), F.round("dist", 6).alias("dist"))
+                      F.col("ref_id").alias("old_id"), (F.round("dist", 6) + F.lit(0.0)).alias("dist"))
 
 
 def topk_tfidf(spark: SparkSession, sf_dir: str, k: int = 3, metric: str = "cosine") -> DataFrame:
