@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,6 @@ def write_state(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def null_column(df: DataFrame, name: str) -> bool:
-    return dict(df.dtypes)[name] == "void"
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; a null counts as empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -57,3 +54,99 @@ def blobs(parts: list[bytes]) -> pa.Array:
 def sub_bucket(*columns, buckets: int):
     """Bucket 0 .. buckets-1 from a hash of ``columns``."""
     return F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int")
+
+
+FILTER_BITS = 1 << 23
+
+
+def maybe_in(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``column`` may be in ``keys`` (one column): a first sieve before the exact join.
+
+    The keys' hashes set bits of a bit map of fixed size (1 MB), the only thing
+    that is broadcast. With very many keys all rows pass, and the join does all the work.
+    """
+    spark = df.sparkSession
+    h = F.pmod(F.xxhash64(F.col(keys.columns[0])), F.lit(FILTER_BITS)) + 1
+    parts = (keys.select(h.alias("h")).groupBy(F.expr("bitmap_bucket_number(h)").alias("n"))
+             .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("bits")).collect())
+    whole = np.zeros(FILTER_BITS // 8, np.uint8)
+    for n, bits in parts:
+        whole[(n - 1) * 4096: n * 4096] = np.frombuffer(bits, np.uint8)
+    sieve = spark.sparkContext.broadcast(whole.tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(sieve.value, np.uint8)
+        for batch in batches:
+            at = batch["_h"].to_numpy()
+            yield batch.drop_columns(["_h"]).filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+
+    hashed = df.where(F.col(column).isNotNull()).withColumn("_h", F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)))
+    return hashed.mapInArrow(run, df.schema)
+
+
+SKETCH_BITS, SKETCH_ROWS, SLICES = 18, 2, 16
+
+
+class Sketch:
+    """Count-min sketch of 64-bit tokens, of fixed size: summed per task, then over tasks, then broadcast."""
+
+    def __init__(self, counts: np.ndarray | None = None):
+        self.counts = np.zeros((SKETCH_ROWS, 1 << SKETCH_BITS), np.int64) if counts is None else counts
+
+    @staticmethod
+    def places(tokens: np.ndarray) -> list[np.ndarray]:
+        down = np.uint64(64 - SKETCH_BITS)
+        return [(tokens >> down).astype(np.int64), ((tokens * np.uint64(0xD1342543DE82EF95)) >> down).astype(np.int64)]
+
+    def add(self, tokens: np.ndarray) -> None:
+        for row, at in zip(self.counts, self.places(tokens)):
+            row += np.bincount(at, minlength=len(row))
+
+    def slices(self) -> list[bytes]:
+        return [x.astype("<i8").tobytes() for x in self.counts.reshape(SLICES, -1)] if self.counts.any() else []
+
+    def counted(self, tokens: np.ndarray) -> np.ndarray:
+        """At least the true numbers."""
+        return np.minimum.reduce([row[at] for row, at in zip(self.counts, self.places(tokens))])
+
+    @property
+    def usual(self) -> int:
+        """What light tokens bring to any cell."""
+        return int(self.counts[0].mean())
+
+    @staticmethod
+    def gather(parts: DataFrame):
+        """A broadcast of the sum of (slice, counts) rows."""
+        got = {r["slice"]: bytes(r["counts"]) for r in
+               parts.groupBy("slice").applyInArrow(_add, "slice int, counts binary").collect()}
+        blank = bytes(8 * (SKETCH_ROWS << SKETCH_BITS) // SLICES)
+        return parts.sparkSession.sparkContext.broadcast(b"".join(got.get(i, blank) for i in range(SLICES)))
+
+    @classmethod
+    def of(cls, raw: bytes) -> Sketch:
+        return cls(np.frombuffer(raw, "<i8").reshape(SKETCH_ROWS, -1))
+
+
+def _add(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x.as_py(), "<i8") for x in table["counts"])
+    return pa.table({"slice": table["slice"][:1], "counts": blobs([total.tobytes()])})
+
+
+def keyed_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Runs of equal key columns in a sorted stream, each as one table."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch[n].to_numpy() for n in names])
+        edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            key = tuple(keys[:, lo].tolist())
+            if key != now and held:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = key
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield now, pa.Table.from_batches(held)

@@ -1,11 +1,12 @@
 """From shared tokens to the components of an exact similarity graph, without listing a group's pairs.
 
-Input: postings (token, node, need): two linked nodes always share a token (for
-an exact join) or very likely do (for a sketch). The work is three rounds, each
-verified on the whole sets:
+Input: postings (token, salt, node, n, need): two linked nodes always share a token
+(for an exact join) or very likely do (for a sketch). A token that a sketch
+counts often is salted, so no group grows beyond a bound. The work is three
+rounds, each verified on the whole sets:
 
-1. every token's smallest node against the token's other nodes (linear in the
-   postings);
+1. every group's smallest node against its other nodes, and a salted token's
+   smallest against those of its groups (linear in the postings);
 2. tokens whose nodes still lie in several components: their nodes are dealt
    out in block pairs of bounded size, profiles (a bit map that bounds the
    symmetric difference from below, and the node's prefix) rule pairs out, and one
@@ -25,11 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import write_state
+from wordloom.llm.common import keyed_groups, write_state
 from wordloom.llm.components import connected_components
+from wordloom.llm.textgrams import mix
 
 BITS = 2048
+SALTED = 1024  # rows of a token beyond which it is salted
 PROFILE = "node long, n long, need int, prefix binary, bitmap binary"
+POSTINGS = "token long, salt int, node long, n long, need int"
+HITS = "token long, salt int, node long, n long, need int, pivot long, ask int"
 
 
 def bitmap(items: np.ndarray) -> bytes:
@@ -38,6 +43,70 @@ def bitmap(items: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
+def postings(tokens: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, needs: np.ndarray, sketch) -> pa.RecordBatch:
+    """A batch of POSTINGS; salt 0 for a token that ``sketch`` counts at most SALTED times, 1 .. else."""
+    often = -(-np.maximum(sketch.counted(tokens) - sketch.usual, 1) // SALTED)
+    salt = np.where(often > 1, 1 + (mix(nodes.astype(np.int64).view(np.uint64)) % often.astype(np.uint64)).astype(np.int64), 0)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(tokens.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(nodes.astype(np.int64)),
+         pa.array(sizes.astype(np.int64)), pa.array(needs.astype(np.int32))], ["token", "salt", "node", "n", "need"])
+
+
+def _hits(num: int, den: int):
+    """Sorted postings -> those of groups of two and of salted tokens, with the group's smallest node.
+
+    ask: the shared tokens that the pair (pivot, node) has to show, null if the sizes rule it out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, held = ["token", "salt", "node", "n", "need"], None
+
+        def out(columns):
+            token, salt, node, n, need = columns
+            first = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])]))
+            size = np.diff(np.concatenate([first, [len(token)]]))
+            head = np.repeat(first, size)
+            ask = np.minimum(need, need[head])
+            never = (node == node[head]) | (den * np.minimum(n, n[head]) < num * np.maximum(n, n[head]))
+            keep = (np.repeat(size, size) > 1) | (salt > 0)
+            return pa.RecordBatch.from_arrays(
+                [*(pa.array(x[keep]) for x in (token, salt, node, n, need, node[head])),
+                 pa.array(ask[keep], pa.int32(), mask=never[keep])], [*names, "pivot", "ask"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch[c].to_numpy() for c in names]
+            if held is not None:
+                columns = [np.concatenate(x) for x in zip(held, columns)]
+            token, salt = columns[:2]
+            last = np.flatnonzero((token != token[-1]) | (salt != salt[-1]))
+            at = int(last[-1]) + 1 if len(last) else 0
+            if at:
+                yield out([x[:at] for x in columns])
+            held = [x[at:] for x in columns]
+        if held is not None:
+            yield out(held)
+
+    return run
+
+
+def bounded(pairs: DataFrame, bounds: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that the bit maps of ``bounds`` do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+                    for c in ("x", "y"))
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            total = batch["na"].to_numpy() + batch["nb"].to_numpy()
+            yield batch.select(["a", "b"]).filter(pa.array((den + num) * apart <= (den - num) * total))
+
+    side = lambda to, n, bits: bounds.select(F.col("node").alias(to), F.col("n").alias(n), F.col("bitmap").alias(bits))
+    return (pairs.join(side("a", "na", "x"), "a").join(side("b", "nb", "y"), "b")
+            .select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long"))
+
+
 def verified(pairs: DataFrame, payloads: DataFrame, to_set: Callable[[bytes], np.ndarray], num: int,
              den: int) -> DataFrame:
     """Pairs (a, b) with den * |A & B| >= num * |A | B| on the sets of ``payloads`` (node, payload)."""
@@ -97,57 +166,31 @@ def _cell_pairs(nodes, blocks, comps, sizes, needs, prefixes, maps, num, den, ea
 
 
 def _cells(num: int, den: int, each: bool):
-    """mapInArrow kernel over rows sorted by (token, p, q); a cell may span batches."""
-
-    def solve(table: pa.Table):
-        column = lambda c: table[c].to_numpy()
-        keys = np.stack([column("token"), column("p"), column("q")])
-        edge = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-        nodes, blocks, comps, sizes, needs = (column(c) for c in ("node", "block", "comp", "n", "need"))
-        maps = np.frombuffer(b"".join(table["bitmap"].to_pylist()), np.uint64).reshape(len(nodes), -1)
-        prefixes = [np.frombuffer(x, np.uint64) for x in table["prefix"].to_pylist()]
-        for lo, hi in zip([0, *edge], [*edge, len(nodes)]):
-            at = slice(lo, hi)
-            yield from _cell_pairs(nodes[at], blocks[at], comps[at], sizes[at], needs[at], prefixes[lo:hi], maps[at],
-                                   num, den, each)
+    """Kernel over rows sorted by (token, p, q)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        key = lambda b, i: tuple(b[c][i].as_py() for c in ("token", "p", "q"))
-
-        def out(tables):
-            pairs = list(dict.fromkeys(solve(pa.Table.from_batches(tables))))
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()),
-                                               pa.array([y for _, y in pairs], pa.int64())], ["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            last = key(batch, batch.num_rows - 1)
-            lo = batch.num_rows
-            while lo and key(batch, lo - 1) == last:
-                lo -= 1
-            if lo:
-                yield out([*held, batch.slice(0, lo)])
-                held = []
-            elif held and key(held[-1], held[-1].num_rows - 1) != last:
-                yield out(held)
-                held = []
-            held.append(batch.slice(lo))
-        if held:
-            yield out(held)
+        for _, table in keyed_groups(batches, ["token", "p", "q"]):
+            nodes, blocks, comps, sizes, needs = (table[c].to_numpy() for c in ("node", "block", "comp", "n", "need"))
+            maps = np.frombuffer(b"".join(table["bitmap"].to_pylist()), np.uint64).reshape(len(nodes), -1)
+            prefixes = [np.frombuffer(x, np.uint64) for x in table["prefix"].to_pylist()]
+            pairs = _cell_pairs(nodes, blocks, comps, sizes, needs, prefixes, maps, num, den, each)
+            if pairs:
+                a, b = np.array(pairs, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
 
 def _leftover(hits: DataFrame, labels: DataFrame, profiles: Callable[[DataFrame], DataFrame], num: int, den: int,
-              each: bool, block: int) -> DataFrame:
-    """Pairs (a, b) between components that share a token and pass the bounds."""
-    placed = (hits.where("c > 2").join(labels.withColumnRenamed("component", "comp"), "node", "left")
+              each: bool, block: int) -> DataFrame | None:
+    """Pairs (a, b) between components that share a token and pass the bounds; None if no token has any."""
+    placed = (hits.select("token", "node").join(labels.withColumnRenamed("component", "comp"), "node", "left")
               .withColumn("comp", F.coalesce("comp", "node")))
-    mixed = (placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-             .where("lo <> hi").select("token"))
+    mixed = (placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"))
+             .where("lo <> hi and c > 2").select("token", "c"))
     left = write_state(placed.join(mixed, "token").select("token", "node", "comp", "c"), "leftover")
+    if left.isEmpty():
+        return None
     cells = (left.withColumn("many", F.ceil(F.col("c") / F.lit(block)))
              .withColumn("block", F.pmod(F.xxhash64("node"), F.col("many")))
              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)))
@@ -159,27 +202,36 @@ def _leftover(hits: DataFrame, labels: DataFrame, profiles: Callable[[DataFrame]
     return rows.mapInArrow(_cells(num, den, each), "a long, b long").distinct()
 
 
-def link_components(postings: DataFrame, payloads: Callable[[DataFrame], DataFrame],
+def link_components(rows: DataFrame, payloads: Callable[[DataFrame], DataFrame],
                     profiles: Callable[[DataFrame], DataFrame], to_set: Callable[[bytes], np.ndarray],
-                    num: int, den: int, block: int = 512) -> DataFrame:
+                    num: int, den: int, bounds: DataFrame | None = None, block: int = 512) -> DataFrame:
     """(node, component) for every node with a verified link; the component is its smallest node.
 
-    ``payloads(nodes)`` and ``profiles(nodes)`` give (node, payload) and the
-    columns of PROFILE for the nodes of a table (node). A pair is verified only
-    if it shares at least the smaller of the two nodes' ``need`` tokens.
+    ``rows`` are POSTINGS. ``payloads(nodes)`` gives (node, payload) for the
+    nodes of a table (node), ``profiles(nodes)`` the columns of PROFILE;
+    ``bounds`` may give the profiles of all nodes, to rule out pairs of round 1.
+    A pair is verified only if it shares at least the smaller of the two nodes' ``need`` tokens.
     """
-    shared = (postings.groupBy("token").agg(F.count("*").alias("c"), F.min("node").alias("pivot"),
-                                            F.min_by("need", "node").alias("pivot_need")).where("c > 1"))
-    hits = write_state(postings.join(shared, "token"), "hits")
-    whole = write_state(payloads(hits.select("node").distinct()), "payloads")
-    star = (hits.where("node <> pivot")
+    hits = write_state(rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "node")
+                       .mapInArrow(_hits(num, den), HITS), "hits")
+    heads = hits.where("salt > 0 and node = pivot").select("token", "node", "n", "need")
+    least = heads.groupBy("token").agg(F.min("node").alias("pivot"), F.min_by("n", "node").alias("m"),
+                                       F.min_by("need", "node").alias("other"))
+    salted = (heads.join(least, "token").where(f"node <> pivot and {den} * least(n, m) >= {num} * greatest(n, m)")
+              .select("pivot", "node", F.least("need", "other").alias("ask")))
+    star = (hits.where("ask is not null").select("pivot", "node", "ask").union(salted)
             .groupBy(F.col("pivot").alias("a"), F.col("node").alias("b"))
-            .agg(F.count("*").alias("k"), F.min(F.least("need", "pivot_need")).alias("need"))
-            .where("k >= need").select("a", "b"))
-    edges = write_state(verified(star, whole, to_set, num, den), "links")
+            .agg(F.count("*").alias("k"), F.min("ask").alias("ask")).where("k >= ask").select("a", "b"))
+
+    def links(pairs: DataFrame) -> DataFrame:
+        pairs = write_state(pairs, "pairs")
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        return write_state(verified(pairs, payloads(nodes), to_set, num, den), "links")
+
+    edges = links(star if bounds is None else bounded(star, bounds, num, den))
     for each in (False, True):
-        labels = connected_components(edges)
-        rest = write_state(_leftover(hits, labels, profiles, num, den, each, block), "pairs")
-        more = write_state(verified(rest, whole, to_set, num, den), "links")
-        edges = edges.union(more)
+        rest = _leftover(hits, connected_components(edges), profiles, num, den, each, block)
+        if rest is None:
+            break
+        edges = edges.union(links(rest))
     return connected_components(edges)

@@ -19,34 +19,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import blobs, utf8, write_state
-from wordloom.llm.linkjoin import PROFILE, bitmap, link_components
+from wordloom.llm.common import Sketch, blobs, maybe_in, utf8, write_state
+from wordloom.llm.linkjoin import POSTINGS, PROFILE, bitmap, link_components, postings
 from wordloom.llm.textgrams import mix, word_shingles
 
-SKETCH_BITS, SKETCH_ROWS, SLICES = 18, 2, 16
 MOST_NEEDED = 4
 #: Cost of one posting against that of one verification.
 POSTING_COST, VERIFY_COST = 1.0, 20.0
 
 
-def _sketch_at(tokens: np.ndarray) -> list[np.ndarray]:
-    down = np.uint64(64 - SKETCH_BITS)
-    return [(tokens >> down).astype(np.int64), ((tokens * np.uint64(0xD1342543DE82EF95)) >> down).astype(np.int64)]
-
-
 def _count(n: int):
     """Documents -> (doc_id, n_shingles, s1, s2) and, per partition, its part of the sketch."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()),
                         ("slice", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros((SKETCH_ROWS, 1 << SKETCH_BITS), np.int64)
-
-        def add(seen):
-            for row, at in zip(sketch, _sketch_at(np.concatenate([np.zeros(0, np.uint64), *seen]))):
-                row += np.bincount(at, minlength=len(row))
-            seen.clear()
-
+        sketch = Sketch()
         for batch in batches:
             sizes, one, two, seen = [], [], [], []
             for tokens in word_shingles(*utf8(batch["text"]), n):
@@ -55,30 +43,26 @@ def _count(n: int):
                 two.append(mix(tokens + np.uint64(0x632BE59BD9B4E019)).sum(dtype=np.uint64))
                 seen.append(tokens)
                 if len(seen) == 1000:
-                    add(seen)
-            add(seen)
+                    sketch.add(np.concatenate(seen))
+                    seen.clear()
+            if seen:
+                sketch.add(np.concatenate(seen))
             m = len(sizes)
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(np.array(one, np.uint64).view(np.int64)),
                  pa.array(np.array(two, np.uint64).view(np.int64)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
                 schema=schema)
-        if sketch.any():
-            parts = [x.astype("<i8").tobytes() for x in sketch.reshape(SLICES, -1)]
-            none = pa.nulls(SLICES, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(SLICES), pa.int32()),
+        if parts := sketch.slices():
+            none = pa.nulls(len(parts), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(range(len(parts)), pa.int32()),
                                               blobs(parts)], schema=schema)
 
     return run, "doc_id long, n_shingles long, s1 long, s2 long, slice int, counts binary"
 
 
-def _add(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_py(), "<i8") for x in table["counts"])
-    return pa.table({"slice": table["slice"][:1], "counts": blobs([total.tobytes()])})
-
-
-def order(tokens: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens rare first (ties by hash), and their estimated numbers of documents."""
-    df = np.minimum.reduce([row[at] for row, at in zip(sketch, _sketch_at(tokens))])
+def order(tokens: np.ndarray, sketch: Sketch) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens rare first (ties by hash), and their counted numbers of documents."""
+    df = sketch.counted(tokens)
     at = np.lexsort((tokens, df))
     return tokens[at], df[at]
 
@@ -101,8 +85,7 @@ def _profile(n: int, num: int, den: int, sketch_var):
                         ("bitmap", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.frombuffer(sketch_var.value, "<i8").reshape(SKETCH_ROWS, -1)
-        usual = np.int64(sketch[0].mean())  # what light tokens bring to any cell
+        sketch = Sketch.of(sketch_var.value)
         for batch in batches:
             keep, sizes, needs, prefixes, maps = [], [], [], [], []
             for i, tokens in enumerate(word_shingles(*utf8(batch["text"]), n)):
@@ -111,7 +94,7 @@ def _profile(n: int, num: int, den: int, sketch_var):
                     continue
                 ordered, df = order(tokens, sketch)
                 base = size - -(-num * size // den) + 1
-                need = choose(np.maximum(df - usual, 1), base)
+                need = choose(np.maximum(df - sketch.usual, 1), base)
                 keep.append(i)
                 sizes.append(size)
                 needs.append(need)
@@ -124,13 +107,16 @@ def _profile(n: int, num: int, den: int, sketch_var):
     return run
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = utf8(batch["prefix"])
-        sizes = np.diff(offsets) // 8
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.frombuffer(data.tobytes(), np.int64)), pa.array(np.repeat(batch["node"].to_numpy(), sizes)),
-             pa.array(np.repeat(batch["need"].to_numpy(), sizes), pa.int32())], ["token", "node", "need"])
+def _postings(sketch_var):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = Sketch.of(sketch_var.value)
+        for batch in batches:
+            data, offsets = utf8(batch["prefix"])
+            sizes = np.diff(offsets) // 8
+            yield postings(np.frombuffer(data.tobytes(), np.uint64), *(np.repeat(batch[c].to_numpy(), sizes)
+                                                                       for c in ("node", "n", "need")), sketch)
+
+    return run
 
 
 def _sets(n: int):
@@ -156,28 +142,25 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: in
     (component_id null). Equal sets are joined once, through the one with the
     smallest doc_id; repeated rows each come back. An empty table gives no rows.
     """
-    spark, texts = docs.sparkSession, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     run, schema = _count(n)
     counted = write_state(texts.mapInArrow(run, schema), "shingle-counts")
     rows = counted.where("slice is null")
-    parts = dict(counted.where("slice is not null").select("slice", "counts").groupBy("slice")
-                 .applyInArrow(_add, "slice int, counts binary").collect())
-    width = (SKETCH_ROWS << SKETCH_BITS) // SLICES
-    blank = np.zeros(width, "<i8").tobytes()
-    sketch = spark.sparkContext.broadcast(b"".join(bytes(parts.get(i, blank)) for i in range(SLICES)))
+    sketch = Sketch.gather(counted.where("slice is not null").select("slice", "counts"))
 
     classes = (rows.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "s1", "s2")
                .agg(F.min("doc_id").alias("node")))
     profile = write_state(texts.mapInArrow(_profile(n, num, den, sketch), PROFILE)
                           .join(classes.select("node").distinct(), "node", "left_semi"), "profiles")
-    postings = profile.mapInArrow(_postings, "token long, node long, need int")
 
     def payloads(nodes):
-        wanted = texts.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
-        return wanted.mapInArrow(_sets(n), "node long, payload binary")
+        wanted = nodes.withColumnRenamed("node", "doc_id")
+        return (maybe_in(texts, "doc_id", wanted).join(wanted, "doc_id", "left_semi")
+                .mapInArrow(_sets(n), "node long, payload binary"))
 
-    linked = link_components(postings, payloads, lambda nodes: profile.join(nodes, "node", "left_semi"),
-                             lambda x: np.frombuffer(x, np.uint64), num, den)
+    linked = link_components(profile.mapInArrow(_postings(sketch), POSTINGS), payloads,
+                             lambda nodes: profile.join(nodes, "node", "left_semi"),
+                             lambda x: np.frombuffer(x, np.uint64), num, den, bounds=profile)
     named = classes.join(linked, "node", "left").withColumn("component_id", F.coalesce("component", "node"))
     return (rows.join(named, ["n_shingles", "s1", "s2"], "left")
             .select("doc_id", "n_shingles",

@@ -141,3 +141,50 @@ def word_shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.
             yield mix(h + np.uint64(b - a))
         else:
             yield np.zeros(0, np.uint64)
+
+
+def char_shingles(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of every line's k-character shingles (repeats included), and their offsets; a shorter line is one shingle."""
+    sizes = np.array([len(x) for x in lines], np.int64)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    total = running_hash(mix(codes.astype(np.uint64) + np.uint64(0x2545F4914F6CDD1D)))
+    _, down = powers(len(codes) + 1)
+    width = np.minimum(sizes, k)
+    counts = np.where(sizes > 0, sizes - width + 1, 0)
+    offsets = np.concatenate([[0], np.cumsum(counts)])
+    start = np.repeat(at[:-1] - offsets[:-1], counts) + np.arange(offsets[-1])
+    wide = np.repeat(width, counts)
+    return mix((total[start + wide] - total[start]) * down[start] + wide.astype(np.uint64)), offsets
+
+
+def sketches(hashes: np.ndarray, offsets: np.ndarray, bins: int) -> np.ndarray:
+    """One MinHash row of ``bins`` values per set, by fast similarity sketching.
+
+    In round i every element falls into one bin with a value above those of the
+    rounds before; a set leaves once its bins are full, so long sets cost about
+    one hash per element, and short ones still fill every bin alike. From round
+    ``bins`` on all elements fall into bin i - bins, which fills the rest. Empty
+    sets keep the largest value everywhere.
+    """
+    sets, empty = len(offsets) - 1, np.uint64((1 << 64) - 1)
+    out = np.full((sets, bins), empty, np.uint64)
+    owner, x = np.repeat(np.arange(sets), np.diff(offsets)), hashes
+    for i in range(2 * bins):
+        if not len(x):
+            break
+        h = mix(x + np.uint64(0x9E3779B97F4A7C15 * (i + 1) & ((1 << 64) - 1)))
+        at = ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64) if i < bins else i - bins
+        np.minimum.at(out.reshape(-1), owner * bins + at, (np.uint64(i) << np.uint64(48)) | (h & np.uint64((1 << 48) - 1)))
+        open_ = (out == empty).any(axis=1)[owner]
+        owner, x = owner[open_], x[open_]
+    return out
+
+
+def bands(rows: np.ndarray, width: int) -> np.ndarray:
+    """Hash of every band of ``width`` values of every row; bands of another number never agree."""
+    parts = rows.reshape(len(rows), -1, width)
+    h = np.broadcast_to(np.arange(1, parts.shape[1] + 1, dtype=np.uint64), parts.shape[:2]).copy()
+    for k in range(width):
+        h = mix(h * BASE + parts[:, :, k])
+    return h
