@@ -59,12 +59,7 @@ def sub_bucket(*columns, buckets: int):
 FILTER_BITS = 1 << 23
 
 
-def maybe_in(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose ``column`` may be in ``keys`` (one column): a first sieve before the exact join.
-
-    The keys' hashes set bits of a bit map of fixed size (1 MB), the only thing
-    that is broadcast. With very many keys all rows pass, and the join does all the work.
-    """
+def _sieved(df: DataFrame, column: str, keys: DataFrame, inside: bool) -> DataFrame:
     spark = df.sparkSession
     h = F.pmod(F.xxhash64(F.col(keys.columns[0])), F.lit(FILTER_BITS)) + 1
     parts = (keys.select(h.alias("h")).groupBy(F.expr("bitmap_bucket_number(h)").alias("n"))
@@ -77,13 +72,31 @@ def maybe_in(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(sieve.value, np.uint8)
         for batch in batches:
-            at = batch["_h"].to_numpy()
-            yield batch.drop_columns(["_h"]).filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+            null = np.array(batch["_h"].is_null())
+            at = batch["_h"].fill_null(0).to_numpy()
+            hit = (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool) & ~null
+            yield batch.drop_columns(["_h"]).filter(pa.array(hit == inside))
 
-    hashed = df.where(F.col(column).isNotNull()).withColumn("_h", F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)))
+    hashed = df.withColumn("_h", F.when(F.col(column).isNotNull(), F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))))
     return hashed.mapInArrow(run, df.schema)
 
 
+def maybe_in(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``column`` may be in ``keys`` (one column): a first sieve before the exact join.
+
+    The keys' hashes set bits of a bit map of fixed size (1 MB), the only thing
+    that is broadcast. With very many keys all rows pass, and the join does all the work.
+    """
+    return _sieved(df, column, keys, True)
+
+
+def without(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """``df`` left-anti ``keys`` on ``column``; only rows the sieve cannot clear go through the join."""
+    return _sieved(df, column, keys, False).union(
+        maybe_in(df, column, keys).join(keys.withColumnRenamed(keys.columns[0], column), column, "left_anti")
+        .select(*df.columns))
+
+
 SKETCH_BITS, SKETCH_ROWS, SLICES = 18, 2, 16
 
 

@@ -36,7 +36,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     hashed = (rules.where("rule_host is not null and rule_path is not null")
               .select("verdict", "rule_host", "rule_path", hexes.alias("digest"))
               .withColumn("short", F.substring("digest", 1, HASH_PREFIX)))
-    lengths = hashed.agg(F.sort_array(F.collect_set(F.char_length("rule_path"))).alias("lengths"))
+    # distinct lengths only: no more of them than the longest rule path has characters
+    lengths = sorted(r[0] for r in hashed.select(F.char_length("rule_path")).distinct().collect())
 
     rest = F.when(F.instr("url", "://") > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise(F.lit(""))
     split = pages.select("page_id", F.coalesce(rest, F.lit("")).alias("rest")).select(
@@ -45,11 +46,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
         F.regexp_extract("rest", r"^[^/?#]*([^?#]*)", 1).alias("path"))
 
     labels = F.split("host", r"\.")
-    places = split.where("host <> ''").select("host", "path").distinct().crossJoin(F.broadcast(lengths))  # one row
-    expressions = (places.select("host", "path", "lengths", F.explode(F.transform(
+    places = split.where("host <> ''").select("host", "path").distinct()
+    fitting = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.char_length("path"))
+    expressions = (places.select("host", "path", F.explode(F.transform(
         F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
         .alias("suffix"))
-        .select("host", "path", "suffix", F.explode(F.filter("lengths", lambda n: n <= F.char_length("path"))).alias("n"))
+        .select("host", "path", "suffix", F.explode(fitting).alias("n"))
         .select("host", "path", F.md5(F.concat_ws("\n", "suffix", F.expr("left(path, n)")).cast("binary"))
                 .alias("full"))
         .withColumn("short", F.substring("full", 1, HASH_PREFIX)))
