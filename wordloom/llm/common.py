@@ -97,7 +97,7 @@ def without(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
         .select(*df.columns))
 
 
-SKETCH_BITS, SKETCH_ROWS, SLICES = 18, 2, 16
+SKETCH_BITS, SKETCH_ROWS, SLICES = 20, 2, 16
 
 
 class Sketch:

@@ -65,6 +65,8 @@ def _cell(threshold: float):
             x, norm = _unit(matrix(table["vec"], dim))
             signs = np.frombuffer(b"".join(table["signs"].to_pylist()), np.int32).reshape(len(cid), -1)
             one, two = np.flatnonzero(block == p), np.flatnonzero(block == q)
+            if not len(one) or not len(two):
+                continue
             links, label = np.zeros(len(cid), np.int64), np.arange(len(cid))
             first, second = [], []
             for lo in range(0, len(one), 256):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm.common import Sketch, blobs, maybe_in, utf8, write_state
-from wordloom.llm.linkjoin import POSTINGS, PROFILE, bitmap, link_components, postings
+from wordloom.llm.linkjoin import POSTINGS, PROFILE, link_components, parities, postings
 from wordloom.llm.textgrams import bands, char_shingles, distinct, sketches
 
 #: 10 bands of 4 rows: a pair at Jaccard 0.8 shares a band with probability 0.995, at 0.85 with 0.9994.
@@ -118,7 +118,7 @@ def _profiles(k: int):
             m = len(sets)
             yield pa.RecordBatch.from_arrays(
                 [batch["node"], pa.array([len(x) for x in sets], pa.int64()), pa.array(np.ones(m, np.int32)),
-                 blobs([b""] * m), blobs([bitmap(x) for x in sets])], ["node", "n", "need", "prefix", "bitmap"])
+                 blobs([b""] * m), blobs([parities(x) for x in sets])], ["node", "n", "need", "prefix", "parity"])
 
     return run
 

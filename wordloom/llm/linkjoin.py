@@ -8,9 +8,9 @@ rounds, each verified on the whole sets:
 1. every group's smallest node against its other nodes, and a salted token's
    smallest against those of its groups (linear in the postings);
 2. tokens whose nodes still lie in several components: their nodes are dealt
-   out in block pairs of bounded size, profiles (a bit map that bounds the
-   symmetric difference from below, and the node's prefix) rule pairs out, and one
-   pair per pair of components goes on;
+   out in block pairs of bounded size, parity sketches (which bound the
+   symmetric difference from below) rule pairs out, and one pair per pair of
+   components goes on;
 3. the same once more, with every pair left between components.
 
 After round 3 every pair that shares a token has been verified, ruled out by an
@@ -26,21 +26,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import keyed_groups, write_state
+from wordloom.llm.common import write_state
 from wordloom.llm.components import connected_components
 from wordloom.llm.textgrams import mix
 
-BITS = 2048
+BITS = 1024
 SALTED = 1024  # rows of a token beyond which it is salted
-PROFILE = "node long, n long, need int, prefix binary, bitmap binary"
+PROFILE = "node long, n long, need int, prefix binary, parity binary"
 POSTINGS = "token long, salt int, node long, n long, need int"
 HITS = "token long, salt int, node long, n long, need int, pivot long, ask int"
 
 
-def bitmap(items: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, bool)
-    bits[(items & np.uint64(BITS - 1)).astype(np.int64)] = True
-    return np.packbits(bits).tobytes()
+def parities(items: np.ndarray) -> bytes:
+    """For every bit, whether an odd number of items falls on it. Two sets' sketches differ in at most as many bits
+    as the sets in items, and unlike OR-ed bit maps they do not fill up."""
+    return np.packbits(np.bincount((items & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).tobytes()
 
 
 def postings(tokens: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, needs: np.ndarray, sketch) -> pa.RecordBatch:
@@ -92,19 +92,27 @@ def _hits(num: int, den: int):
 
 
 def bounded(pairs: DataFrame, bounds: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that the bit maps of ``bounds`` do not rule out."""
+    """The pairs (a, b) that the profiles do not rule out: sizes, parities, and the number of shared prefix tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint64).reshape(batch.num_rows, -1)
-                    for c in ("x", "y"))
+                    for c in ("xa", "xb"))
+            na, nb, needs = batch["na"].to_numpy(), batch["nb"].to_numpy(), (batch["la"].to_numpy(), batch["lb"].to_numpy())
             apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            total = batch["na"].to_numpy() + batch["nb"].to_numpy()
-            yield batch.select(["a", "b"]).filter(pa.array((den + num) * apart <= (den - num) * total))
+            good = ((den + num) * apart <= (den - num) * (na + nb)) & (den * np.minimum(na, nb) >= num * np.maximum(na, nb))
+            need = np.minimum(*needs)
+            for i in np.flatnonzero(good & (need > 1)):
+                p, q = (np.frombuffer(batch[c][int(i)].as_py(), np.uint64) for c in ("pa", "pb"))
+                p, q = p[:len(p) - needs[0][i] + need[i]], q[:len(q) - needs[1][i] + need[i]]
+                good[i] = len(np.intersect1d(p, q, assume_unique=True)) >= need[i]
+            yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    side = lambda to, n, bits: bounds.select(F.col("node").alias(to), F.col("n").alias(n), F.col("bitmap").alias(bits))
-    return (pairs.join(side("a", "na", "x"), "a").join(side("b", "nb", "y"), "b")
-            .select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long"))
+    def side(to: str) -> DataFrame:
+        return bounds.select(F.col("node").alias(to), F.col("n").alias("n" + to), F.col("need").alias("l" + to),
+                             F.col("prefix").alias("p" + to), F.col("parity").alias("x" + to))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, payloads: DataFrame, to_set: Callable[[bytes], np.ndarray], num: int,
@@ -132,51 +140,52 @@ def verified(pairs: DataFrame, payloads: DataFrame, to_set: Callable[[bytes], np
     return sides.select("a", "b", "left", "right").mapInArrow(check, "a long, b long")
 
 
-def _cell_pairs(nodes, blocks, comps, sizes, needs, prefixes, maps, num, den, each):
-    """Index pairs of one cell that no bound rules out; one per pair of components unless ``each``."""
-    first, second = np.flatnonzero(blocks == blocks.min()), np.flatnonzero(blocks == blocks.max())
-    same = blocks.min() == blocks.max()
-    found: list[tuple[int, int]] = []
-    known: set[tuple[int, int]] = set()
-    for k, i in enumerate(first):
-        other = second[k + 1:] if same else second
-        other = other[comps[other] != comps[i]]
-        if not len(other):
-            continue
-        low, high = np.minimum(sizes[other], sizes[i]), np.maximum(sizes[other], sizes[i])
-        other = other[den * low >= num * high]
-        if not len(other):
-            continue
-        apart = np.bitwise_count(maps[other] ^ maps[i]).sum(axis=1, dtype=np.int64)
-        # |A ^ B| <= (den - num) / (den + num) * (|A| + |B|) holds for every link
-        other = other[(den + num) * apart <= (den - num) * (sizes[other] + sizes[i])]
-        for j in other:
-            key = (comps[i], comps[j]) if comps[i] < comps[j] else (comps[j], comps[i])
-            if not each and key in known:
-                continue
-            need = min(needs[i], needs[j])
-            if need > 1:
-                x, y = prefixes[i], prefixes[j]
-                x, y = x[:len(x) - needs[i] + need], y[:len(y) - needs[j] + need]
-                if len(np.intersect1d(x, y)) < need:
-                    continue
-            known.add(key)
-            found.append((nodes[i], nodes[j]) if nodes[i] < nodes[j] else (nodes[j], nodes[i]))
-    return found
-
-
 def _cells(num: int, den: int, each: bool):
-    """Kernel over rows sorted by (token, p, q)."""
+    """Rows sorted by (token, p, q) -> pairs between components that sizes and parities allow; one per pair of
+    components in a batch unless ``each``."""
+    names = ["token", "p", "q", "block", "node", "comp", "n"]
+
+    def solve(columns: list[np.ndarray], parity: np.ndarray) -> pa.RecordBatch:
+        token, p, q, block, node, comp, n = columns
+        new = np.concatenate([[True], (token[1:] != token[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])])
+        ends = np.append(np.flatnonzero(new), len(token))
+        left = np.repeat(ends[1:], np.diff(ends)) - np.arange(len(token)) - 1  # rows of the cell after this one
+        first, second = [], []
+        for apart in range(1, int(left.max(initial=0)) + 1):
+            i = np.flatnonzero(left >= apart)
+            j = i + apart
+            fits = (comp[i] != comp[j]) & ((p[i] == q[i]) | (block[i] != block[j]))
+            i, j = i[fits], j[fits]
+            fits = den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])
+            i, j = i[fits], j[fits]
+            # |A ^ B| <= (den - num) / (den + num) * (|A| + |B|) holds for every link
+            odd = np.bitwise_count(parity[i] ^ parity[j]).sum(axis=1, dtype=np.int64)
+            fits = (den + num) * odd <= (den - num) * (n[i] + n[j])
+            first.append(i[fits])
+            second.append(j[fits])
+        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (first, second))
+        keys = (node if each else comp)
+        pairs = np.stack([np.minimum(keys[i], keys[j]), np.maximum(keys[i], keys[j])], axis=1)
+        at = np.unique(pairs, axis=0, return_index=True)[1] if len(pairs) else i
+        a, b = node[i[at]], node[j[at]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, table in keyed_groups(batches, ["token", "p", "q"]):
-            nodes, blocks, comps, sizes, needs = (table[c].to_numpy() for c in ("node", "block", "comp", "n", "need"))
-            maps = np.frombuffer(b"".join(table["bitmap"].to_pylist()), np.uint64).reshape(len(nodes), -1)
-            prefixes = [np.frombuffer(x, np.uint64) for x in table["prefix"].to_pylist()]
-            pairs = _cell_pairs(nodes, blocks, comps, sizes, needs, prefixes, maps, num, den, each)
-            if pairs:
-                a, b = np.array(pairs, np.int64).T
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch[c].to_numpy() for c in names]
+            columns.append(np.frombuffer(b"".join(batch["parity"].to_pylist()), np.uint64).reshape(batch.num_rows, -1))
+            if held is not None:
+                columns = [np.concatenate(x) for x in zip(held, columns)]
+            other = np.flatnonzero(np.any([x != x[-1] for x in columns[:3]], axis=0))
+            at = int(other[-1]) + 1 if len(other) else 0  # a cell that may go on waits for the next batch
+            if at:
+                yield solve([x[:at] for x in columns[:-1]], columns[-1][:at])
+            held = [x[at:] for x in columns]
+        if held is not None:
+            yield solve(held[:-1], held[-1])
 
     return run
 
@@ -197,9 +206,11 @@ def _leftover(hits: DataFrame, labels: DataFrame, profiles: Callable[[DataFrame]
              .select("token", "node", "comp", "block", F.least("block", "other").alias("p"),
                      F.greatest("block", "other").alias("q")))
     known = profiles(left.select("node").distinct())
-    rows = (cells.join(known, "node").repartition("token", "p", "q").sortWithinPartitions("token", "p", "q")
-            .select("token", "p", "q", "node", "block", "comp", "n", "need", "prefix", "bitmap"))
-    return rows.mapInArrow(_cells(num, den, each), "a long, b long").distinct()
+    rows = (cells.join(known.select("node", "n", "parity"), "node").repartition("token", "p", "q")
+            .sortWithinPartitions("token", "p", "q")
+            .select("token", "p", "q", "block", "node", "comp", "n", "parity"))
+    pairs = rows.mapInArrow(_cells(num, den, each), "a long, b long").distinct()
+    return bounded(pairs, known, num, den)
 
 
 def link_components(rows: DataFrame, payloads: Callable[[DataFrame], DataFrame],

@@ -12,6 +12,8 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wordloom.llm.common import write_state
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3  # times a source's size
@@ -64,7 +66,7 @@ def sainte_lague(weights: list[float], seats: int, caps: list[int]) -> list[int]
 
 
 def _plan(cells: list, block: int, seed: int):
-    """Rows for (source, shard, tokens) cells: (source_no, source, shard, source_size, target, blocks, quota, shift)."""
+    """Rows of PLAN for (source, shard, tokens) cells."""
     by: dict = {}
     for source, shard, tokens in cells:
         by.setdefault(source, {})[shard] = tokens
@@ -76,16 +78,16 @@ def _plan(cells: list, block: int, seed: int):
     counts = [sum(b.values()) for b in blocks]
     wanted = [g * n / s if s else 0.0 for g, n, s in zip(goals, counts, sizes)]
     quotas = sainte_lague(wanted, round(sum(wanted)), [MOST * n for n in counts])
-    for no, (name, size, goal, quota, have) in enumerate(zip(names, sizes, goals, quotas, blocks)):
+    for name, size, goal, quota, have in zip(names, sizes, goals, quotas, blocks):
         shards = sorted(have)
         split = sainte_lague([float(have[h]) for h in shards], quota, [MOST * have[h] for h in shards])
         for h, q in zip(shards, split):
             draw = hashlib.md5(f"{seed}:{name!r}:{h}".encode("utf-8", "surrogatepass")).digest()
-            yield no, name, h, size, goal, have[h], q, int.from_bytes(draw[:7], "little") % max(have[h], 1)
+            yield name, h, size, goal, have[h], q, int.from_bytes(draw[:7], "little") % max(have[h], 1)
 
 
-PLAN = ("source_no int, source string, shard int, source_size long, target double, blocks long, quota long, "
-        "shift long")
+PLAN = ("_mix_name string, _mix_place int, _mix_source_size long, _mix_target double, _mix_blocks long, _mix_quota long, "
+        "_mix_shift long")
 
 
 def mix_sources(docs: DataFrame, block: int = 256, seed: int = 7) -> DataFrame:
@@ -109,46 +111,48 @@ def mix_sources(docs: DataFrame, block: int = 256, seed: int = 7) -> DataFrame:
     The driver holds one row for each source and shard. Running totals are taken
     inside 4,096 hash buckets, so a source with a third of all rows has thousands of groups.
     """
-    spark = docs.sparkSession
-    base = docs.drop("size", "source_size", "target", "taken", "spans", "_source", "_h", "_bucket", "_shard")
-    sized = (base.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-             .withColumn("_source", F.col("source").cast("string"))
-             .withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "size"))
-             .withColumn("_bucket", F.pmod("_h", F.lit(BUCKETS)).cast("int"))
-             .withColumn("_shard", F.pmod("_bucket", F.lit(SHARDS)).cast("int")))
-    totals = sized.groupBy("_source", "_bucket").agg(F.sum("size").alias("_tokens"))
-    cells = totals.groupBy("_source", F.pmod("_bucket", F.lit(SHARDS)).alias("shard")).agg(F.sum("_tokens"))
-    rows = list(_plan([tuple(r) for r in cells.collect()], block, seed))
-    plan = (spark.createDataFrame(rows, PLAN).withColumnRenamed("source", "_source").withColumnRenamed("shard", "_shard"))
-
-    line = Window.partitionBy("_source", F.pmod("_bucket", F.lit(SHARDS))).orderBy("_bucket")
-    starts = totals.select("_source", "_bucket", F.coalesce(F.sum("_tokens").over(
-        line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_source", "_bucket").orderBy("_h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    same = lambda a, b, *names: [a[n].eqNullSafe(b[n]) for n in names]
-    placed = (placed.join(starts, same(placed, starts, "_source", "_bucket")).drop(starts["_source"], starts["_bucket"]))
-    placed = placed.join(plan, same(placed, plan, "_source", "_shard")).drop(plan["_source"], plan["_shard"])
-
-    start = F.col("_base") + F.col("_before")
-    within = lambda p: F.least(F.expr(f"({p}) div {block}"), F.col("blocks") - 1)
+    new = ["size", "source_size", "target", "taken", "spans"]
+    return _mix(docs, block, seed).select(*(c for c in docs.columns if c not in new), *(f"_mix_{c}" for c in new)) \
+        .withColumnsRenamed({f"_mix_{c}": c for c in new})
+
+
+def _mix(docs: DataFrame, block: int, seed: int) -> DataFrame:
+    """``docs`` and the columns of ``mix_sources`` under names that begin with _mix_."""
+    spark, m = docs.sparkSession, lambda c: F.col(f"_mix_{c}")
+    sized = (docs.withColumn("_mix_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+             .withColumn("_mix_source", F.col("source").cast("string"))
+             .withColumn("_mix_h", F.xxhash64(F.lit(seed), "doc_id", "_mix_size"))
+             .withColumn("_mix_bucket", F.pmod("_mix_h", F.lit(BUCKETS)).cast("int"))
+             .withColumn("_mix_shard", F.pmod("_mix_bucket", F.lit(SHARDS)).cast("int")))
+    totals = write_state(sized.groupBy(m("source").alias("s"), m("bucket").alias("b")).agg(F.sum("_mix_size").alias("tokens")),
+                         "totals")
+    cells = totals.groupBy("s", F.pmod("b", F.lit(SHARDS)).alias("shard")).agg(F.sum("tokens"))
+    plan = spark.createDataFrame(list(_plan([tuple(r) for r in cells.collect()], block, seed)), PLAN)
+    line = Window.partitionBy("s", F.pmod("b", F.lit(SHARDS))).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("s", "b", F.coalesce(F.sum("tokens").over(line), F.lit(0)).alias("_mix_base"))
+    inside = (Window.partitionBy("_mix_source", "_mix_bucket").orderBy("_mix_h", "doc_id")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    placed = (sized.withColumn("_mix_before", F.coalesce(F.sum("_mix_size").over(inside), F.lit(0)))
+              .join(starts, m("source").eqNullSafe(F.col("s")) & (m("bucket") == F.col("b"))).drop("s", "b")
+              .join(plan, m("source").eqNullSafe(m("name")) & (m("shard") == m("place"))))
+
+    size, blocks, quota = m("size"), m("blocks"), m("quota")
+    within = lambda p: F.least(F.floor(p / F.lit(block)), blocks - 1)
 
     def copies(j: Column) -> Column:
-        place = F.pmod(F.pmod(F.lit(STRIDE), F.col("blocks")) * j + F.col("shift"), F.col("blocks"))
-        return (F.expr("quota div blocks") + (place < F.col("quota") % F.col("blocks")).cast("long")).cast("int")
+        place = F.pmod(F.pmod(F.lit(STRIDE), blocks) * j + m("shift"), blocks)
+        return (F.expr("_mix_quota div _mix_blocks") + (place < quota % blocks).cast("long")).cast("int")
 
     def span(j: Column) -> Column:
-        edge = F.when(j + 1 >= F.col("blocks"), F.col("_start") + F.col("size")).otherwise((j + 1) * block)
-        return F.struct((F.greatest(j * block, F.col("_start")) - F.col("_start")).alias("start"),
-                        (F.least(edge, F.col("_start") + F.col("size")) - F.col("_start")).alias("stop"),
-                        copies(j).alias("copies"))
+        edge = F.when(j + 1 >= blocks, m("start") + size).otherwise((j + 1) * block)
+        return F.struct((F.greatest(j * block, m("start")) - m("start")).alias("start"),
+                        (F.least(edge, m("start") + size) - m("start")).alias("stop"), copies(j).alias("copies"))
 
-    spans = F.when(F.col("size") > 0, F.transform(
-        F.sequence(within("_start"), within("_start + size - 1")), span)).otherwise(F.array().cast(
-            "array<struct<start:bigint,stop:bigint,copies:int>>"))
-    taken = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s["stop"] - s["start"]) * s["copies"])
-    return (placed.withColumn("_start", start).withColumn("spans", spans).withColumn("taken", taken)
-            .select(*base.columns, "size", "source_size", "target", "taken", "spans"))
+    spans = F.when(size > 0, F.transform(F.sequence(within(m("start")), within(m("start") + size - 1)), span)).otherwise(
+        F.array().cast("array<struct<start:bigint,stop:bigint,copies:int>>"))
+    taken = F.aggregate("_mix_spans", F.lit(0).cast("long"), lambda a, s: a + (s["stop"] - s["start"]) * s["copies"])
+    return (placed.withColumn("_mix_start", m("base") + m("before")).withColumn("_mix_spans", spans)
+            .withColumn("_mix_taken", taken))
 
 
 _word = regex.compile(WORD)
@@ -157,7 +161,7 @@ _word = regex.compile(WORD)
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at, texts = [], []
-        for row, (text, spans) in enumerate(zip(batch["text"].to_pylist(), batch["spans"].to_pylist())):
+        for row, (text, spans) in enumerate(zip(batch["text"].to_pylist(), batch["_mix_spans"].to_pylist())):
             joined: list[list[int]] = []
             for s in spans:
                 if joined and joined[-1][1] == s["start"] and joined[-1][2] == s["copies"]:
@@ -171,7 +175,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pieces = [text[edges[a][0]: edges[b - 1][1]] for a, b, n in joined for _ in range(n)]
             at += [row] * len(pieces)
             texts += pieces
-        out = batch.drop_columns(["spans"]).take(pa.array(at, pa.int64()))
+        out = batch.drop_columns(["_mix_spans"]).take(pa.array(at, pa.int64()))
         i = out.schema.get_field_index("text")
         yield out.set_column(i, out.schema.field(i), pa.array(texts, out.schema.field(i).type))
 
@@ -182,5 +186,5 @@ def mixed_rows(docs: DataFrame, block: int = 2048, seed: int = 7) -> DataFrame:
     A document all of whose words are taken alike keeps its text as it is; else its text
     is cut at the blocks' edges, between words. Documents that are not taken, or have no words, go.
     """
-    mixed = mix_sources(docs, block, seed).where("taken > 0")
-    return mixed.select(*docs.columns, "spans").mapInArrow(_cut, docs.schema)
+    mixed = _mix(docs, block, seed).where("_mix_taken > 0")
+    return mixed.select(*docs.columns, "_mix_spans").mapInArrow(_cut, docs.schema)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm.common import Sketch, blobs, maybe_in, utf8, write_state
-from wordloom.llm.linkjoin import POSTINGS, PROFILE, bitmap, link_components, postings
+from wordloom.llm.linkjoin import POSTINGS, PROFILE, link_components, parities, postings
 from wordloom.llm.textgrams import mix, word_shingles
 
 MOST_NEEDED = 4
@@ -61,9 +61,9 @@ def _count(n: int):
 
 
 def order(tokens: np.ndarray, sketch: Sketch) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens rare first (ties by hash), and their counted numbers of documents."""
+    """Sorted tokens, rare first (ties by hash), and their counted numbers of documents."""
     df = sketch.counted(tokens)
-    at = np.lexsort((tokens, df))
+    at = np.argsort(df, kind="stable")
     return tokens[at], df[at]
 
 
@@ -82,7 +82,7 @@ def choose(df: np.ndarray, base: int) -> int:
 
 def _profile(n: int, num: int, den: int, sketch_var):
     schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("need", pa.int32()), ("prefix", pa.binary()),
-                        ("bitmap", pa.binary())])
+                        ("parity", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = Sketch.of(sketch_var.value)
@@ -99,7 +99,7 @@ def _profile(n: int, num: int, den: int, sketch_var):
                 sizes.append(size)
                 needs.append(need)
                 prefixes.append(ordered[: base - 1 + need].tobytes())
-                maps.append(bitmap(tokens))
+                maps.append(parities(tokens))
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"].take(pa.array(keep, pa.int64())), pa.array(sizes, pa.int64()),
                  pa.array(needs, pa.int32()), blobs(prefixes), blobs(maps)], schema=schema)
