@@ -54,9 +54,8 @@ def most_similar_benchmark(spark: SparkSession, sf_dir: str, k: int = 10) -> Dat
 
 
 def word_vectors(spark: SparkSession, sf_dir: str, dim: int = WV_DIM) -> DataFrame:
-    """Unit-length hash-made vectors for words found in 2+ documents (rarer words
-    are out of vocabulary, like words missing from a pre-trained table)."""
-    vocab = (W.document_frequency(word_counts(spark, sf_dir)).where(F.col("df") >= 2).select("term"))
+    """Unit-length hash-made vectors for all words of the documents."""
+    vocab = W.document_frequency(word_counts(spark, sf_dir)).select("term")
     return E.normalize_vectors(E.hashed_word_vectors(vocab, dim))
 
 

@@ -28,7 +28,7 @@ w AS (SELECT doc_id, side, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id))
 
 def topk_pairs(dist_sql: str, k: int) -> str:
     return f"""r AS (SELECT new_id, old_id, dist,
-              row_number() OVER (PARTITION BY new_id ORDER BY round(dist, 7), old_id) AS rank
+              row_number() OVER (PARTITION BY new_id ORDER BY round(dist, 12), old_id) AS rank
               FROM ({dist_sql}))
 SELECT new_id, rank, old_id, round(dist, 6) + 0.0 AS dist FROM r WHERE rank <= {k}"""
 
@@ -218,7 +218,7 @@ s AS (SELECT p.item_id, p.doc_id,
                   ELSE 1 - coalesce(dots.dot, 0) / (ni.nrm * nx.nrm) END AS dist
       FROM p LEFT JOIN dots USING (item_id, doc_id)
       LEFT JOIN nrm ni ON ni.doc_id = p.item_id AND ni.q LEFT JOIN nrm nx ON nx.doc_id = p.doc_id AND NOT nx.q),
-r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(dist, 7), doc_id) AS rank FROM s)
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(dist, 12), doc_id) AS rank FROM s)
 SELECT item_id, rank, doc_id, round(1 - dist, 6) AS similarity FROM r WHERE rank <= {k}"""
 
 
@@ -231,7 +231,7 @@ def _hash_vec(dim: int = 8) -> str:
 
 def word_vectors_cte(dim: int = 8) -> str:
     return f"""{WORD_COUNTS},
-vocab AS (SELECT term FROM wc GROUP BY term HAVING count(*) >= 2),
+vocab AS (SELECT term FROM wc GROUP BY term),
 raw AS (SELECT term, {_hash_vec(dim)} AS v FROM vocab),
 wv AS (SELECT term, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS vec FROM raw)"""
 
@@ -311,7 +311,7 @@ cen AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS cluster_id, vec FROM (
 dd AS (SELECT e.doc_id, cen.cluster_id, e.label, e.vec,
               sqrt(list_sum(list_transform(list_zip(e.vec, cen.vec), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS dist
        FROM e, cen),
-asg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(dist, 7), cluster_id) AS r FROM dd)
+asg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(dist, 12), cluster_id) AS r FROM dd)
         WHERE r = 1),
 cont AS (SELECT cluster_id, label, count(*) AS n FROM asg GROUP BY cluster_id, label)"""
 

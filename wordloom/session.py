@@ -26,6 +26,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("WORDLOOM_DRIVER_MEMORY", "16g"))
+        .config("spark.wordloom.scanPartitions", str(2 * parts))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -58,35 +59,41 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-# primary key of each input table (hash-partitioning key for small scans)
+# primary key of each input table (the key that spread() partitions by)
 TABLE_KEYS = {"documents": "doc_id", "labels": "doc_id", "embeddings": "vec_id",
               "pages": "page_id", "benchmark": "item_id", "conversations": "conv_id"}
 
 
-def balanced(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Spread a scan that yields fewer splits than twice the cores.
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """``df`` in as many partitions as ``spark.wordloom.scanPartitions`` says; as it is where that is unset.
 
-    Small inputs written as one row group are read by a single task; hashing a
-    *small* scan on its key is cheap (no sort, unlike round-robin) and lets
-    every core tokenise; the hash partitioning on the id also satisfies later
-    groupings that start with that id. Large inputs already have many more
-    splits than cores and are left alone (no shuffle of raw text at scale).
+    For inputs written as one row group, which a single task reads. The setting
+    is the user's: neither the input's size nor the number of cores decides, and no result depends on it.
     """
-    want = 2 * df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want, key) if key else df.repartition(want)
-    return df
+    want = df.sparkSession.conf.get("spark.wordloom.scanPartitions", None)
+    if not want:
+        return df
+    return df.repartition(int(want), key) if key else df.repartition(int(want))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return balanced(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"), TABLE_KEYS.get(name))
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"), TABLE_KEYS.get(name))
 
 
 def write_state(df: DataFrame, name: str = "state") -> DataFrame:
     """Cut lineage by writing a parquet table under ``spark.checkpoint.dir`` (the
-    shared folder) and reading it back; for small per-iteration state tables."""
+    shared folder) and reading it back; for per-iteration state tables."""
     import uuid
     root = ensure_checkpoint_dir(df.sparkSession)
     path = f"{root.rstrip('/')}/wordloom-{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def drop_state(df: DataFrame) -> None:
+    """Delete the files of a superseded ``write_state`` table; nothing may read it any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/wordloom-" in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
