@@ -14,13 +14,19 @@ from pyspark.sql import functions as F
 
 from .stopwords import ENGLISH_STOP_WORDS
 
-# Token patterns. Java's \w is ASCII-only, so the Unicode word class is spelled
+# fixed values: token patterns. Java's \w is ASCII-only, so the Unicode word class is spelled
 # out; the same text works in RE2 (DuckDB) for cross-checks.
 WORD2_PATTERN = r"[\p{L}\p{N}_]{2,}"          # sklearn default token rule: 2+ word chars
 LETTERS_ONLY_PATTERN = "[^a-zA-Z]"             # ASCII letters kept, all else -> space
 PUNCT_TOKEN_PATTERN = r"[\w']+|[.,!?;/-]"      # word/apostrophe runs or one punctuation mark
-WORD_TOKEN_PATTERN = r"\w+(?=n't)|n't|'\w+|\w+(?:-\w+)*|[^\w\s]"  # Treebank-like split
+# Treebank-like split; clitics are marked off first, so no look-ahead is needed
+CLITIC_PATTERN = r"([\p{L}\p{N}_])(n't)"
+WORD_TOKEN_PATTERN = r"n't|'[\p{L}\p{N}_]+|[\p{L}\p{N}_]+(?:-[\p{L}\p{N}_]+)*|[^\p{L}\p{N}_ \t\n\x0B\f\r\x01]"
 SENTENCE_BREAK = "\u0001"
+# fixed values: abbreviations that a full stop does not end a sentence after
+ABBREVIATIONS = ["Mr", "Mrs", "Ms", "Dr", "Prof", "Sr", "Jr", "St", "Gen", "Col", "Capt", "Lt", "Rev", "Hon", "Sen", "Rep", "Gov",
+                 "Inc", "Ltd", "Co", "Corp", "vs", "etc", "No", "Fig", "al", "e.g", "i.e", "U.S", "U.K", "a.m", "p.m"]
+ABBREVIATION_BREAK = r"(^|[ \t\n(\x01])(" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r")\.\x01"
 WS = r"[ \t\n\x0B\f\r]+"                          # str.split() whitespace, spelled out
 
 
@@ -119,12 +125,14 @@ def punct_tokens(col) -> Column:
 
 def word_tokens(col) -> Column:
     """Words with punctuation and contractions split off (did|n't, they|'re)."""
-    return F.regexp_extract_all(_c(col), F.lit(WORD_TOKEN_PATTERN), 0)
+    marked = F.regexp_replace(_c(col), CLITIC_PATTERN, "$1" + SENTENCE_BREAK + "$2")
+    return F.regexp_extract_all(marked, F.lit(WORD_TOKEN_PATTERN), 0)
 
 
 def split_sentences(col) -> Column:
-    """Split after ., ! or ? followed by whitespace; empty pieces dropped."""
+    """Split after ., ! or ? followed by whitespace, but not after an abbreviation; empty pieces dropped."""
     marked = F.regexp_replace(F.trim(_c(col)), r"([.!?])" + WS, "$1" + SENTENCE_BREAK)
+    marked = F.regexp_replace(marked, ABBREVIATION_BREAK, "$1$2. ")
     return F.filter(F.split(marked, SENTENCE_BREAK), lambda s: F.length(s) > 0)
 
 

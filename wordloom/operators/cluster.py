@@ -1,87 +1,187 @@
 """Clustering and cluster scoring on DataFrames.
 
-* assignment to given centres reuses the blocked top-k (k = 1): centres are the
-  reference side, so no cross join and no per-row Python;
-* k-means / spherical k-means are MLlib ``KMeans`` (Euclidean / cosine);
-* spectral clustering is power-iteration clustering (MLlib) over an RBF
-  affinity restricted to each point's exact k nearest neighbours (bounded
-  output per point, never all pairs);
+* the k centres are bounded by k, so assignment is map-side: centres travel with
+  the task, points are not shuffled;
+* k-means and spherical k-means are Lloyd steps from centres chosen by a hash of
+  the id: a grouped mean per step, the same result for any partitioning;
+* spectral clustering: the normalised adjacency of the exact k-nearest-neighbour
+  graph, block power iteration as a join and a grouped sum per step, then k-means;
 * purity and entropy are grouped aggregates over the (cluster, label)
   contingency table; one hot cluster is just one big partial aggregate.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans, PowerIterationClustering
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from .similarity import dense_topk_sided
+from ..session import drop_state, write_state
+from .similarity import RANK_PLACES, dense_topk_sided
+
+_ASSIGNED = "doc_id long, cluster_id long, dist double, vec array<double>"
+
+
+def _rows(vecs: pa.Array, dim: int) -> np.ndarray:
+    return np.asarray(vecs.flatten(), np.float64).reshape(-1, dim)
+
+
+def _assign(points: DataFrame, centers: list[tuple[int, list[float]]], metric: str) -> DataFrame:
+    """(doc_id, cluster_id, dist, vec); ties (to 12 places) to the lower cluster id."""
+    centers = sorted(centers)
+    ids, c = np.array([i for i, _ in centers], np.int64), np.array([v for _, v in centers], np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, dist = _rows(batch["vec"], c.shape[1]), np.empty((batch.num_rows, len(c)))
+            for j, centre in enumerate(c):
+                if metric == "cosine":
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        dist[:, j] = 1.0 - x @ centre / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(centre @ centre))
+                else:
+                    diff = x - centre
+                    dist[:, j] = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+            best = np.argmin(np.round(np.nan_to_num(dist, nan=np.inf), RANK_PLACES), axis=1)
+            near = dist[np.arange(len(x)), best]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ids[best]), pa.array(near), batch["vec"]],
+                                             ["doc_id", "cluster_id", "dist", "vec"])
+
+    return points.select("doc_id", V.as_double_array("vec").alias("vec")).mapInArrow(run, _ASSIGNED)
+
+
+def _collected(centers: DataFrame) -> list[tuple[int, list[float]]]:
+    """The centres as rows on the driver: k of them."""
+    return [(int(r["cluster_id"]), [float(x) for x in r["vec"]]) for r in centers.select("cluster_id", "vec").collect()]
 
 
 def assign_nearest(points: DataFrame, centers: DataFrame, metric: str = "euclidean") -> DataFrame:
     """(doc_id, cluster_id, dist): nearest centre, ties to the lower cluster id.
 
-    points: (doc_id, vec); centers: (cluster_id, vec).
+    points: (doc_id, vec); centers: (cluster_id, vec), k rows.
     """
-    rows = (points.select("doc_id", F.lit(True).alias("is_query"), "vec")
-                  .unionByName(centers.select(F.col("cluster_id").cast("long").alias("doc_id"),
-                                              F.lit(False).alias("is_query"), "vec")))
-    top = dense_topk_sided(rows, 1, metric)
-    return top.select(F.col("query_id").alias("doc_id"), F.col("ref_id").alias("cluster_id"), "dist")
+    return _assign(points, _collected(centers), metric).select("doc_id", "cluster_id", "dist")
+
+
+def _means(assigned: DataFrame) -> DataFrame:
+    return (assigned.groupBy("cluster_id")
+            .agg(F.count(F.lit(1)).alias("n"), Summarizer.mean(array_to_vector("vec")).alias("m"),
+                 F.sum(F.col("dist") * F.col("dist")).alias("cost"))
+            .select("cluster_id", "n", vector_to_array("m").alias("vec"), "cost"))
 
 
 def lloyd_step(points: DataFrame, centers: DataFrame) -> DataFrame:
     """One Lloyd iteration: (cluster_id, n, vec, cost) of the new centres."""
-    a = assign_nearest(points, centers).join(points, "doc_id")
-    return (a.groupBy("cluster_id")
-             .agg(F.count(F.lit(1)).alias("n"), Summarizer.mean(array_to_vector("vec")).alias("m"),
-                  F.sum(F.col("dist") * F.col("dist")).alias("cost"))
-             .select("cluster_id", "n", vector_to_array("m").alias("vec"), "cost"))
+    return _means(_assign(points, _collected(centers), "euclidean"))
+
+
+def hashed_centres(points: DataFrame, k: int) -> DataFrame:
+    """(cluster_id, vec): the k points whose ids have the smallest md5, numbered in that order (a bounded top-k)."""
+    key = F.md5(F.col("doc_id").cast("string").cast("binary"))
+    first = points.select(key.alias("h"), "doc_id", "vec").orderBy("h", "doc_id").limit(k)
+    number = F.row_number().over(Window.orderBy("h", "doc_id")) - 1  # over those k rows
+    return first.select(number.cast("long").alias("cluster_id"), V.as_double_array("vec").alias("vec"))
 
 
-def kmeans(points: DataFrame, k: int, max_iter: int = 100, seed: int = 1,
-           metric: str = "euclidean", tol: float = 1e-4):
-    """MLlib k-means (``metric='cosine'`` = spherical). Zero vectors are kept out
-    of cosine k-means (undefined direction) and returned as cluster -1.
+def kmeans(points: DataFrame, k: int, max_iter: int = 100, metric: str = "euclidean", centres: DataFrame | None = None):
+    """Lloyd's k-means (``metric='cosine'`` = spherical: unit points, unit centres).
+
+    Starts from ``centres`` (default: ``hashed_centres``) and stops when no centre
+    moves, or after ``max_iter`` steps. Centres are kept to 12 places, so the
+    order of summation does not show. A cluster that loses all points keeps its
+    centre. Zero vectors are kept out of cosine k-means (undefined direction) and returned as cluster -1.
 
     Returns (assignments(doc_id, cluster_id), centers(cluster_id, vec)).
     """
-    data = points.select("doc_id", array_to_vector(V.as_double_array("vec")).alias("features"))
-    fit_on = data
-    if metric == "cosine":
-        fit_on = data.where(V.norm(vector_to_array("features")) > 0)
-    model = KMeans(k=k, maxIter=max_iter, seed=seed, tol=tol, distanceMeasure=metric,
-                   featuresCol="features", predictionCol="cluster_id").fit(fit_on)
-    assigned = model.transform(fit_on).select("doc_id", F.col("cluster_id").cast("long"))
+    spark = points.sparkSession
+    data = points.select("doc_id", V.as_double_array("vec").alias("vec"))
+    zero = None
     if metric == "cosine":
-        zero = data.where(V.norm(vector_to_array("features")) == 0).select(
-            "doc_id", F.lit(-1).cast("long").alias("cluster_id"))
+        zero = data.where(V.norm("vec") == 0).select("doc_id", F.lit(-1).cast("long").alias("cluster_id"))
+        data = data.where(V.norm("vec") > 0).select("doc_id", V.l2_normalize("vec").alias("vec"))
+    data = write_state(data, "points")
+    now = dict(_collected(hashed_centres(data, k) if centres is None else centres))
+    for _ in range(max_iter):
+        if not now:
+            break
+        got = {r["cluster_id"]: np.array(r["vec"]) for r in _means(_assign(data, list(now.items()), metric)).collect()}
+        if metric == "cosine":
+            got = {i: v / max(np.sqrt(v @ v), 1e-300) for i, v in got.items()}
+        after = now | {i: [float(x) for x in np.round(v, RANK_PLACES)] for i, v in got.items()}
+        if after == now:
+            break
+        now = after
+    assigned = _assign(data, list(now.items()), metric).select("doc_id", "cluster_id") if now else \
+        data.select("doc_id", F.lit(0).cast("long").alias("cluster_id"))
+    if zero is not None:
         assigned = assigned.unionByName(zero)
-    spark = points.sparkSession
-    centers = spark.createDataFrame(
-        [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
-        "cluster_id long, vec array<double>")
-    return assigned, centers
+    return assigned, spark.createDataFrame(sorted(now.items()), "cluster_id long, vec array<double>")
 
 
-def spectral(points: DataFrame, k: int, neighbours: int = 10, gamma: float = 1.0,
-             max_iter: int = 30, seed: int = 1) -> DataFrame:
-    """Spectral clustering: RBF affinity exp(-gamma * d^2) on the exact
-    ``neighbours``-nearest-neighbour graph (symmetrised), then power-iteration
-    clustering. Returns (doc_id, cluster_id)."""
+def neighbour_graph(points: DataFrame, neighbours: int = 10) -> DataFrame:
+    """(a, b, w), both directions: exact nearest neighbours, weight exp(-d^2 / mean d^2), so no scale underflows."""
     rows = (points.select("doc_id", F.lit(True).alias("is_query"), "vec")
                   .unionByName(points.select("doc_id", F.lit(False).alias("is_query"), "vec")))
-    nn = dense_topk_sided(rows, neighbours + 1, "euclidean").where(F.col("query_id") != F.col("ref_id"))
-    edges = nn.select(F.least("query_id", "ref_id").alias("src"), F.greatest("query_id", "ref_id").alias("dst"),
-                      F.exp(-gamma * F.col("dist") * F.col("dist")).alias("weight"))
-    edges = edges.groupBy("src", "dst").agg(F.max("weight").alias("weight"))
-    pic = PowerIterationClustering(k=k, maxIter=max_iter, initMode="degree", weightCol="weight")
-    out = pic.assignClusters(edges)
-    return out.select(F.col("id").alias("doc_id"), F.col("cluster").cast("long").alias("cluster_id"))
+    nn = write_state(dense_topk_sided(rows, neighbours + 1, "euclidean").where(F.col("query_id") != F.col("ref_id"))
+                     .select(F.least("query_id", "ref_id").alias("a"), F.greatest("query_id", "ref_id").alias("b"),
+                             (F.col("dist") * F.col("dist")).alias("d2")).distinct(), "neighbours")
+    scale = F.greatest(nn.select(F.avg("d2")).scalar(), F.lit(1e-300))
+    one = nn.select("a", "b", F.exp(-F.col("d2") / scale).alias("w"))
+    return write_state(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), "graph")
+
+
+def spectral(points: DataFrame, k: int, neighbours: int = 10, max_iter: int = 50, tol: float = 1e-4) -> DataFrame:
+    """Spectral clustering (doc_id, cluster_id): the k leading eigenvectors of the normalised adjacency
+    D^-1/2 W D^-1/2 (the smallest of the normalised Laplacian) of the neighbour graph, rows scaled to unit length, k-means.
+
+    ``neighbours``, ``max_iter`` and ``tol`` are parameters of the method. Block
+    power iteration on (I + A) / 2: a step is one join of the edges with the
+    vectors and one grouped sum; only the k x k Gram matrix reaches the driver.
+    """
+    spark = points.sparkSession
+    graph = neighbour_graph(points, neighbours)
+    degree = graph.groupBy("a").agg(F.sum("w").alias("deg"))
+    edges = write_state(
+        graph.join(degree, "a").join(degree.select(F.col("a").alias("b"), F.col("deg").alias("deg_b")), "b")
+        .select("a", "b", (F.col("w") / F.sqrt(F.col("deg") * F.col("deg_b"))).alias("w")), "edges")
+    # start: numbers from md5, the same everywhere
+    draw = [F.conv(F.substring(F.md5(F.concat_ws(":", F.col("a").cast("string"), F.lit(str(j))).cast("binary")), 1, 8), 16, 10)
+            .cast("double") / 4294967296.0 - 0.5 for j in range(k)]
+    now, last = write_state(degree.select("a", F.array(*draw).alias("v")), "block"), None
+    for _ in range(max_iter):
+        moved = (edges.join(now.withColumnRenamed("a", "b"), "b").groupBy("a")
+                 .agg(Summarizer.sum(array_to_vector("v"), F.col("w")).alias("s")))
+        step = write_state(moved.join(now, "a").select("a", F.zip_with(
+            vector_to_array("s"), "v", lambda x, y: (x + y) / 2).alias("y")), "block")
+        gram = np.array(step.select(*[F.sum(F.col("y")[i] * F.col("y")[j]).alias(f"g{i}_{j}")
+                                      for i in range(k) for j in range(k)]).first(), float).reshape(k, k)
+        values, turn = np.linalg.eigh(gram)
+        turn = turn[:, ::-1] / np.sqrt(np.maximum(values[::-1], 1e-300))
+        rotated = F.array(*[sum((F.col("y")[i] * float(turn[i, j]) for i in range(1, k)), F.col("y")[0] * float(turn[0, j]))
+                            for j in range(k)])
+        after = write_state(step.select("a", rotated.alias("v")), "block")
+        for old in (now, step):
+            drop_state(old)
+        now, size = after, np.sqrt(np.maximum(values[::-1], 0.0))
+        if last is not None and np.abs(size - last).max() < tol:
+            break
+        last = size
+    unit = now.select(F.col("a").alias("doc_id"), V.l2_normalize("v").alias("vec"))
+    # start from points far apart: each next centre is the point least like those chosen so far
+    chosen = [list(unit.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary"))).select("vec").first()["vec"])]
+    while len(chosen) < k:
+        like = F.greatest(*[F.aggregate(F.zip_with("vec", F.array(*map(F.lit, c)), lambda x, y: x * y), F.lit(0.0),
+                                        lambda s, x: s + x) for c in chosen], F.lit(-2.0))
+        chosen.append(list(unit.orderBy(F.round(like, 9), "doc_id").select("vec").first()["vec"]))
+    start = spark.createDataFrame(list(enumerate(chosen)), "cluster_id long, vec array<double>")
+    return kmeans(unit, k, centres=start)[0]
 
 
 def contingency(assign: DataFrame, labels: DataFrame) -> DataFrame:

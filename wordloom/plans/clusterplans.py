@@ -8,15 +8,17 @@ from functools import reduce as _reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import cluster as C
 from ..operators import reduce as R
 from ..operators import weights as W
 from ..session import cut_lineage, table
-from .corpus import NEW, two_sided
-from .similar import is_old, n_old_docs, side_counts, tfidf_weights
+from .corpus import two_sided
+from .similar import is_old, n_old_docs, side_counts
 
 K = 10
+LLOYD_STEPS = 8  # the steps that the SQL form unrolls
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,19 +72,19 @@ def _scored(method: str, assign: DataFrame, labels: DataFrame) -> DataFrame:
 
 def kmeans_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     pts = points(spark, sf_dir)
-    assign, _ = C.kmeans(pts.select("doc_id", "vec"), K, max_iter=100, seed=1)
+    assign, _ = C.kmeans(pts.select("doc_id", "vec"), K, max_iter=LLOYD_STEPS)
     return _scored("kmeans", assign, pts.select("doc_id", "label"))
 
 
 def spherical_kmeans_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     pts = points(spark, sf_dir)
-    assign, _ = C.kmeans(pts.select("doc_id", "vec"), K, max_iter=100, seed=1, metric="cosine")
+    assign, _ = C.kmeans(pts.select("doc_id", "vec"), K, max_iter=LLOYD_STEPS, metric="cosine")
     return _scored("spherical_kmeans", assign, pts.select("doc_id", "label"))
 
 
 def spectral_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     pts = points(spark, sf_dir)
-    assign = C.spectral(pts.select("doc_id", "vec"), K, neighbours=10, gamma=1.0)
+    assign = C.spectral(pts.select("doc_id", "vec"), K, neighbours=10)
     return _scored("spectral", assign, pts.select("doc_id", "label"))
 
 
@@ -98,8 +100,8 @@ def compare_clusterings(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pts.select("doc_id", "vec")
     parts = [
         _scored("nearest_first_k", C.assign_nearest(p, first_centres(pts)).select("doc_id", "cluster_id"), labels),
-        _scored("kmeans", C.kmeans(p, K, seed=1)[0], labels),
-        _scored("spherical_kmeans", C.kmeans(p, K, seed=1, metric="cosine")[0], labels),
+        _scored("kmeans", C.kmeans(p, K, max_iter=LLOYD_STEPS)[0], labels),
+        _scored("spherical_kmeans", C.kmeans(p, K, max_iter=LLOYD_STEPS, metric="cosine")[0], labels),
         _scored("spectral", C.spectral(p, K), labels),
         _scored("single_linkage", _single_linkage_cut(p), labels),
     ]
@@ -122,6 +124,36 @@ def top_terms_per_source(spark: SparkSession, sf_dir: str, n: int = 20) -> DataF
                       F.round("weight", 6).alias("weight"))
 
 
+def _document_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, vec, label): averaged word vectors of every document; the label is its source."""
+    from .embedplans import doc_vectors_mean
+    vecs = doc_vectors_mean(spark, sf_dir).select("doc_id", "vec")
+    return vecs.join(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("label")), "doc_id")
+
+
+def kmeans_documents_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corpus -> document vectors -> k-means -> purity and entropy against the sources."""
+    pts = cut_lineage(_document_points(spark, sf_dir))
+    assign, _ = C.kmeans(pts.select("doc_id", "vec"), K, max_iter=LLOYD_STEPS)
+    return _scored("kmeans_documents", assign, pts.select("doc_id", "label"))
+
+
+def kmeans_documents_top_terms(spark: SparkSession, sf_dir: str, n: int = 20) -> DataFrame:
+    """The ``n`` heaviest terms of every document cluster: mean L2-normalised TF-IDF row of its documents."""
+    pts = cut_lineage(_document_points(spark, sf_dir))
+    assign, _ = C.kmeans(pts.select("doc_id", "vec"), K, max_iter=LLOYD_STEPS)
+    assign = cut_lineage(assign)
+    docs = table(spark, sf_dir, "documents")
+    counts = W.term_counts(docs.select("doc_id", T.unicode_terms("text").alias("tokens")))
+    model = W.fit_tfidf(counts, W.count_docs(docs.select("doc_id")), mode="smooth")
+    w = W.apply_tfidf(counts, model, normalize=True)
+    sizes = assign.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("nd"))
+    centres = (w.join(assign, "doc_id").groupBy("cluster_id", "term").agg(F.sum("w").alias("s"))
+                .join(sizes, "cluster_id").select("cluster_id", "term", (F.col("s") / F.col("nd")).alias("weight")))
+    top = C.top_terms(centres.withColumn("weight", F.round("weight", 9)), n)
+    return top.select("cluster_id", F.col("rank").cast("long").alias("rank"), "term", F.round("weight", 6).alias("weight"))
+
+
 # ----------------------------------------------------------------------------- reduction
 def _lsi(spark: SparkSession, sf_dir: str, rank: int, max_features: int):
     """Tokenise once: counts and TF-IDF rows are checkpointed and feed the
@@ -129,7 +161,7 @@ def _lsi(spark: SparkSession, sf_dir: str, rank: int, max_features: int):
     counts = cut_lineage(side_counts(spark, sf_dir))
     model = W.fit_tfidf(counts, n_old_docs(spark, sf_dir), max_features=max_features,
                         mode="smooth", where=is_old())
-    vocab = [r["term"] for r in model.select("term").orderBy("term").collect()]  # bounded by the cut
+    vocab = [r["term"] for r in model.select("term").orderBy("term").collect()]  # at most max_features
     weights = cut_lineage(W.apply_tfidf(counts, model, normalize=True, keep=("side",)))
     feats = R.rows_from_weights(weights.where(is_old()), vocab)
     v, s = R.fit_lsi(feats, min(rank, len(vocab)), len(vocab))
@@ -138,9 +170,15 @@ def _lsi(spark: SparkSession, sf_dir: str, rank: int, max_features: int):
 
 
 def lsi_doc_vectors(spark: SparkSession, sf_dir: str, rank: int = 100, max_features: int = 2000) -> DataFrame:
-    """LSI: TF-IDF (old side, vocabulary cut) -> rank-r SVD -> fold both sides -> L2 norm."""
+    """LSI: TF-IDF (old side, the ``max_features`` most frequent terms) -> rank-r SVD -> fold both sides -> L2 norm.
+
+    A row for every document; one without a term of the vocabulary is all zeros.
+    """
     weights, comps = _lsi(spark, sf_dir, rank, max_features)
     out = R.lsi_transform(weights, comps, keys=("doc_id", "side"))
+    kept = len(comps.first()["comp"])
+    out = (two_sided(spark, sf_dir, "n_chars").select("doc_id", "side").join(out, ["doc_id", "side"], "left")
+           .withColumn("vec", F.coalesce("vec", V.zeros(kept))))
     return out.select("doc_id", "side", V.round_array("vec", 6).alias("vec"))
 
 

@@ -76,6 +76,23 @@ def doc_vectors_tfidf(spark: SparkSession, sf_dir: str, tf_mode: str = "raw") ->
     return out.select("doc_id", "side", V.round_array("vec", 6).alias("vec"))
 
 
+def _topk_vectors(vectors: DataFrame, k: int) -> DataFrame:
+    rows = vectors.select("doc_id", (F.col("side") == NEW).alias("is_query"), "vec")
+    top = dense_topk_sided(rows, k, "cosine")
+    return top.select(F.col("query_id").alias("new_id"), F.col("rank").cast("long").alias("rank"),
+                      F.col("ref_id").alias("old_id"), (F.round("dist", 6) + F.lit(0.0)).alias("dist"))
+
+
+def topk_doc_vectors_mean(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
+    """The k nearest old documents of every new one, by averaged word vectors."""
+    return _topk_vectors(doc_vectors_mean(spark, sf_dir), k)
+
+
+def topk_doc_vectors_tfidf(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
+    """The same by TF-IDF-weighted word vectors."""
+    return _topk_vectors(doc_vectors_tfidf(spark, sf_dir), k)
+
+
 def _seq_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return S.positioned(docs, S.sequence_tokens("text"))

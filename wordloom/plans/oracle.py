@@ -5,6 +5,7 @@ Spark plan; doubles are rounded to 6 places in both."""
 from __future__ import annotations
 
 from ..functions.stopwords import ENGLISH_STOP_WORDS
+from ..functions.text import ABBREVIATION_BREAK
 
 TERM_RE = r"[\p{L}\p{N}_]{2,}"
 
@@ -109,7 +110,8 @@ FILTER_REPORT = f"""SELECT count(*) AS n_before, count(*) FILTER (WHERE n > 0) A
        count(*) FILTER (WHERE n = 0) AS n_removed
 FROM (SELECT len({_clean_tokens()}) AS n FROM documents)"""
 
-_SENTS = f"""list_filter(string_split(regexp_replace(trim(text), '([.!?]){WS}', '\\1' || chr(1), 'g'), chr(1)),
+_SENTS = f"""list_filter(string_split(regexp_replace(regexp_replace(trim(text), '([.!?]){WS}', '\\1' || chr(1), 'g'),
+                             '{ABBREVIATION_BREAK}', '\\1\\2. ', 'g'), chr(1)),
                          lambda s: length(s) > 0)"""
 _WORDS = f"""list_filter(list_transform({_SENTS},
                lambda s: {_ws_tokens("lower(regexp_replace(s, '[^a-zA-Z]', ' ', 'g'))")}), lambda w: len(w) > 0)"""
@@ -342,3 +344,127 @@ sz AS (SELECT source, count(*) AS nd FROM documents GROUP BY source),
 cen AS (SELECT source, term, sum(wn) / any_value(nd) AS weight FROM w JOIN sz USING (source) GROUP BY source, term),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY weight DESC, term) AS rank FROM cen)
 SELECT source, rank, term, round(weight, 6) AS weight FROM r WHERE rank <= 20"""
+
+
+def _lloyd_sql(points: str, dim: int, k: int = 10, steps: int = 8, cosine: bool = False) -> str:
+    """CTEs that end in a (doc_id, cluster_id, label): unrolled Lloyd steps from hash-chosen centres."""
+    unit = "list_transform(vec, lambda v: v / sqrt(list_dot_product(vec, vec)))"
+    vec = unit if cosine else "vec"
+    where = "WHERE list_dot_product(vec, vec) > 0" if cosine else ""
+    if cosine:
+        dist = "1 - list_dot_product(x.vec, c.vec) / (sqrt(list_dot_product(x.vec, x.vec)) * sqrt(list_dot_product(c.vec, c.vec)))"
+    else:
+        dist = "sqrt(list_sum(list_transform(list_zip(x.vec, c.vec), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))"
+    parts = [f"""p AS MATERIALIZED ({points}),
+x AS MATERIALIZED (SELECT doc_id, {vec} AS vec, label FROM p {where}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS cluster_id, vec
+       FROM (SELECT * FROM x ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT {k}))"""]
+    for i in range(steps + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (SELECT doc_id, cluster_id, label, vec FROM (
+  SELECT x.doc_id, c.cluster_id, x.label, x.vec,
+         row_number() OVER (PARTITION BY x.doc_id ORDER BY round({dist}, 12), c.cluster_id) AS r FROM x, c{i} c) WHERE r = 1)""")
+        if i < steps:
+            parts.append(f"""m{i} AS MATERIALIZED (SELECT cluster_id, list(m ORDER BY i) AS vec FROM (
+  SELECT cluster_id, i, avg(vec[i]) AS m FROM a{i}, range(1, {dim + 1}) AS g(i) GROUP BY ALL) GROUP BY cluster_id),
+n{i} AS MATERIALIZED (SELECT cluster_id, {unit if cosine else 'vec'} AS vec FROM m{i}),
+c{i + 1} AS MATERIALIZED (SELECT cluster_id, list_transform(vec, lambda v: round(v, 12)) AS vec FROM n{i}
+       UNION ALL SELECT * FROM c{i} WHERE cluster_id NOT IN (SELECT cluster_id FROM n{i}))""")
+    if cosine:
+        parts.append(f"""a AS (SELECT doc_id, cluster_id, label FROM a{steps}
+  UNION ALL SELECT doc_id, -1, label FROM p WHERE list_dot_product(vec, vec) = 0)""")
+    else:
+        parts.append(f"a AS (SELECT doc_id, cluster_id, label FROM a{steps})")
+    return ",\n".join(parts)
+
+
+def _scores_sql(method: str) -> str:
+    return f"""cont AS (SELECT cluster_id, label, count(*) AS n FROM a GROUP BY ALL),
+per AS (SELECT cluster_id, sum(n) AS nc, max(n) AS mx, sum(n * log2(n)) AS snl FROM cont GROUP BY cluster_id)
+SELECT '{method}' AS method, sum(nc) AS n, round(sum(mx) / sum(nc), 6) AS purity,
+       round(sum(nc * (snl / nc - log2(nc))) / sum(nc), 6) AS entropy FROM per"""
+
+
+KMEANS_SCORES = f"""WITH {EMB},
+{_lloyd_sql("SELECT doc_id, vec, label FROM e", 64)},
+{_scores_sql("kmeans")}"""
+
+SPHERICAL_KMEANS_SCORES = f"""WITH {EMB},
+{_lloyd_sql("SELECT doc_id, vec, label FROM e", 64, cosine=True)},
+{_scores_sql("spherical_kmeans")}"""
+
+_DOC_POINTS = f"""dv AS MATERIALIZED ({_vec_of("SELECT wc.doc_id, wc.side, wc.n, wv.vec FROM wc JOIN wv USING (term)", "n")}),
+{_lloyd_sql("SELECT dv.doc_id, dv.vec, documents.source AS label FROM dv JOIN documents USING (doc_id)", 8)}"""
+
+KMEANS_DOCUMENTS_SCORES = f"""WITH {SIDES}, {word_vectors_cte()},
+{_DOC_POINTS},
+{_scores_sql("kmeans_documents")}"""
+
+KMEANS_DOCUMENTS_TOP_TERMS = f"""WITH {SIDES}, {word_vectors_cte()},
+{_DOC_POINTS},
+{COUNTS},
+nd AS (SELECT count(*)::DOUBLE AS n FROM documents),
+idf AS (SELECT term, ln((nd.n + 1) / (count(*) + 1)) + 1 AS idf FROM c, nd GROUP BY term, nd.n),
+w0 AS (SELECT c.doc_id, c.term, c.n * idf.idf AS w FROM c JOIN idf USING (term)),
+w AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS wn FROM w0),
+sz AS (SELECT cluster_id, count(*) AS nd FROM a GROUP BY cluster_id),
+cen AS (SELECT cluster_id, term, round(sum(wn) / any_value(nd), 9) AS weight
+        FROM w JOIN a USING (doc_id) JOIN sz USING (cluster_id) GROUP BY cluster_id, term),
+r AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY weight DESC, term) AS rank FROM cen)
+SELECT cluster_id, rank, term, round(weight, 6) AS weight FROM r WHERE rank <= 20"""
+
+
+# ----------------------------------------------------------------------------- document vectors and counts, old and new
+def topk_doc_vectors_sql(vectors: str, k: int = 3) -> str:
+    """``vectors``: a query that ends in SELECT doc_id, side, vec."""
+    dist = ("1 - list_dot_product(q.vec, r.vec) / "
+            "(sqrt(list_dot_product(q.vec, q.vec)) * sqrt(list_dot_product(r.vec, r.vec)))")
+    pairs = f"""SELECT q.doc_id AS new_id, r.doc_id AS old_id,
+       CASE WHEN list_dot_product(q.vec, q.vec) = 0 OR list_dot_product(r.vec, r.vec) = 0 THEN 'NaN'::DOUBLE
+            ELSE {dist} END AS dist
+       FROM v q, v r WHERE q.side = 'new' AND r.side = 'old'"""
+    return f"""WITH v AS MATERIALIZED ({vectors}),
+{topk_pairs(pairs, k)}"""
+
+
+def topk_counts_sql(metric: str, k: int = 3) -> str:
+    pairs = "SELECT n.doc_id AS new_id, o.doc_id AS old_id FROM d n, d o WHERE n.side = 'new' AND o.side = 'old'"
+    if metric == "cosine":
+        dist = """CASE WHEN coalesce(x.sq, 0) = 0 OR coalesce(y.sq, 0) = 0 THEN 'NaN'::DOUBLE
+                  ELSE 1 - coalesce(dot, 0) / (sqrt(x.sq) * sqrt(y.sq)) END"""
+    else:
+        dist = "sqrt((coalesce(x.sq, 0) + coalesce(y.sq, 0) - 2 * coalesce(dot, 0))::DOUBLE)"  # whole numbers: exact
+    return f"""WITH {SIDES},
+{COUNTS},
+vocab AS (SELECT DISTINCT term FROM c WHERE side = 'old'),
+w AS (SELECT c.* FROM c JOIN vocab USING (term)),
+q AS (SELECT doc_id, sum(n * n)::BIGINT AS sq FROM w GROUP BY doc_id),
+sh AS (SELECT a.doc_id AS new_id, b.doc_id AS old_id, sum(a.n * b.n)::BIGINT AS dot
+       FROM w a JOIN w b ON a.term = b.term WHERE a.side = 'new' AND b.side = 'old' GROUP BY 1, 2),
+{topk_pairs(f'''SELECT p.new_id, p.old_id, {dist} AS dist FROM ({pairs}) p LEFT JOIN sh USING (new_id, old_id)
+       LEFT JOIN q x ON x.doc_id = p.new_id LEFT JOIN q y ON y.doc_id = p.old_id''', k)}"""
+
+
+# ----------------------------------------------------------------------------- words, html
+_W = r"[\p{L}\p{N}_]"
+_MARKED = rf"regexp_replace(lower(text), '({_W})(n''t)', '\1' || chr(1) || '\2', 'g')"
+_WORD_TOKENS = (rf"regexp_extract_all({_MARKED}, 'n''t|''{_W}+|{_W}+(?:-{_W}+)*|"
+                r"[^\p{L}\p{N}_ \t\n\x0B\f\r\x01]')")
+WORD_TOKEN_STATS = f"""SELECT doc_id, len({_WORD_TOKENS})::BIGINT AS n_tokens,
+  len(list_filter({_WORD_TOKENS}, lambda x: starts_with(x, chr(39)) OR x = 'n' || chr(39) || 't'))::BIGINT AS n_clitics
+FROM documents"""
+
+
+def _html_text(x: str) -> str:
+    from ..functions import html as H
+    for pattern, to in H.STEPS:
+        quoted = pattern.replace("'", "''")
+        x = f"regexp_replace({x}, '{quoted}', {H.sql_literal(to)}, 'g')"
+    for name, to in H.ENTITIES:
+        x = f"replace({x}, '&{name};', {H.sql_literal(to)})"
+    return x
+
+
+HTML_TEXT = f"""WITH t AS (SELECT page_id, replace({_html_text("html")}, '&amp;', '&#38;') AS t FROM pages),
+n AS (SELECT page_id, list_reduce(list_prepend(t, list_distinct(regexp_extract_all(t, '&#([0-9]{{1,6}});', 1))),
+        lambda a, b: replace(a, '&#' || b || ';', chr(b::INTEGER))) AS t FROM t)
+SELECT page_id, length(t)::BIGINT AS n_chars, len({_ws_tokens("t")})::BIGINT AS n_words FROM n"""

@@ -23,9 +23,7 @@ def is_old():
 def side_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, side, term, n) with the 2+ word-character token rule."""
     docs = two_sided(spark, sf_dir)
-    pieces = F.split(F.lower("text"), r"[^\p{L}\p{N}_]+")
-    return W.term_counts(docs.select("doc_id", "side", pieces.alias("tokens")),
-                         keep=("side",), min_len=2)
+    return W.term_counts(docs.select("doc_id", "side", T.unicode_terms("text").alias("tokens")), keep=("side",))
 
 
 def side_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,11 +60,11 @@ def topk_tfidf(spark: SparkSession, sf_dir: str, k: int = 3, metric: str = "cosi
     return _report(sparse_topk_sided(w, side_ids(spark, sf_dir), k, metric))
 
 
-def topk_counts_jaccard(spark: SparkSession, sf_dir: str, k: int = 3,
-                        max_features: int | None = None) -> DataFrame:
-    """Real-valued Jaccard top-k over the count matrix fitted on the old side."""
+def topk_counts(spark: SparkSession, sf_dir: str, k: int = 3, metric: str = "jaccard",
+                max_features: int | None = None) -> DataFrame:
+    """Top-k over the count matrix fitted on the old side."""
     counts = side_counts(spark, sf_dir)
     vocab = W.fit_vocabulary(counts, max_features, where=is_old())
     w = W.apply_counts(counts, vocab, keep=("side",)).select(
         "doc_id", (F.col("side") == NEW).alias("is_query"), "term", F.col("n").alias("w"))
-    return _report(sparse_topk_sided(w, side_ids(spark, sf_dir), k, "jaccard"))
+    return _report(sparse_topk_sided(w, side_ids(spark, sf_dir), k, metric))
