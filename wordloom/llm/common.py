@@ -47,6 +47,16 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0]: at[-1]], at - at[0]
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that ``column`` has about ``limit`` bytes in each; a longer value is alone."""
+    for batch in batches:
+        at, lo = utf8(batch[column])[1], 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + limit, "right")) - 1)
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def blobs(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, pa.binary())
 
@@ -97,7 +107,7 @@ def without(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
         .select(*df.columns))
 
 
-SKETCH_BITS, SKETCH_ROWS, SLICES = 20, 2, 16
+SKETCH_BITS, SKETCH_ROWS, SLICES = 19, 2, 64
 
 
 class Sketch:
@@ -129,9 +139,10 @@ class Sketch:
 
     @staticmethod
     def gather(parts: DataFrame):
-        """A broadcast of the sum of (slice, counts) rows."""
-        got = {r["slice"]: bytes(r["counts"]) for r in
-               parts.groupBy("slice").applyInArrow(_add, "slice int, counts binary").collect()}
+        """A broadcast of the sum of (slice, counts) rows: summed in streams, first by slice and reading task."""
+        near = parts.withColumn("task", F.spark_partition_id() % 64)
+        total = _summed(_summed(near, ["slice", "task"]), ["slice"])
+        got = {r["slice"]: bytes(r["counts"]) for r in total.select("slice", "counts").collect()}
         blank = bytes(8 * (SKETCH_ROWS << SKETCH_BITS) // SLICES)
         return parts.sparkSession.sparkContext.broadcast(b"".join(got.get(i, blank) for i in range(SLICES)))
 
@@ -140,9 +151,28 @@ class Sketch:
         return cls(np.frombuffer(raw, "<i8").reshape(SKETCH_ROWS, -1))
 
 
-def _add(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_py(), "<i8") for x in table["counts"])
-    return pa.table({"slice": table["slice"][:1], "counts": blobs([total.tobytes()])})
+def _summed(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums of counts per key, held one at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total = None, None
+        out = lambda: pa.RecordBatch.from_arrays(
+            [pa.array([key[0]], pa.int32()), pa.array([key[-1]], pa.int32()), blobs([total.tobytes()])],
+            ["slice", "task", "counts"])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                now = tuple(batch[k][i].as_py() for k in keys)
+                if now != key:
+                    if key is not None:
+                        yield out()
+                    key, total = now, np.frombuffer(batch["counts"][i].as_py(), "<i8").copy()
+                else:
+                    total += np.frombuffer(batch["counts"][i].as_py(), "<i8")
+        if key is not None:
+            yield out()
+
+    return (parts.repartition(*keys).sortWithinPartitions(*keys).select("slice", "task", "counts")
+            .mapInArrow(run, "slice int, task int, counts binary"))
 
 
 def keyed_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[tuple, pa.Table]]:

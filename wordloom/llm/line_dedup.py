@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import Sketch, blobs, maybe_in, utf8, write_state
+from wordloom.llm.common import Sketch, blobs, by_bytes, maybe_in, utf8, write_state
 from wordloom.llm.linkjoin import POSTINGS, PROFILE, link_components, parities, postings
 from wordloom.llm.textgrams import bands, char_shingles, distinct, sketches
 
 #: 10 bands of 4 rows: a pair at Jaccard 0.8 shares a band with probability 0.995, at 0.85 with 0.9994.
 BANDS, ROWS = 10, 4
-GROUP = 1 << 20
+GROUP = 1 << 18
 
 
 def normal(line: str) -> str:
@@ -47,7 +47,7 @@ def _lines(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = Sketch()
-        for batch in batches:
+        for batch in by_bytes(batches):
             ids, numbers, texts, which = [], [], {}, []
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
                 for i, line in enumerate((text or "").split("\n") if doc is not None else ()):
@@ -93,7 +93,7 @@ def _postings(sketch_var):
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, wanted: line_no, line_id, d1, d2 structs) -> (node, payload): those lines, normalised."""
-    for batch in batches:
+    for batch in by_bytes(batches):
         nodes, payloads = [], []
         for text, wanted in zip(batch["text"].to_pylist(), batch["wanted"].to_pylist()):
             lines = (text or "").split("\n")
@@ -172,7 +172,7 @@ def fuzzy_lines(docs: DataFrame, k: int = 8, num: int = 80, den: int = 100) -> D
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in by_bytes(batches):
         out = []
         for text, gone in zip(batch["text"].to_pylist(), batch["_gone"].to_pylist()):
             if gone:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import Sketch, blobs, maybe_in, utf8, write_state
+from wordloom.llm.common import Sketch, blobs, by_bytes, maybe_in, utf8, write_state
 from wordloom.llm.linkjoin import POSTINGS, PROFILE, link_components, parities, postings
 from wordloom.llm.textgrams import mix, word_shingles
 
@@ -35,7 +35,7 @@ def _count(n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = Sketch()
-        for batch in batches:
+        for batch in by_bytes(batches):
             sizes, one, two, seen = [], [], [], []
             for tokens in word_shingles(*utf8(batch["text"]), n):
                 sizes.append(len(tokens))
@@ -86,7 +86,7 @@ def _profile(n: int, num: int, den: int, sketch_var):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = Sketch.of(sketch_var.value)
-        for batch in batches:
+        for batch in by_bytes(batches):
             keep, sizes, needs, prefixes, maps = [], [], [], [], []
             for i, tokens in enumerate(word_shingles(*utf8(batch["text"]), n)):
                 size = len(tokens)
@@ -121,7 +121,7 @@ def _postings(sketch_var):
 
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches):
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], blobs([t.tobytes() for t in word_shingles(*utf8(batch["text"]), n)])],
                 ["node", "payload"])

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from wordloom.llm.common import sub_bucket, utf8, write_state
+from wordloom.llm.common import by_bytes, sub_bucket, utf8, write_state
 from wordloom.llm.textgrams import word_spans
 
 BUCKETS = 1024
@@ -105,7 +105,7 @@ def _pieces(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, below = WordIds(path), classes(capacity)
         cuts: dict[int, list[int]] = {}
-        for batch in batches:
+        for batch in by_bytes(batches):
             ids, at = words.encode(*utf8(batch["text"]))
             rows: list[tuple] = []
             for i in range(batch.num_rows):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import blobs, maybe_in, utf8, write_state
+from wordloom.llm.common import blobs, by_bytes, maybe_in, utf8, write_state
 from wordloom.llm.textgrams import SPACE, distinct, mix, powers, running_hash, word_spans, LOWER
 
 #: Bounds of the fit: labelled documents, and words and word beginnings that count as signs.
@@ -84,7 +84,7 @@ def probabilities(x: np.ndarray, model: tuple[np.ndarray, np.ndarray] | float) -
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in by_bytes(batches):
         words, first = tokens(*utf8(batch["text"]))
         good = batch["good"].to_numpy()
         for lo in range(0, len(good), 200):
@@ -126,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame):
     signs, weights = np.array([t for t, _ in got], np.uint64), np.array([o for _, o in got])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches):
             x = features(*utf8(batch["text"]), signs, weights)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["good"], blobs([r.tobytes() for r in x])],
                                              ["doc_id", "good", "x"])
@@ -168,7 +168,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, host: str = "source", pat
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signs, weights, logistic = model.value
-        for batch in batches:
+        for batch in by_bytes(batches):
             p = probabilities(features(*utf8(batch["text"]), signs, weights), logistic)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["host"], batch["path"], pa.array(p)],
                                              ["doc_id", "host", "path", "evidence"])
