@@ -47,7 +47,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0]: at[-1]], at - at[0]
 
 
-def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that ``column`` has about ``limit`` bytes in each; a longer value is alone."""
     for batch in batches:
         at, lo = utf8(batch[column])[1], 0

@@ -3,7 +3,7 @@
 A word's hash is a polynomial in a random odd base over random byte values
 (A-Z share the values of a-z), taken from one running sum over the batch, so no
 Python object is made per word. Words are ``[^\\x20\\x09-\\x0D]+``. Batches are
-cut into pieces of a few MB, at white space or between documents; texts of any
+cut into pieces of half a MB, at white space or between documents; texts of any
 length are hashed whole.
 """
 
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-PIECE = 1 << 21
+PIECE = 1 << 19
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
