@@ -14,8 +14,8 @@ from wordloom.llm.common import Sketch, blobs, by_bytes, maybe_in, utf8, write_s
 from wordloom.llm.linkjoin import POSTINGS, PROFILE, link_components, parities, postings
 from wordloom.llm.textgrams import bands, char_shingles, distinct, sketches
 
-#: 10 bands of 4 rows: a pair at Jaccard 0.8 shares a band with probability 0.995, at 0.85 with 0.9994.
-BANDS, ROWS = 10, 4
+#: 8 bands of 3 rows: a pair at Jaccard 0.8 shares a band with probability 0.997, at 0.85 with 0.9995.
+BANDS, ROWS = 8, 3
 GROUP = 1 << 18
 
 
@@ -40,10 +40,10 @@ def _groups(lines: list[str]) -> Iterator[list[str]]:
 
 
 def _lines(k: int):
-    """Documents -> (doc_id, line_no, d1, d2, n, bands), bands at a line's first occurrence in the batch; and, per
+    """Documents -> (doc_id, line_no, d1, d2, bands), bands at a line's first occurrence in the batch; and, per
     task, its part of a sketch of the bands."""
     schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()),
-                        ("n", pa.int64()), ("bands", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
+                        ("bands", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = Sketch()
@@ -57,27 +57,25 @@ def _lines(k: int):
                         which.append(texts.setdefault(plain, len(texts)))
             unique = list(texts)
             digests = np.array([_digest(x) for x in unique], np.int64).reshape(-1, 2)
-            keys, sizes = [], []
+            keys = []
             for group in _groups(unique):
-                hashes, at = char_shingles(group, k)
-                found = bands(sketches(hashes, at, BANDS * ROWS), ROWS)
+                found = bands(sketches(*char_shingles(group, k), BANDS * ROWS), ROWS)
                 sketch.add(found.reshape(-1))
                 keys += [row.tobytes() for row in found]
-                sizes += [len(distinct(hashes[a:b])) for a, b in zip(at[:-1], at[1:])]
             which, first = np.array(which, np.int64), np.zeros(len(which), bool)
             first[np.unique(which, return_index=True)[1]] = True
             m = len(which)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(digests[which, 0]),
-                 pa.array(digests[which, 1]), pa.array(np.array(sizes, np.int64)[which]),
+                 pa.array(digests[which, 1]),
                  pa.array([keys[w] if f else None for w, f in zip(which, first)], pa.binary()),
                  pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=schema)
         if parts := sketch.slices():
             m = len(parts)
-            none = [pa.nulls(m, f.type) for f in schema][:6]
+            none = [pa.nulls(m, f.type) for f in schema][:5]
             yield pa.RecordBatch.from_arrays([*none, pa.array(range(m), pa.int32()), blobs(parts)], schema=schema)
 
-    return run, "doc_id long, line_no int, d1 long, d2 long, n long, bands binary, slice int, counts binary"
+    return run, "doc_id long, line_no int, d1 long, d2 long, bands binary, slice int, counts binary"
 
 
 def _postings(sketch_var):
@@ -85,8 +83,9 @@ def _postings(sketch_var):
         sketch = Sketch.of(sketch_var.value)
         for batch in batches:
             data, _ = utf8(batch["bands"])
-            node, n = (np.repeat(batch[c].to_numpy(), BANDS) for c in ("line_id", "n"))
-            yield postings(np.frombuffer(data.tobytes(), np.uint64), node, n, np.ones(len(node), np.int32), sketch)
+            node = np.repeat(batch["line_id"].to_numpy(), BANDS)
+            one = np.ones(len(node), np.int64)  # sizes are left to the verification, and one shared band is enough
+            yield postings(np.frombuffer(data.tobytes(), np.uint64), node, one, one, sketch)
 
     return run
 
@@ -143,9 +142,9 @@ def fuzzy_lines(docs: DataFrame, k: int = 8, num: int = 80, den: int = 100) -> D
     lines = read.where("slice is null").drop("slice", "counts")
     sketch = Sketch.gather(read.where("slice is not null").select("slice", "counts"))
     unique = write_state(
-        lines.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.min("n").alias("n"),
+        lines.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"),
                                       F.first("bands", ignorenulls=True).alias("bands"))
-        .select("d1", "d2", "first.doc_id", "first.line_no", "n", "bands",
+        .select("d1", "d2", "first.doc_id", "first.line_no", "bands",
                 F.monotonically_increasing_id().alias("line_id")), "unique-lines")
 
     def payloads(nodes):
@@ -157,17 +156,17 @@ def fuzzy_lines(docs: DataFrame, k: int = 8, num: int = 80, den: int = 100) -> D
                 .mapInArrow(_fetch, "node long, payload binary").dropDuplicates(["node"]))
 
     linked = link_components(
-        unique.select("line_id", "n", "bands").mapInArrow(_postings(sketch), POSTINGS), payloads,
+        unique.select("line_id", "bands").mapInArrow(_postings(sketch), POSTINGS), payloads,
         lambda nodes: payloads(nodes).mapInArrow(_profiles(k), PROFILE),
         _shingle_set(k), num, den).withColumnRenamed("node", "line_id")
-    grouped = unique.drop("bands", "n").join(linked, "line_id", "left")
+    grouped = unique.drop("bands").join(linked, "line_id", "left")
     heads = (grouped.where("component is not null").groupBy("component")
              .agg(F.min(F.struct("doc_id", "line_no")).alias("head")))
     kept = (grouped.join(heads, "component", "left")
             .select("d1", "d2", F.coalesce("head.doc_id", "doc_id").alias("first_doc_id"),
                     F.coalesce("head.line_no", "line_no").alias("first_line_no")))
     same = (F.col("doc_id") == F.col("first_doc_id")) & (F.col("line_no") == F.col("first_line_no"))
-    return lines.drop("bands", "n").join(kept, ["d1", "d2"]).select("doc_id", "line_no", "first_doc_id", "first_line_no",
+    return lines.drop("bands").join(kept, ["d1", "d2"]).select("doc_id", "line_no", "first_doc_id", "first_line_no",
                                                                same.alias("kept"))
 
 

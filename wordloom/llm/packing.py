@@ -5,10 +5,12 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -26,71 +28,133 @@ def classes(capacity: int) -> np.ndarray:
     return np.array([0] + [sizes[np.searchsorted(sizes, n, "right") - 1] for n in range(1, capacity + 1)])
 
 
+_LETTERS = regex.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+# fixed values: byte-level BPE spells bytes that are not printable as characters from 256 on
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
 @cache
 def _tokenizer(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
 class WordIds:
-    """Token ids of whole texts, word by word: the tokenizer sees each distinct word of a task once.
+    """Token ids of whole texts, word by word: the tokenizer sees each distinct word of a worker once.
 
     The tokenizer drops white space and lower-cases, and no token spans white
     space, or the place between an ASCII letter and a comma or full stop that
     ends a word; so a text's ids are its words' ids in a row.
     """
 
-    MOST = 1 << 20  # words remembered; beyond it the memory starts anew
+    MOST = 1 << 21  # words remembered; beyond it the memory starts anew
+    RECENT = 1 << 16  # new words gathered before they are merged into the large table
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
+        self.model = self.tokenizer.model
+        # the direct way is taken where it gives this tokenizer's own result on every kind of such letters
+        self.direct = False
+        probe = ["the", "Tokenizers", "\u00c9t\u00e9", "se\u00f1or", "stra\u00dfe", "\u00fcbergr\u00f6\u00dfen", "\u00e7\u00e0", "q"]
+        slow = [self._encode([w])[0].tolist() for w in probe]
+        self.direct = True
+        self.direct = all(self._encode([w])[0].tolist() == x for w, x in zip(probe, slow))
         self.clear()
 
     def clear(self) -> None:
-        self.known, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes sorted; where each word's ids begin
-        self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        nothing = lambda: (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.tables = [nothing(), nothing()]  # large and recent: hashes sorted, where each word's ids begin, how many
+        self.ids = [np.zeros(0, np.uint32)]
+        self.used = 0
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All words' ids in a row, and their numbers.
 
-    def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
-        text = [w.decode("utf-8", "replace") for w in words]
-        ids, sizes = [], np.zeros(len(text), np.int64)
+        A word of plain Latin letters is one piece for the tokenizer's model once
+        it is lower-cased and its bytes are spelled out, and goes there directly;
+        the others are encoded as one text, which is cut by where its tokens begin.
+        """
+        ids: list = [None] * len(words)
+        rest = []
+        for i, w in enumerate(words):
+            if self.direct and w.isascii() and w.isalpha():
+                ids[i] = [t.id for t in self.model.tokenize(w.lower())]
+            elif self.direct and not w.isascii() and _LETTERS.fullmatch(w):
+                ids[i] = [t.id for t in self.model.tokenize(w.lower().encode().decode("latin-1").translate(_BYTES))]
+            else:
+                rest.append(i)
+        for lo in range(0, len(rest), 256):
+            part = rest[lo: lo + 256]
+            code = self.tokenizer.encode(" ".join(words[i] for i in part), add_special_tokens=False)
+            starts = np.cumsum([len(words[i]) + 1 for i in part])
+            owner = np.searchsorted(starts, [first for first, _ in code.offsets], "right")
+            for i in part:
+                ids[i] = []
+            for k, t in zip(owner.tolist(), code.ids):
+                ids[part[k]].append(t)
+        return (np.fromiter(chain.from_iterable(ids), np.uint32),
+                np.fromiter(map(len, ids), np.int64, len(ids)))
+
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        """``hashes`` are sorted and new."""
+        text, sizes = [w.decode("utf-8", "replace") for w in words], []
+        start = self.used
         for lo in range(0, len(text), 4096):
-            part = text[lo: lo + 4096]
-            code = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            starts = np.cumsum([0] + [len(w) + 1 for w in part])
-            if code.offsets and max(e for _, e in code.offsets) >= starts[-1]:
-                raise AssertionError("offsets beyond the text")
-            begin = np.array([s for s, _ in code.offsets], np.int64)
-            sizes[lo: lo + len(part)] = np.bincount(np.searchsorted(starts, begin, "right") - 1, minlength=len(part))
-            ids.append(np.array(code.ids, np.uint32))
-        at = len(self.ids) + np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-        self.ids = np.concatenate([self.ids, *ids])
-        known = np.concatenate([self.known, hashes])
-        order = np.argsort(known, kind="stable")
-        self.known, self.at = known[order], np.concatenate([self.at, at])[order]
-        self.size = np.concatenate([self.size, sizes])[order]
+            ids, n = self._encode(text[lo: lo + 4096])
+            self.ids.append(ids)
+            self.used += len(ids)
+            sizes.append(n)
+        size = np.concatenate(sizes)
+        fresh = (hashes, start + np.cumsum(size) - size, size)
+        self.tables[1] = self._merged(self.tables[1], fresh)
+        if len(self.tables[1][0]) > self.RECENT:
+            self.tables = [self._merged(*self.tables), tuple(x[:0] for x in self.tables[1])]
+
+    @staticmethod
+    def _merged(old: tuple, new: tuple) -> tuple:
+        at = np.searchsorted(old[0], new[0])
+        return tuple(np.insert(x, at, y) for x, y in zip(old, new))
+
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the words' ids begin (-1: unknown), and how many they are."""
+        at, size = np.full(len(hashes), -1), np.zeros(len(hashes), np.int64)
+        for known, begin, count in self.tables:
+            if len(known):
+                place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                hit = known[place] == hashes
+                at[hit], size[hit] = begin[place[hit]], count[place[hit]]
+        return at, size
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch of texts in order, and where each text's begin."""
         out, sizes, firsts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for lo, s, e, h in word_spans(data, offsets, split_tail=True):
-            if len(self.known) > self.MOST:
+            if len(self.tables[0][0]) > self.MOST:
                 self.clear()
-            unique, first = np.unique(h, return_index=True)
-            place = np.searchsorted(self.known, unique)
-            new = place == len(self.known)
-            new[~new] = self.known[place[~new]] != unique[~new]
-            if new.any():
+            unique, first, which = np.unique(h, return_index=True, return_inverse=True)
+            at, size = self._find(unique)
+            new = np.flatnonzero(at < 0)
+            if len(new):
                 raw = data[lo: lo + int(e[-1])].tobytes()
-                self.learn(unique[new], [raw[s[i]: e[i]] for i in first[new]])
-            place = np.searchsorted(self.known, h)
-            n = self.size[place]
+                self._learn(unique[new], [raw[s[i]: e[i]] for i in first[new]])
+                at[new], size[new] = self._find(unique[new])
+            if len(self.ids) > 1:
+                self.ids = [np.concatenate(self.ids)]
+            n = size[which]
             ends = np.cumsum(n)
-            out.append(self.ids[np.repeat(self.at[place] - (ends - n), n) + np.arange(ends[-1] if len(n) else 0)])
+            out.append(self.ids[0][np.repeat(at[which] - (ends - n), n) + np.arange(ends[-1] if len(n) else 0)])
             sizes.append(n)
             firsts.append(s + lo)
         ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
         return np.concatenate(out), ends[np.searchsorted(np.concatenate(firsts), offsets)]
 
 
+@cache
+def _word_ids(path: str) -> WordIds:
+    """One per worker process, which keeps its words from task to task."""
+    return WordIds(path)
+
+
 def cut(tokens: int, capacity: int, below: np.ndarray) -> list[int]:
     """Lengths of a document's pieces: whole sequences, then the largest reciprocal length that fits, again and again."""
     out = [capacity] * (tokens // capacity)
@@ -103,7 +167,7 @@ def cut(tokens: int, capacity: int, below: np.ndarray) -> list[int]:
 
 def _pieces(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, below = WordIds(path), classes(capacity)
+        words, below = _word_ids(path), classes(capacity)
         cuts: dict[int, list[int]] = {}
         for batch in by_bytes(batches):
             ids, at = words.encode(*utf8(batch["text"]))
