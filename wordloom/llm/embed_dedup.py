@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm.common import keyed_groups, write_state
-from wordloom.llm.components import connected_components
+from wordloom.llm.components import connected_components, least_labels
 from wordloom.llm.vectors import matrix, vector_classes, vector_rows
 
 
@@ -86,15 +86,7 @@ def _cell(threshold: float):
                 continue
             np.add.at(links, i, weight[j])
             np.add.at(links, j, weight[i])
-            while True:
-                low = np.minimum(label[i], label[j])
-                after = label.copy()
-                np.minimum.at(after, label[i], low)
-                np.minimum.at(after, label[j], low)
-                after = after[after]
-                if (after == label).all():
-                    break
-                label = after
+            label = least_labels(i, j, len(cid))
             at = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([pa.array(cid[at]), pa.array(cid[label[at]]), pa.array(links[at])],
                                              ["a", "b", "links"])

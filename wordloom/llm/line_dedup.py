@@ -159,10 +159,9 @@ def fuzzy_lines(docs: DataFrame, k: int = 8, num: int = 80, den: int = 100) -> D
         unique.select("line_id", "bands").mapInArrow(_postings(sketch), POSTINGS), payloads,
         lambda nodes: payloads(nodes).mapInArrow(_profiles(k), PROFILE),
         _shingle_set(k), num, den).withColumnRenamed("node", "line_id")
-    grouped = unique.drop("bands").join(linked, "line_id", "left")
-    heads = (grouped.where("component is not null").groupBy("component")
-             .agg(F.min(F.struct("doc_id", "line_no")).alias("head")))
-    kept = (grouped.join(heads, "component", "left")
+    member = unique.select("line_id", "doc_id", "line_no").join(linked, "line_id")
+    heads = member.groupBy("component").agg(F.min(F.struct("doc_id", "line_no")).alias("head"))
+    kept = (unique.drop("bands").join(member.join(heads, "component").select("line_id", "head"), "line_id", "left")
             .select("d1", "d2", F.coalesce("head.doc_id", "doc_id").alias("first_doc_id"),
                     F.coalesce("head.line_no", "line_no").alias("first_line_no")))
     same = (F.col("doc_id") == F.col("first_doc_id")) & (F.col("line_no") == F.col("first_line_no"))

@@ -239,10 +239,13 @@ def link_components(rows: DataFrame, payloads: Callable[[DataFrame], DataFrame],
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         return write_state(verified(pairs, payloads(nodes), to_set, num, den), "links")
 
-    edges = links(star if bounds is None else bounded(star, bounds, num, den))
+    found = links(star if bounds is None else bounded(star, bounds, num, den))
+    labels = connected_components(found)
     for each in (False, True):
-        rest = _leftover(hits, connected_components(edges), profiles, num, den, each, block)
+        rest = _leftover(hits, labels, profiles, num, den, each, block)
         if rest is None:
             break
-        edges = edges.union(links(rest))
-    return connected_components(edges)
+        more = links(rest)
+        if not more.isEmpty():
+            labels = connected_components(more.union(labels.select("node", "component")))
+    return labels
