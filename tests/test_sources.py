@@ -1,9 +1,5 @@
 import os
 
-import pytest
-from pyspark.sql import functions as F
-
-from conftest import SAMPLE_DIR
 from wordloom.functions.stem import porter_stem
 from wordloom.sources import corpus as SC
 from wordloom.sources import sinks as SK
@@ -64,15 +60,27 @@ def test_word_vectors_and_vector_csv_roundtrip(spark, tmpdir_path):
     assert spark.read.csv(f"{tmpdir_path}/xy", header=True).columns == ["Name", "X", "Y"]
 
 
-@pytest.mark.skipif(not os.path.isdir(SAMPLE_DIR), reason="sample corpus absent")
-def test_summaries_f6(spark):
-    s = SC.read_summaries(spark, SAMPLE_DIR)
-    assert s.count() == 29 and s.where("n_sections = 4").count() == 29
-    sents = s.select(F.explode("sentences").alias("x")).select("x.*")
-    assert sents.count() == 824
-    assert {r["label"]: r["count"] for r in sents.groupBy("label").count().collect()} == {0: 344, 1: 319, 2: 161}
-    assert s.select(F.explode("highlights")).count() == 75
-    assert s.select(F.explode("entities")).count() == 674
+def test_summaries(spark, summaries):
+    s = SC.read_summaries(spark, summaries)
+    rows = {r["name"]: r for r in s.collect()}
+    a = rows["a.summary"]
+    assert {r["n_sections"] for r in rows.values()} == {4} and a["url"] == "http://news.example.com/a"
+    assert [tuple(x) for x in a["sentences"]] == [("@entity0 said the @entity1 opened on Monday .", 1), ("It was n't raining", 0)]
+    assert a["highlights"] == ["the *bridge* opened", "crowds came"]
+    assert [tuple(x) for x in a["entities"]] == [("@entity0", "Mayor Ann Lee"), ("@entity1", "Long Bridge")]
+    assert sorted(r["doc_id"] for r in rows.values()) == [1, 2]
+
+
+def test_sniff_text_formats(spark, tmpdir_path):
+    files = {"a": "<!doctype html><p>x", "b": "\n \t<HTML><body>x", "c": '<?xml version="1.0"?><r/>', "d": "say <html>",
+             "e": "\ufeff<!DOCTYPE HTML>"}
+    for name, text in files.items():
+        write(tmpdir_path, name, text.encode(), "wb")
+    got = {r["name"]: r["mime"] for r in SC.sniff_mime(spark, [tmpdir_path]).collect()}
+    assert got == {"a": "text/html", "b": "text/html", "c": "application/xml", "d": "text/plain", "e": "text/html"}
+    docs = SC.read_extracted(spark, {"old": [tmpdir_path]}).collect()
+    assert sorted((r["doc_id"], r["name"], r["side"]) for r in docs) == [(i + 1, n, "old") for i, n in enumerate("abcde")]
+    assert next(r["text"] for r in docs if r["name"] == "a").strip() == "x"
 
 
 def test_porter_examples():

@@ -20,6 +20,21 @@ def test_score_stream_matches_batch(spark, tmpdir_path):
     assert out.groupBy("new_id").count().where("count <> 3").count() == 0
 
 
+def test_score_stream_reads_the_reference_once(spark, tmpdir_path):
+    docs = spark.createDataFrame([(i, f"word{i % 7} word{i % 5} common") for i in range(30)], "doc_id long, text string")
+    ref = f"{tmpdir_path}/ref"
+    docs.where("doc_id < 20").write.parquet(ref)
+    src = f"{tmpdir_path}/in"
+    docs.where("doc_id >= 20").repartition(2).write.parquet(src)
+    reference = spark.read.parquet(ref)
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = score_stream(stream, reference, f"{tmpdir_path}/out", f"{tmpdir_path}/ck", k=2, trigger_once=True)
+    import shutil
+    shutil.move(ref, f"{ref}-gone")  # the batches have tables of their own
+    q.awaitTermination(300)
+    assert q.exception() is None and spark.read.parquet(f"{tmpdir_path}/out").count() == 20
+
+
 def test_entry_and_oracles_small(spark):
     import __spark_entry__ as E
     df = E.entry(spark)

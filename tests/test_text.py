@@ -3,7 +3,6 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SAMPLE_DIR
 from wordloom.functions import text as T
 
 
@@ -47,18 +46,31 @@ def test_newsgroup_strip(spark):
     assert one(spark, T.strip_newsgroup_header, "no blank line") == ""
 
 
-@pytest.mark.skipif(not os.path.isdir(SAMPLE_DIR), reason="sample corpus absent")
-def test_sample_corpus_cleaning_golden(spark):
+def test_sample_corpus_cleaning(spark, summaries):
     from wordloom.sources.corpus import read_corpus
-    docs = read_corpus(spark, {"old": [SAMPLE_DIR]})
-    toks = docs.select("name", T.clean_old_new("text", stops=[]).alias("t"))
-    ex = toks.select("name", F.explode("t").alias("w"))
-    assert ex.count() == 17306
-    long = ex.where(F.length("w") >= 2)
-    assert long.count() == 16396
-    assert long.select(F.lower("w")).distinct().count() == 3600
-    first = {r["name"][:10]: r["t"][:6] for r in toks.collect()}
-    assert [w.lower() for w in first["fb07058d88"]] == "a prosecutor has dismissed allegations that".split()
+    docs = read_corpus(spark, {"old": [summaries]})
+    toks = {r["name"]: r["t"] for r in docs.select("name", T.clean_old_new("text", stops=[]).alias("t")).collect()}
+    assert toks["b.summary"] == "Two boats crews boats raced".split()
+    assert toks["a.summary"] == ("said the opened on Monday It was n t raining the bridge opened crowds came Ann Lee "
+                                 "Bridge").split()
+
+
+def test_word_tokens_accents_and_clitics(spark):
+    assert one(spark, T.word_tokens, "na\u00efve caf\u00e9, didn't they're well-known") == [
+        "na\u00efve", "caf\u00e9", ",", "did", "n't", "they", "'re", "well-known"]
+
+
+def test_sentences_keep_abbreviations(spark):
+    assert one(spark, T.split_sentences, "Mr. Smith came. Dr. Lee, e.g. Ann, left! Was it 5 p.m. then? Yes.") == [
+        "Mr. Smith came.", "Dr. Lee, e.g. Ann, left!", "Was it 5 p.m. then?", "Yes."]
+
+
+def test_html(spark):
+    page = ("<html><head><title>T</title><style>p{a:b}</style><script type='x>y'>var t='</p>';</script></head><!-- c > d -->"
+            "<body><p a=\"1>2\">One<br/>two &amp;lt; &#233;&#x41; &lt;b&gt;</p><p>three <b>four</b></p></body></html>")
+    from wordloom.functions.html import strip_html
+    text = one(spark, strip_html, page)
+    assert text.split() == ["T", "One", "two", "&lt;", "\u00e9&#x41;", "<b>", "three", "four"]
 
 
 def test_custom_splitter(spark):

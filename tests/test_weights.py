@@ -52,15 +52,3 @@ def test_vocabulary_cut(spark):
     assert sorted(top) == ["cat", "dog"]
     where = F.col("doc_id") != 2
     assert sorted(r["term"] for r in W.fit_vocabulary(c, None, where).collect()) == ["cat", "dog", "fish"]
-
-
-def test_jvm_tfidf_vectors_equal_long_rows(spark):
-    from wordloom.operators import reduce as R
-    d = tiny_docs(spark)
-    c = counts(spark)
-    model = W.fit_tfidf(c, F.lit(4), mode="smooth")
-    feats, vocab = R.tfidf_vectors(d.select("doc_id", T.whitespace_tokens("text").alias("tokens")), "tokens", model)
-    dense = {r["doc_id"]: r["features"].toArray().tolist() for r in feats.collect()}
-    long = {(r["doc_id"], r["term"]): r["w"] for r in W.apply_tfidf(c, model).collect()}
-    for (doc, term), w in long.items():
-        assert math.isclose(dense[doc][vocab.index(term)], w, abs_tol=1e-9)

@@ -137,7 +137,7 @@ def neighbour_graph(points: DataFrame, neighbours: int = 10) -> DataFrame:
     return write_state(one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), "graph")
 
 
-def spectral(points: DataFrame, k: int, neighbours: int = 10, max_iter: int = 50, tol: float = 1e-4) -> DataFrame:
+def spectral(points: DataFrame, k: int, neighbours: int = 10, max_iter: int = 30, tol: float = 1e-3) -> DataFrame:
     """Spectral clustering (doc_id, cluster_id): the k leading eigenvectors of the normalised adjacency
     D^-1/2 W D^-1/2 (the smallest of the normalised Laplacian) of the neighbour graph, rows scaled to unit length, k-means.
 
@@ -154,25 +154,28 @@ def spectral(points: DataFrame, k: int, neighbours: int = 10, max_iter: int = 50
     # start: numbers from md5, the same everywhere
     draw = [F.conv(F.substring(F.md5(F.concat_ws(":", F.col("a").cast("string"), F.lit(str(j))).cast("binary")), 1, 8), 16, 10)
             .cast("double") / 4294967296.0 - 0.5 for j in range(k)]
-    now, last = write_state(degree.select("a", F.array(*draw).alias("v")), "block"), None
+    now, turn, last = write_state(degree.select("a", F.array(*draw).alias("v")), "block"), np.eye(k), None
+
+    def turned(vec: str, by: np.ndarray):
+        return F.array(*[sum((F.col(vec)[i] * float(by[i, j]) for i in range(1, k)), F.col(vec)[0] * float(by[0, j]))
+                         for j in range(k)])
+
     for _ in range(max_iter):
-        moved = (edges.join(now.withColumnRenamed("a", "b"), "b").groupBy("a")
+        base = now.select("a", turned("v", turn).alias("v"))
+        moved = (edges.join(base.withColumnRenamed("a", "b"), "b").groupBy("a")
                  .agg(Summarizer.sum(array_to_vector("v"), F.col("w")).alias("s")))
-        step = write_state(moved.join(now, "a").select("a", F.zip_with(
-            vector_to_array("s"), "v", lambda x, y: (x + y) / 2).alias("y")), "block")
-        gram = np.array(step.select(*[F.sum(F.col("y")[i] * F.col("y")[j]).alias(f"g{i}_{j}")
+        step = write_state(moved.join(base, "a").select("a", F.zip_with(
+            vector_to_array("s"), "v", lambda x, y: (x + y) / 2).alias("v")), "block")
+        gram = np.array(step.select(*[F.sum(F.col("v")[i] * F.col("v")[j]).alias(f"g{i}_{j}")
                                       for i in range(k) for j in range(k)]).first(), float).reshape(k, k)
-        values, turn = np.linalg.eigh(gram)
-        turn = turn[:, ::-1] / np.sqrt(np.maximum(values[::-1], 1e-300))
-        rotated = F.array(*[sum((F.col("y")[i] * float(turn[i, j]) for i in range(1, k)), F.col("y")[0] * float(turn[0, j]))
-                            for j in range(k)])
-        after = write_state(step.select("a", rotated.alias("v")), "block")
-        for old in (now, step):
-            drop_state(old)
-        now, size = after, np.sqrt(np.maximum(values[::-1], 0.0))
+        drop_state(now)
+        values, vectors = np.linalg.eigh(gram)
+        now, turn = step, vectors[:, ::-1] / np.sqrt(np.maximum(values[::-1], 1e-300))
+        size = np.sqrt(np.maximum(values[::-1], 0.0))
         if last is not None and np.abs(size - last).max() < tol:
             break
         last = size
+    now = write_state(now.select("a", turned("v", turn).alias("v")), "block")
     unit = now.select(F.col("a").alias("doc_id"), V.l2_normalize("v").alias("vec"))
     # start from points far apart: each next centre is the point least like those chosen so far
     chosen = [list(unit.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary"))).select("vec").first()["vec"])]

@@ -9,6 +9,10 @@ Per-document sums use ``Summarizer`` (a partial aggregate) on ML vectors.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -76,13 +80,74 @@ def tfidf_mean_vectors(counts: DataFrame, wv: DataFrame, fit_where: Column, n_fi
     return _weighted_sum(rows, list(keys), weight, F.col("n"))
 
 
+def cooccurrences(tokens: DataFrame, window: int = 10) -> DataFrame:
+    """(term, ctx, n): ordered pairs of words at most ``window`` places apart in a sentence, both directions.
+
+    tokens: (doc_id, sid, wid, term). A sentence's words are gathered in order
+    and paired inside the row; pairs are counted before the shuffle.
+    """
+    sents = (tokens.groupBy("doc_id", "sid").agg(F.array_sort(F.collect_list(F.struct("wid", "term"))).alias("w"))
+             .select(F.transform("w", lambda x: x["term"]).alias("w")))
+    pairs = F.flatten(F.transform("w", lambda a, i: F.transform(
+        F.slice("w", i + 2, window), lambda b: F.struct(a.alias("term"), b.alias("ctx")))))
+    one = sents.select(F.explode(pairs).alias("p")).groupBy("p.term", "p.ctx").agg(F.count(F.lit(1)).alias("n"))
+    both = one.unionByName(one.select(F.col("ctx").alias("term"), F.col("term").alias("ctx"), "n"))
+    return both.groupBy("term", "ctx").agg(F.sum("n").alias("n"))
+
+
+def ppmi(pairs: DataFrame) -> DataFrame:
+    """(term, ctx, n, ppmi): positive pointwise mutual information of (term, ctx, n)."""
+    whole = pairs.groupBy("term").agg(F.sum("n").alias("total"))
+    n = whole.select(F.sum("total")).scalar()
+    info = F.log(F.col("n") * n / (F.col("total") * F.col("ctx_total")))
+    return (pairs.join(whole, "term").join(whole.select(F.col("term").alias("ctx"), F.col("total").alias("ctx_total")), "ctx")
+            .select("term", "ctx", "n", F.greatest(info, F.lit(0.0)).alias("ppmi")))
+
+
+def indexed_word_vectors(info: DataFrame, dim: int = 300, places: int = 4) -> DataFrame:
+    """(term, vec), unit length: the PPMI row of every word, projected by random indexing.
+
+    Each context stands for ``places`` signed unit steps in ``dim`` dimensions,
+    taken from md5 of the word, which keeps inner products in expectation. Two
+    grouped sums over (term, dimension): no vocabulary on the driver, every
+    word, and no dependence on cores or partitions. A word without informative contexts has zeros.
+    """
+    steps = []
+    for j in range(places):
+        h = F.md5(F.concat(F.col("ctx"), F.lit(f"#{j}")))
+        at = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(dim))
+        sign = F.when(F.substring(h, 9, 1) < "8", 1.0).otherwise(-1.0)
+        steps.append(F.struct(at.cast("int").alias("d"), sign.alias("s")))
+    contexts = info.select("ctx").distinct().select("ctx", F.explode(F.array(*steps)).alias("step"))
+    cells = (info.where("ppmi > 0").join(contexts, "ctx").groupBy("term", "step.d")
+             .agg(F.sum(F.col("ppmi") * F.col("step.s")).alias("x")))
+    rows = cells.groupBy("term").agg(F.collect_list(F.struct("d", "x")).alias("cells"))  # at most dim of them
+
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch["cells"].offsets.to_numpy()
+            at, values = at - at[0], batch["cells"].flatten()
+            out = np.zeros((batch.num_rows, dim))
+            out[np.repeat(np.arange(batch.num_rows), np.diff(at)), values.field("d").to_numpy()] = values.field("x").to_numpy()
+            size = np.sqrt(np.einsum("ij,ij->i", out, out))
+            out /= np.where(size > 0, size, 1.0)[:, None]
+            yield pa.RecordBatch.from_arrays(
+                [batch["term"], pa.ListArray.from_arrays(np.arange(0, out.size + 1, dim, dtype=np.int32), out.reshape(-1))],
+                ["term", "vec"])
+
+    vecs = rows.mapInArrow(dense, "term string, vec array<double>")
+    out = info.select("term").distinct().join(vecs, "term", "left")
+    return out.select("term", F.coalesce("vec", V.zeros(dim)).alias("vec"))
+
+
 def train_word_vectors(sentences: DataFrame, col: str = "sentence", dim: int = 300, window: int = 10,
                        min_count: int = 0, max_iter: int = 1, seed: int = 1,
                        partitions: int | None = None, normalize: bool = True) -> DataFrame:
     """Train word vectors on a table of token arrays (one row per sentence) with
     MLlib Word2Vec (skip-gram, hierarchical softmax) and return
-    (term, vec ARRAY<DOUBLE>), unit length by default. More ``partitions``
-    train faster at some cost in quality."""
+    (term, vec ARRAY<DOUBLE>), unit length by default. MLlib keeps the vocabulary
+    and its vectors on the driver: for vocabularies that fit there;
+    ``indexed_word_vectors`` has no such bound. More ``partitions`` train faster at some cost in quality."""
     from pyspark.ml.feature import Word2Vec
     w2v = Word2Vec(vectorSize=dim, windowSize=window, minCount=min_count, maxIter=max_iter,
                    seed=seed, inputCol=col, outputCol="_v",

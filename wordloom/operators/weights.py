@@ -122,7 +122,7 @@ def apply_tfidf(counts: DataFrame, model: DataFrame, sublinear: bool = False,
     w = counts.join(model, "term").select("doc_id", *keep, "term", (tf * F.col("idf")).alias("w"))
     if not normalize:
         return w
-    nrm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
+    nrm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id", *keep)))
     return w.select("doc_id", *keep, "term", (F.col("w") / nrm).alias("w"))
 
 
@@ -137,8 +137,3 @@ def fit_vocabulary(counts: DataFrame, max_features: int | None = None,
 def apply_counts(counts: DataFrame, vocab: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, *keep, term, n) restricted to the fitted vocabulary."""
     return counts.join(vocab, "term", "left_semi").select("doc_id", *keep, "term", "n")
-
-
-def with_term_ids(vocab: DataFrame) -> DataFrame:
-    """Alphabetical 0-based ids for a *bounded* vocabulary (after a max_features cut)."""
-    return vocab.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("term_id"))

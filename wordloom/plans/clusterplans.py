@@ -112,8 +112,7 @@ def top_terms_per_source(spark: SparkSession, sf_dir: str, n: int = 20) -> DataF
     """Centre of each source = mean L2-normalised TF-IDF row (fitted on all
     documents); its ``n`` heaviest terms."""
     docs = table(spark, sf_dir, "documents")
-    pieces = F.split(F.lower("text"), r"[^\p{L}\p{N}_]+")
-    counts = W.term_counts(docs.select("doc_id", "source", pieces.alias("tokens")), keep=("source",), min_len=2)
+    counts = W.term_counts(docs.select("doc_id", "source", T.unicode_terms("text").alias("tokens")), keep=("source",))
     model = W.fit_tfidf(counts, W.count_docs(docs.select("doc_id")), mode="smooth")
     w = W.apply_tfidf(counts, model, normalize=True, keep=("source",))
     sizes = docs.groupBy("source").agg(F.count(F.lit(1)).alias("nd"))

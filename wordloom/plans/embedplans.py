@@ -12,8 +12,8 @@ from ..operators import embed as E
 from ..operators import sequence as S
 from ..operators import weights as W
 from ..operators.similarity import dense_topk_sided, sparse_topk_sided
-from ..session import table
-from .corpus import NEW, two_sided
+from ..session import cut_lineage, table
+from .corpus import NEW
 from .similar import is_old, n_old_docs
 from .weightplans import word_counts
 
@@ -41,9 +41,8 @@ def most_similar_benchmark(spark: SparkSession, sf_dir: str, k: int = 10) -> Dat
     bench = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text",
                                                      F.lit(True).alias("is_query"))
     both = docs.unionByName(bench)
-    pieces = F.split(F.lower("text"), r"[^\p{L}\p{N}_]+")
-    counts = W.term_counts(both.select("doc_id", "is_query", pieces.alias("tokens")),
-                           keep=("is_query",), min_len=2)
+    counts = W.term_counts(both.select("doc_id", "is_query", T.unicode_terms("text").alias("tokens")),
+                           keep=("is_query",))
     n_docs = W.count_docs(table(spark, sf_dir, "documents").select("doc_id"))
     model = W.fit_tfidf(counts, n_docs, mode="smooth", where=~F.col("is_query"))
     w = W.apply_tfidf(counts, model, normalize=False, keep=("is_query",))
@@ -103,9 +102,15 @@ def word_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def padded_sequences(spark: SparkSession, sf_dir: str, length: int = SEQ_LEN) -> DataFrame:
-    toks = _seq_tokens(spark, sf_dir)
-    seqs = S.id_sequences(toks, S.word_index(toks), all_docs=table(spark, sf_dir, "documents"))
-    return S.pad(seqs, length)
+    docs = table(spark, sf_dir, "documents")
+    return S.pad(S.id_sequences(_tail_tokens(docs, length), S.word_index(_seq_tokens(spark, sf_dir)), all_docs=docs), length)
+
+
+def _tail_tokens(docs: DataFrame, length: int) -> DataFrame:
+    """(doc_id, pos, term) of each document's last ``length`` tokens: the index holds every word, so no
+    earlier token can be among the ids that stay."""
+    cut = docs.select("doc_id", S.sequence_tokens("text").alias("t"))
+    return S.positioned(cut, F.slice("t", F.greatest(F.size("t") - length, F.lit(0)) + 1, length))
 
 
 def embedding_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,18 +137,55 @@ def sequence_autoencoder_codes(spark: SparkSession, sf_dir: str, length: int = S
     """Sequence representation: padded id sequences -> embedding rows -> flattened
     -> optimal linear autoencoder codes (``dim`` components)."""
     from ..operators import reduce as R
-    toks = _seq_tokens(spark, sf_dir)
-    idx = S.word_index(toks)
-    seqs = S.pad(S.id_sequences(toks, idx, all_docs=table(spark, sf_dir, "documents")), length)
+    docs = table(spark, sf_dir, "documents")
+    idx = cut_lineage(S.word_index(_seq_tokens(spark, sf_dir)))
+    seqs = S.pad(S.id_sequences(_tail_tokens(docs, length), idx, all_docs=docs), length)
     emb = S.embedding_matrix(idx, word_vectors(spark, sf_dir), WV_DIM)
     codes = R.linear_autoencoder(R.embedded_sequences(seqs, emb), dim)
     return codes.select("doc_id", V.round_array("code", 6).alias("code"))
 
 
-def doc2vec_vectors(spark: SparkSession, sf_dir: str, epochs: int = 10) -> DataFrame:
-    """Paragraph vectors (PV-DBOW, frozen hash-made word vectors, min count 5,
-    10 epochs with alpha falling from 0.025), unit length."""
+def sentence_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, sid, wid, pos, term): words of the sentences of both sides' documents."""
+    sents = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentence_words("text")).alias("sid", "words"))
+    words = sents.select("doc_id", "sid", F.posexplode("words").alias("wid", "term"))
+    return words.withColumn("pos", F.concat_ws(".", F.col("sid").cast("string"), F.col("wid").cast("string")))
+
+
+def cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(term, ctx, n, ppmi) from subsampled sentences, window 10."""
+    return E.ppmi(E.cooccurrences(S.subsample(sentence_tokens(spark, sf_dir), 1e-3, 7).where("keep"), window=10))
+
+
+def cooccurrence_ppmi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per word: its contexts, co-occurrences and positive pointwise mutual information."""
+    return cooccurrence(spark, sf_dir).groupBy("term").agg(
+        F.count(F.lit(1)).alias("n_contexts"), F.sum("n").alias("n"), F.round(F.sum("ppmi"), 6).alias("ppmi_sum"),
+        F.round(F.max("ppmi"), 6).alias("ppmi_max"))
+
+
+def trained_word_vectors(spark: SparkSession, sf_dir: str, dim: int = 300) -> DataFrame:
+    """Unit-length word vectors trained on the documents: every word, no model on the driver."""
+    return E.indexed_word_vectors(cooccurrence(spark, sf_dir), dim)
+
+
+def word2vec_doc_vectors(spark: SparkSession, sf_dir: str, dim: int = 300) -> DataFrame:
+    """Averaged trained word vectors per document (in-vocabulary occurrences)."""
+    wv = cut_lineage(trained_word_vectors(spark, sf_dir, dim))
+    out = E.mean_vectors(word_counts(spark, sf_dir), wv, keys=("doc_id", "side"))
+    return out.select("doc_id", "side", V.round_array("vec", 6).alias("vec"))
+
+
+def doc_vectors_tfidf_trained(spark: SparkSession, sf_dir: str, dim: int = 300) -> DataFrame:
+    """TF-IDF-weighted means of trained word vectors."""
+    wv = cut_lineage(trained_word_vectors(spark, sf_dir, dim))
+    out = E.tfidf_mean_vectors(word_counts(spark, sf_dir), wv, is_old(), n_old_docs(spark, sf_dir), keys=("doc_id", "side"))
+    return out.select("doc_id", "side", V.round_array("vec", 6).alias("vec"))
+
+
+def doc2vec_vectors(spark: SparkSession, sf_dir: str, dim: int = 300) -> DataFrame:
+    """Paragraph vectors (PV-DBOW) over frozen trained word vectors, min count 5, unit length."""
     from ..operators.doc2vec import paragraph_vectors
-    counts = word_counts(spark, sf_dir).drop("side")
-    pv = paragraph_vectors(counts, word_vectors(spark, sf_dir), WV_DIM, epochs=epochs, min_count=5)
+    counts = cut_lineage(word_counts(spark, sf_dir).drop("side"))
+    pv = paragraph_vectors(counts, cut_lineage(trained_word_vectors(spark, sf_dir, dim)), min_count=5)
     return pv.select("doc_id", V.round_array(V.l2_normalize("vec"), 6).alias("vec"))

@@ -1,4 +1,4 @@
-"""Plans for the Python-side helpers (HTML text, stemming) and trained word vectors."""
+"""HTML text and stemming plans."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.html import strip_html
 from ..functions.stem import stem_counts, stem_vocabulary
-from ..operators import embed as E
 from ..operators import weights as W
 from ..session import table
 
@@ -33,19 +32,3 @@ def stemmed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     counts = W.term_counts(d.select("doc_id", T.word_list("text", remove_stops=True).alias("tokens")))
     return stem_counts(counts)
-
-
-def word2vec_vectors(spark: SparkSession, sf_dir: str, dim: int = 300) -> DataFrame:
-    """Word vectors trained on the sentences of all documents (300 dims,
-    window 10, every word kept), unit length."""
-    d = table(spark, sf_dir, "documents")
-    sents = d.select(F.explode(T.sentence_words("text")).alias("sentence"))
-    return E.train_word_vectors(sents, "sentence", dim=dim, window=10, min_count=0,
-                                partitions=spark.sparkContext.defaultParallelism)
-
-
-def word2vec_doc_vectors(spark: SparkSession, sf_dir: str, dim: int = 300) -> DataFrame:
-    """Averaged trained word vectors per document (in-vocabulary occurrences)."""
-    from .weightplans import word_counts
-    wv = word2vec_vectors(spark, sf_dir, dim)
-    return E.mean_vectors(word_counts(spark, sf_dir), wv, keys=("doc_id", "side"))

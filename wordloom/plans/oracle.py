@@ -468,3 +468,40 @@ HTML_TEXT = f"""WITH t AS (SELECT page_id, replace({_html_text("html")}, '&amp;'
 n AS (SELECT page_id, list_reduce(list_prepend(t, list_distinct(regexp_extract_all(t, '&#([0-9]{{1,6}});', 1))),
         lambda a, b: replace(a, '&#' || b || ';', chr(b::INTEGER))) AS t FROM t)
 SELECT page_id, length(t)::BIGINT AS n_chars, len({_ws_tokens("t")})::BIGINT AS n_words FROM n"""
+
+
+# ----------------------------------------------------------------------------- trained word vectors
+_PAIRS = f"""ss AS (SELECT doc_id, {_WORDS} AS s FROM documents),
+s1 AS (SELECT doc_id, unnest(s) AS w, unnest(range(len(s))) AS sid FROM ss),
+tk AS (SELECT doc_id, sid, unnest(w) AS term, unnest(range(len(w))) AS wid FROM s1),
+tot AS (SELECT count(*)::DOUBLE AS n FROM tk),
+cf AS (SELECT term, count(*) / any_value(tot.n) AS f FROM tk, tot GROUP BY term),
+kept AS (SELECT doc_id, sid, term, row_number() OVER (PARTITION BY doc_id, sid ORDER BY wid) AS rn FROM tk JOIN cf USING (term)
+         WHERE ('0x' || substr(md5(doc_id::VARCHAR || ':' || sid::VARCHAR || '.' || wid::VARCHAR || ':7'), 1, 8))::BIGINT
+               / 4294967296.0 < (sqrt(f / 1e-3) + 1) * 1e-3 / f),
+pr AS (SELECT a.term, b.term AS ctx, count(*) AS n FROM kept a JOIN kept b
+       ON a.doc_id = b.doc_id AND a.sid = b.sid AND a.rn <> b.rn AND abs(a.rn - b.rn) <= 10 GROUP BY ALL),
+pt AS (SELECT term, sum(n)::DOUBLE AS total FROM pr GROUP BY term),
+pn AS (SELECT sum(total) AS n FROM pt),
+info AS (SELECT pr.term, pr.ctx, pr.n, greatest(ln(pr.n * pn.n / (x.total * y.total)), 0) AS ppmi
+         FROM pr JOIN pt x ON pr.term = x.term JOIN pt y ON pr.ctx = y.term CROSS JOIN pn)"""
+
+COOCCURRENCE_PPMI = f"""WITH {_PAIRS}
+SELECT term, count(*) AS n_contexts, sum(n)::BIGINT AS n, round(sum(ppmi), 6) AS ppmi_sum, round(max(ppmi), 6) AS ppmi_max
+FROM info GROUP BY term"""
+
+_STEPS = " UNION ALL ".join(
+    f"SELECT ctx, (('0x' || substr(md5(ctx || '#{j}'), 1, 8))::BIGINT % 300)::INTEGER AS d, "
+    f"CASE WHEN substr(md5(ctx || '#{j}'), 9, 1) < '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s "
+    "FROM (SELECT DISTINCT ctx FROM info)" for j in range(4))
+WORD2VEC_DOC_VECTORS = f"""WITH {SIDES}, {WORD_COUNTS}, {_PAIRS},
+steps AS ({_STEPS}),
+cell AS (SELECT term, d, sum(ppmi * s) AS x FROM info JOIN steps USING (ctx) WHERE ppmi > 0 GROUP BY term, d),
+nrm AS (SELECT term, sqrt(sum(x * x)) AS nrm FROM cell GROUP BY term),
+words AS (SELECT DISTINCT term FROM pr),
+cnt AS (SELECT doc_id, side, sum(n) AS cnt FROM wc JOIN words USING (term) GROUP BY ALL),
+dv AS (SELECT doc_id, side, d, sum(n * x / nrm) AS v FROM wc JOIN cell USING (term) JOIN nrm USING (term)
+       WHERE nrm > 0 GROUP BY ALL)
+SELECT cnt.doc_id, cnt.side, list(round(coalesce(v, 0) / cnt, 6) ORDER BY g.d) AS vec
+FROM cnt CROSS JOIN range(300) g(d) LEFT JOIN dv ON dv.doc_id = cnt.doc_id AND dv.side = cnt.side AND dv.d = g.d
+GROUP BY cnt.doc_id, cnt.side"""

@@ -94,6 +94,6 @@ def drop_state(df: DataFrame) -> None:
     """Delete the files of a superseded ``write_state`` table; nothing may read it any more."""
     spark = df.sparkSession
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/wordloom-" in folder:
+        if "/wordloom-" in folder:  # a table of this library
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

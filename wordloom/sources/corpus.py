@@ -1,7 +1,7 @@
 """File-based corpus readers. Each file is one document (``wholetext``), read
 in parallel by Spark; names come from the ``_metadata`` column, classes from
-the parent directory. Ids are a 64-bit hash of the file path (stable across
-runs, no driver-side listing)."""
+the parent directory. Ids number the files from 1 in the order of their paths,
+so no two files share one, and come with the path."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.html import strip_html
+from ..operators.ranking import dense_index
 
 
 def _files(spark: SparkSession, paths: Iterable[str], recursive: bool = False) -> DataFrame:
@@ -21,6 +23,12 @@ def _files(spark: SparkSession, paths: Iterable[str], recursive: bool = False) -
                      F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
 
 
+def numbered(files: DataFrame) -> DataFrame:
+    """``files`` with doc_id: 1, 2, ... in path order (only the paths are sorted)."""
+    ids = dense_index(files.select("path").distinct(), [F.asc("path")], name="doc_id")
+    return files.join(ids, "path")
+
+
 def read_corpus(spark: SparkSession, sides: dict[str, list[str]], skip_ext: str = ".pdf") -> DataFrame:
     """(doc_id, name, side, text): one row per file of each directory of each
     side; sub-directories are not entered; ``skip_ext`` files are left out."""
@@ -34,7 +42,7 @@ def read_corpus(spark: SparkSession, sides: dict[str, list[str]], skip_ext: str
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select(F.xxhash64("path").alias("doc_id"), "name", "side", "text")
+    return numbered(out).select("doc_id", "name", "side", "text", "path")
 
 
 def read_labelled(spark: SparkSession, root: str, lower: bool = True) -> DataFrame:
@@ -42,7 +50,7 @@ def read_labelled(spark: SparkSession, root: str, lower: bool = True) -> DataFra
     df = _files(spark, [f"{root.rstrip('/')}/*/*"])
     label = F.element_at(F.split("path", "/"), -2)
     text = F.lower("text") if lower else F.col("text")
-    return df.select(F.xxhash64("path").alias("doc_id"), label.alias("label"), "name", text.alias("text"))
+    return numbered(df).select("doc_id", label.alias("label"), "name", text.alias("text"), "path")
 
 
 def read_newsgroups(spark: SparkSession, root: str, subset: str = "train",
@@ -54,8 +62,8 @@ def read_newsgroups(spark: SparkSession, root: str, subset: str = "train",
     df = _files(spark, [f"{root.rstrip('/')}/{s}/{cats}/*" for s in subsets])
     parts = F.split("path", "/")
     body = T.strip_newsgroup_parts("text", "headers" in remove, "footers" in remove, "quotes" in remove)
-    return df.select(F.xxhash64("path").alias("doc_id"), F.element_at(parts, -3).alias("subset"),
-                     F.element_at(parts, -2).alias("label"), "name", body.alias("text"))
+    return numbered(df).select("doc_id", F.element_at(parts, -3).alias("subset"), F.element_at(parts, -2).alias("label"),
+                               "name", body.alias("text"), "path")
 
 
 # fixed values — leading-byte signatures for the file-type sniffer
@@ -67,19 +75,25 @@ SIGNATURES = [
     (b"GIF8", "image/gif"),
     (b"\x1f\x8b", "application/gzip"),
     (b"{\\rtf", "text/rtf"),
-    (b"<!DOCTYPE html", "text/html"),
-    (b"<html", "text/html"),
 ]
+# fixed values — beginnings of text formats, after white space and in any case
+TEXT_SIGNATURES = [("<!doctype html", "text/html"), ("<html", "text/html"), ("<?xml", "application/xml")]
+SNIFFED = 1024  # leading bytes that are looked at
 
 
 def mime_expr(content: Column) -> Column:
-    """MIME type from the leading bytes; files with a NUL byte in the first 1024
-    bytes and no known signature are binary, the rest plain text."""
+    """MIME type from the leading bytes; text formats are known by their first
+    characters after white space, in any case. Files with a NUL byte in the first
+    1024 bytes and no known signature are binary, the rest plain text."""
     expr = None
     for sig, mime in SIGNATURES:
         cond = F.substring(content, 1, len(sig)) == F.lit(bytearray(sig))
         expr = F.when(cond, F.lit(mime)) if expr is None else expr.when(cond, F.lit(mime))
-    has_nul = F.instr(F.substring(content, 1, 1024), F.lit(bytearray(b"\x00"))) > 0
+    lead = F.decode(F.substring(content, 1, SNIFFED), "ISO-8859-1")
+    first = F.lower(F.regexp_replace(lead, "^(\u00ef\u00bb\u00bf)?[ \\t\\r\\n\\x0B\\f]+|^\u00ef\u00bb\u00bf", ""))
+    for sig, mime in TEXT_SIGNATURES:
+        expr = expr.when(first.startswith(sig), F.lit(mime))
+    has_nul = F.instr(lead, "\x00") > 0
     return expr.when(has_nul, F.lit("application/octet-stream")).otherwise(F.lit("text/plain"))
 
 
@@ -93,38 +107,41 @@ def sniff_mime(spark: SparkSession, paths: Iterable[str], recursive: bool = Fals
                      mime_expr(F.col("content")).alias("mime"))
 
 
-def _decode_text(b: bytes) -> str:
-    return b.decode("utf-8", errors="replace")
-
-
-def _decode_html(b: bytes) -> str:
-    from ..functions.html import html_to_text
-    return html_to_text(b.decode("utf-8", errors="replace"))
-
-
-DEFAULT_EXTRACTORS: dict[str, Callable[[bytes], str]] = {
-    "text/plain": _decode_text,
-    "text/html": _decode_html,
-}
-
-
 def extract_text(spark: SparkSession, paths: Iterable[str],
                  extractors: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
-    """(path, name, mime, text) for each file; ``extractors`` maps a MIME type to a
-    bytes -> text function (e.g. a PDF parser the caller brings). Files whose
-    type has no extractor get a null text. Runs as Arrow batches (mapInPandas)."""
-    ex = dict(DEFAULT_EXTRACTORS)
-    ex.update(extractors or {})
+    """(path, name, mime, text) for each file. Plain text and XML are decoded as UTF-8, HTML
+    is also stripped, both by built-in expressions; ``extractors`` maps further MIME types to a
+    bytes -> text function (e.g. a PDF parser the caller brings), run in Arrow
+    batches. Files whose type has none get a null text."""
     df = spark.read.format("binaryFile").load(list(paths))
     df = df.select("path", F.element_at(F.split("path", "/"), -1).alias("name"),
                    mime_expr(F.col("content")).alias("mime"), "content")
+    decoded = F.decode("content", "UTF-8")
+    own = df.where(~F.col("mime").isin(list(extractors or {})))
+    text = (F.when(F.col("mime") == "text/html", strip_html(decoded))
+            .when(F.col("mime").isin("text/plain", "application/xml"), decoded))
+    out = own.select("path", "name", "mime", text.alias("text"))
+    if not extractors:
+        return out
 
     def run(batches):
         for pdf in batches:
-            texts = [ex[m](c) if m in ex else None for m, c in zip(pdf["mime"], pdf["content"])]
+            texts = [extractors[m](c) for m, c in zip(pdf["mime"], pdf["content"])]
             yield pd.DataFrame({"path": pdf["path"], "name": pdf["name"], "mime": pdf["mime"], "text": texts})
 
-    return df.mapInPandas(run, "path string, name string, mime string, text string")
+    more = df.where(F.col("mime").isin(list(extractors)))
+    return out.unionByName(more.mapInPandas(run, "path string, name string, mime string, text string"))
+
+
+def read_extracted(spark: SparkSession, sides: dict[str, list[str]],
+                   extractors: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
+    """(doc_id, name, side, text, path): like ``read_corpus``, but of every file whose text can be extracted."""
+    parts = [extract_text(spark, dirs, extractors).where("text is not null").withColumn("side", F.lit(side))
+             for side, dirs in sides.items() if dirs]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return numbered(out).select("doc_id", "name", "side", "text", "path")
 
 
 def read_word_vectors(spark: SparkSession, path: str, fmt: str = "text") -> DataFrame:
@@ -164,6 +181,6 @@ def read_summaries(spark: SparkSession, path: str) -> DataFrame:
         F.regexp_extract(x, pat, 2).cast("int").alias("label")))
     ents = F.transform(lines(4), lambda x: F.struct(
         F.substring_index(x, ":", 1).alias("entity"), F.substr(x, F.instr(x, ":") + 1).alias("surface")))
-    return df.select(F.xxhash64("path").alias("doc_id"), "name", F.size(sec).alias("n_sections"),
+    return numbered(df).select("doc_id", "name", F.size(sec).alias("n_sections"),
                      F.trim(F.element_at(sec, 1)).alias("url"), sents.alias("sentences"),
                      lines(3).alias("highlights"), ents.alias("entities"))

@@ -13,21 +13,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import weights as W
 from ..operators.similarity import sparse_topk_sided
+from ..session import write_state
 
 
 def fit_reference(ref_docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(model(term, idf), ref_weights(doc_id, term, w)) from (doc_id, text)."""
-    pieces = F.split(F.lower("text"), r"[^\p{L}\p{N}_]+")
-    counts = W.term_counts(ref_docs.select("doc_id", pieces.alias("tokens")), min_len=2)
+    counts = W.term_counts(ref_docs.select("doc_id", T.unicode_terms("text").alias("tokens")))
     model = W.fit_tfidf(counts, W.count_docs(ref_docs.select("doc_id")), mode="smooth")
     return model, W.apply_tfidf(counts, model, normalize=False)
 
 
 def score_batch(batch: DataFrame, model: DataFrame, ref_w: DataFrame, ref_ids: DataFrame, k: int) -> DataFrame:
-    pieces = F.split(F.lower("text"), r"[^\p{L}\p{N}_]+")
-    counts = W.term_counts(batch.select("doc_id", pieces.alias("tokens")), min_len=2)
+    counts = W.term_counts(batch.select("doc_id", T.unicode_terms("text").alias("tokens")))
     q = W.apply_tfidf(counts, model, normalize=False)
     w = (q.select("doc_id", F.lit(True).alias("is_query"), "term", "w")
           .unionByName(ref_w.select("doc_id", F.lit(False).alias("is_query"), "term", "w")))
@@ -40,9 +40,13 @@ def score_batch(batch: DataFrame, model: DataFrame, ref_w: DataFrame, ref_ids: D
 
 def score_stream(new_stream: DataFrame, ref_docs: DataFrame, out_path: str, checkpoint: str,
                  k: int = 3, trigger_once: bool = False):
-    """Start the streaming query; returns the ``StreamingQuery``."""
-    model, ref_w = fit_reference(ref_docs)
-    ref_ids = ref_docs.select("doc_id")
+    """Start the streaming query; returns the ``StreamingQuery``.
+
+    The model, the reference weights and ids are written as tables once, so the
+    reference corpus is read and tokenised once, not in every micro-batch.
+    """
+    model, ref_w = (write_state(t, n) for t, n in zip(fit_reference(ref_docs), ("model", "weights")))
+    ref_ids = write_state(ref_docs.select("doc_id"), "ids")
 
     def each(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
