@@ -104,16 +104,23 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), blobs(payloads)], ["node", "payload"])
 
 
-def _shingle_set(k: int):
-    return lambda raw: distinct(char_shingles([bytes(raw).decode("utf-8", "surrogatepass")], k)[0])
+def _shingle_sets(k: int):
+    def run(raw: list[bytes]) -> list[np.ndarray]:
+        out = []
+        for group in _groups([bytes(x).decode("utf-8", "surrogatepass") for x in raw]):
+            hashes, at = char_shingles(group, k)
+            out += [distinct(hashes[a:b]) for a, b in zip(at[:-1], at[1:])]
+        return out
+
+    return run
 
 
 def _profiles(k: int):
-    to_set = _shingle_set(k)
+    to_sets = _shingle_sets(k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [to_set(x.as_py()) for x in batch["payload"]]
+        for batch in by_bytes(batches, "payload"):
+            sets = to_sets(batch["payload"].to_pylist())
             m = len(sets)
             yield pa.RecordBatch.from_arrays(
                 [batch["node"], pa.array([len(x) for x in sets], pa.int64()), pa.array(np.ones(m, np.int32)),
@@ -155,10 +162,13 @@ def fuzzy_lines(docs: DataFrame, k: int = 8, num: int = 80, den: int = 100) -> D
         return (maybe_in(texts, "doc_id", wanted.select("doc_id")).join(wanted, "doc_id").select("text", "wanted")
                 .mapInArrow(_fetch, "node long, payload binary").dropDuplicates(["node"]))
 
+    def profiles(nodes):
+        whole = write_state(payloads(nodes), "payloads")
+        return write_state(whole.mapInArrow(_profiles(k), PROFILE), "profiles"), whole
+
     linked = link_components(
         unique.select("line_id", "bands").mapInArrow(_postings(sketch), POSTINGS), payloads,
-        lambda nodes: payloads(nodes).mapInArrow(_profiles(k), PROFILE),
-        _shingle_set(k), num, den).withColumnRenamed("node", "line_id")
+        profiles, _shingle_sets(k), num, den).withColumnRenamed("node", "line_id")
     member = unique.select("line_id", "doc_id", "line_no").join(linked, "line_id")
     heads = member.groupBy("component").agg(F.min(F.struct("doc_id", "line_no")).alias("head"))
     kept = (unique.drop("bands").join(member.join(heads, "component").select("line_id", "head"), "line_id", "left")

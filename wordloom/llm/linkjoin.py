@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import write_state
+from wordloom.llm.common import by_bytes, write_state
 from wordloom.llm.components import connected_components
 from wordloom.llm.textgrams import mix
 
@@ -115,25 +115,24 @@ def bounded(pairs: DataFrame, bounds: DataFrame, num: int, den: int) -> DataFram
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, payloads: DataFrame, to_set: Callable[[bytes], np.ndarray], num: int,
+def verified(pairs: DataFrame, payloads: DataFrame, to_sets: Callable[[list[bytes]], list[np.ndarray]], num: int,
              den: int) -> DataFrame:
     """Pairs (a, b) with den * |A & B| >= num * |A | B| on the sets of ``payloads`` (node, payload)."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right, good, last, seen = batch["left"], batch["right"], [], None, None
-            for i in range(batch.num_rows):
-                raw = left[i].as_py()
-                if raw != last:
-                    last, seen = raw, to_set(raw)
-                other = to_set(right[i].as_py())
-                few, many = sorted((len(seen), len(other)))
-                if not few or den * few < num * many:
-                    continue
-                both = len(np.intersect1d(seen, other, assume_unique=True))
-                if den * both >= num * (len(seen) + len(other) - both):
-                    good.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
+        for whole in batches:
+            for batch in by_bytes(iter([whole]), "left", 1 << 20):
+                sides = [batch[c].to_pylist() for c in ("left", "right")]
+                single = {raw: i for i, raw in enumerate(dict.fromkeys(sides[0] + sides[1]))}
+                sets, good = to_sets(list(single)), []
+                for i, (x, y) in enumerate(zip(*([sets[single[raw]] for raw in side] for side in sides))):
+                    few, many = sorted((len(x), len(y)))
+                    if not few or den * few < num * many:
+                        continue
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if den * both >= num * (few + many - both):
+                        good.append(i)
+                yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
     sides = (pairs.join(payloads.select(F.col("node").alias("a"), F.col("payload").alias("left")), "a")
              .join(payloads.select(F.col("node").alias("b"), F.col("payload").alias("right")), "b"))
@@ -190,22 +189,26 @@ def _cells(num: int, den: int, each: bool):
     return run
 
 
-def _leftover(hits: DataFrame, labels: DataFrame, profiles: Callable[[DataFrame], DataFrame], num: int, den: int,
-              each: bool, block: int) -> DataFrame | None:
-    """Pairs (a, b) between components that share a token and pass the bounds; None if no token has any."""
+def _leftover(hits: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """(token, node, comp, c) of the tokens whose nodes lie in several components; None if there are none.
+
+    A token of two nodes is not among them: round 1 has seen its pair.
+    """
     placed = (hits.select("token", "node").join(labels.withColumnRenamed("component", "comp"), "node", "left")
               .withColumn("comp", F.coalesce("comp", "node")))
     mixed = (placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"))
              .where("lo <> hi and c > 2").select("token", "c"))
     left = write_state(placed.join(mixed, "token").select("token", "node", "comp", "c"), "leftover")
-    if left.isEmpty():
-        return None
+    return None if left.isEmpty() else left
+
+
+def _candidates(left: DataFrame, known: DataFrame, num: int, den: int, each: bool, block: int) -> DataFrame:
+    """Pairs (a, b) between components that share a token and pass the bounds of the profiles ``known``."""
     cells = (left.withColumn("many", F.ceil(F.col("c") / F.lit(block)))
              .withColumn("block", F.pmod(F.xxhash64("node"), F.col("many")))
              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)))
              .select("token", "node", "comp", "block", F.least("block", "other").alias("p"),
                      F.greatest("block", "other").alias("q")))
-    known = profiles(left.select("node").distinct())
     rows = (cells.join(known.select("node", "n", "parity"), "node").repartition("token", "p", "q")
             .sortWithinPartitions("token", "p", "q")
             .select("token", "p", "q", "block", "node", "comp", "n", "parity"))
@@ -214,13 +217,14 @@ def _leftover(hits: DataFrame, labels: DataFrame, profiles: Callable[[DataFrame]
 
 
 def link_components(rows: DataFrame, payloads: Callable[[DataFrame], DataFrame],
-                    profiles: Callable[[DataFrame], DataFrame], to_set: Callable[[bytes], np.ndarray],
-                    num: int, den: int, bounds: DataFrame | None = None, block: int = 512) -> DataFrame:
+                    profiles: Callable[[DataFrame], tuple[DataFrame, DataFrame | None]],
+                    to_sets: Callable[[list[bytes]], list[np.ndarray]], num: int, den: int,
+                    bounds: DataFrame | None = None, block: int = 512) -> DataFrame:
     """(node, component) for every node with a verified link; the component is its smallest node.
 
     ``rows`` are POSTINGS. ``payloads(nodes)`` gives (node, payload) for the
-    nodes of a table (node), ``profiles(nodes)`` the columns of PROFILE;
-    ``bounds`` may give the profiles of all nodes, to rule out pairs of round 1.
+    nodes of a table (node), ``profiles(nodes)`` the columns of PROFILE and, if it has
+    them at hand, the payloads; ``bounds`` may give the profiles of all nodes, to rule out pairs of round 1.
     A pair is verified only if it shares at least the smaller of the two nodes' ``need`` tokens.
     """
     hits = write_state(rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "node")
@@ -234,18 +238,21 @@ def link_components(rows: DataFrame, payloads: Callable[[DataFrame], DataFrame],
             .groupBy(F.col("pivot").alias("a"), F.col("node").alias("b"))
             .agg(F.count("*").alias("k"), F.min("ask").alias("ask")).where("k >= ask").select("a", "b"))
 
-    def links(pairs: DataFrame) -> DataFrame:
+    def links(pairs: DataFrame, whole: DataFrame | None = None) -> DataFrame:
         pairs = write_state(pairs, "pairs")
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        return write_state(verified(pairs, payloads(nodes), to_set, num, den), "links")
+        if whole is None:
+            whole = payloads(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+        return write_state(verified(pairs, whole, to_sets, num, den), "links")
 
-    found = links(star if bounds is None else bounded(star, bounds, num, den))
-    labels = connected_components(found)
+    labels = connected_components(links(star if bounds is None else bounded(star, bounds, num, den)))
+    known = whole = None
     for each in (False, True):
-        rest = _leftover(hits, labels, profiles, num, den, each, block)
-        if rest is None:
+        left = _leftover(hits, labels)
+        if left is None:
             break
-        more = links(rest)
+        if known is None:  # round 3 has no node that round 2 has not
+            known, whole = profiles(left.select("node").distinct())
+        more = links(_candidates(left, known, num, den, each, block), whole)
         if not more.isEmpty():
             labels = connected_components(more.union(labels.select("node", "component")))
     return labels

@@ -159,8 +159,8 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: in
                 .mapInArrow(_sets(n), "node long, payload binary"))
 
     linked = link_components(profile.mapInArrow(_postings(sketch), POSTINGS), payloads,
-                             lambda nodes: profile.join(nodes, "node", "left_semi"),
-                             lambda x: np.frombuffer(x, np.uint64), num, den, bounds=profile)
+                             lambda nodes: (write_state(profile.join(nodes, "node", "left_semi"), "profiles"), None),
+                             lambda raw: [np.frombuffer(x, np.uint64) for x in raw], num, den, bounds=profile)
     named = classes.join(linked, "node", "left").withColumn("component_id", F.coalesce("component", "node"))
     return (rows.join(named, ["n_shingles", "s1", "s2"], "left")
             .select("doc_id", "n_shingles",
