@@ -22,11 +22,22 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def write_state(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` as a table in the shared folder and read it back."""
-    path = shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cut lineage: write ``df`` as a table in the shared folder and read it back.
+
+    While it is written, Arrow batches hold at most 2,000 rows, so a worker has a few MB of text at a time.
+    """
+    spark = df.sparkSession
+    path, before = shared_path(spark, name), spark.conf.get(BATCH_ROWS)
+    try:
+        spark.conf.set(BATCH_ROWS, str(min(int(before), 2000) if int(before) > 0 else 2000))
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -47,8 +47,8 @@ class WordIds:
     ends a word; so a text's ids are its words' ids in a row.
     """
 
-    MOST = 1 << 21  # words remembered; beyond it the memory starts anew
-    RECENT = 1 << 16  # new words gathered before they are merged into the large table
+    MOST = 1 << 19  # words remembered (some 20 MB); beyond it the memory starts anew
+    RECENT = 1 << 15  # new words gathered before they are merged into the large table
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
