@@ -93,6 +93,37 @@ def test_kmeans_same_at_any_partitioning(spark):
     assert runs[0] == runs[1] == runs[2]
 
 
+def test_registered_kmeans_runs_until_nothing_moves(spark, tmpdir_path):
+    """Points that need more than 8 steps; the scores are those of a brute-force fit."""
+    import hashlib
+    import numpy as np
+    from wordloom.plans import clusterplans as P
+    rng = np.random.RandomState(4)
+    x = rng.rand(3000, 2)
+    labels = [int(v * 5) for v in x[:, 0]]
+    spark.createDataFrame([(i, [float(v) for v in p], labels[i]) for i, p in enumerate(x)],
+                          "vec_id long, embedding array<double>, label long").write.parquet(f"{tmpdir_path}/embeddings.parquet")
+
+    def fit(steps):
+        order = sorted(range(len(x)), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+        c, done = x[order[:P.K]], 0
+        while True:
+            near = np.linalg.norm(x[:, None] - c[None], axis=2).argmin(axis=1)
+            new = np.array([x[near == j].mean(axis=0) for j in range(P.K)])
+            if done == steps or np.abs(new - c).max() < 1e-12:
+                return near, done
+            c, done = new, done + 1
+
+    def purity(near):
+        return sum(max(np.bincount(np.array(labels)[near == j])) for j in range(P.K)) / len(x)
+
+    full, steps = fit(None)
+    assert steps > 8
+    assert abs(P.kmeans_scores(spark, tmpdir_path).first()["purity"] - purity(full)) < 1e-6
+    assert abs(purity(full) - purity(fit(8)[0])) > 1e-6
+    assert abs(P.kmeans_scores(spark, tmpdir_path, max_iter=P.SQL_STEPS).first()["purity"] - purity(fit(8)[0])) < 1e-6
+
+
 def test_spectral_separates_groups(spark):
     """Two clouds, one much wider than the other, at any scale."""
     import random

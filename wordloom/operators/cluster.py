@@ -32,26 +32,36 @@ def _rows(vecs: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(vecs.flatten(), np.float64).reshape(-1, dim)
 
 
-def _assign(points: DataFrame, centers: list[tuple[int, list[float]]], metric: str) -> DataFrame:
-    """(doc_id, cluster_id, dist, vec); ties (to 12 places) to the lower cluster id."""
+def _nearest(centers: list[tuple[int, list[float]]], metric: str):
+    """A function of a matrix of points: (cluster ids, distances); ties (to 12 places) to the lower cluster id."""
     centers = sorted(centers)
     ids, c = np.array([i for i, _ in centers], np.int64), np.array([v for _, v in centers], np.float64)
 
+    def near(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        dist = np.empty((len(x), len(c)))
+        for j, centre in enumerate(c):
+            if metric == "cosine":
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    dist[:, j] = 1.0 - x @ centre / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(centre @ centre))
+            else:
+                diff = x - centre
+                dist[:, j] = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+        best = np.argmin(np.round(np.nan_to_num(dist, nan=np.inf), RANK_PLACES), axis=1)
+        return ids[best], dist[np.arange(len(x)), best]
+
+    return near
+
+
+def _assign(points: DataFrame, centers: list[tuple[int, list[float]]], metric: str) -> DataFrame:
+    """(doc_id, cluster_id, dist, vec); ties (to 12 places) to the lower cluster id."""
+    near = _nearest(centers, metric)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, dist = _rows(batch["vec"], c.shape[1]), np.empty((batch.num_rows, len(c)))
-            for j, centre in enumerate(c):
-                if metric == "cosine":
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        dist[:, j] = 1.0 - x @ centre / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(centre @ centre))
-                else:
-                    diff = x - centre
-                    dist[:, j] = np.sqrt(np.einsum("ij,ij->i", diff, diff))
-            best = np.argmin(np.round(np.nan_to_num(dist, nan=np.inf), RANK_PLACES), axis=1)
-            near = dist[np.arange(len(x)), best]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ids[best]), pa.array(near), batch["vec"]],
+            which, dist = near(_rows(batch["vec"], len(centers[0][1])))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(which), pa.array(dist), batch["vec"]],
                                              ["doc_id", "cluster_id", "dist", "vec"])
 
     return points.select("doc_id", V.as_double_array("vec").alias("vec")).mapInArrow(run, _ASSIGNED)
@@ -77,6 +87,26 @@ def _means(assigned: DataFrame) -> DataFrame:
             .select("cluster_id", "n", vector_to_array("m").alias("vec"), "cost"))
 
 
+def _centre_means(points: DataFrame, centers: list[tuple[int, list[float]]], metric: str) -> dict[int, np.ndarray]:
+    """The mean of every centre's points. Tasks add up their own batches, so no vector travels; k rows reach the driver."""
+    near = _nearest(centers, metric)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _rows(batch["vec"], len(centers[0][1]))
+            which = near(x)[0]
+            ids = np.unique(which)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids), pa.array([int((which == i).sum()) for i in ids], pa.int64()),
+                 pa.array([x[which == i].sum(axis=0) for i in ids], pa.list_(pa.float64()))], ["cluster_id", "n", "s"])
+
+    parts = points.select("vec").mapInArrow(run, "cluster_id long, n long, s array<double>")
+    sums = parts.groupBy("cluster_id").agg(F.sum("n").alias("n"), Summarizer.sum(array_to_vector("s")).alias("s"))
+    return {r["cluster_id"]: r["s"].toArray() / r["n"] for r in sums.collect()}
+
+
 def lloyd_step(points: DataFrame, centers: DataFrame) -> DataFrame:
     """One Lloyd iteration: (cluster_id, n, vec, cost) of the new centres."""
     return _means(_assign(points, _collected(centers), "euclidean"))
@@ -94,8 +124,9 @@ def kmeans(points: DataFrame, k: int, max_iter: int = 100, metric: str = "euclid
     """Lloyd's k-means (``metric='cosine'`` = spherical: unit points, unit centres).
 
     Starts from ``centres`` (default: ``hashed_centres``) and stops when no centre
-    moves, or after ``max_iter`` steps. Centres are kept to 12 places, so the
-    order of summation does not show. A cluster that loses all points keeps its
+    moves (by more than 1e-12 of the largest coordinate, at least 1) or the
+    centres are those of an earlier step, or after ``max_iter`` steps. Centres are
+    kept to 12 places, so the order of summation does not show. A cluster that loses all points keeps its
     centre. Zero vectors are kept out of cosine k-means (undefined direction) and returned as cluster -1.
 
     Returns (assignments(doc_id, cluster_id), centers(cluster_id, vec)).
@@ -108,16 +139,19 @@ def kmeans(points: DataFrame, k: int, max_iter: int = 100, metric: str = "euclid
         data = data.where(V.norm("vec") > 0).select("doc_id", V.l2_normalize("vec").alias("vec"))
     data = write_state(data, "points")
     now = dict(_collected(hashed_centres(data, k) if centres is None else centres))
+    seen = set()
     for _ in range(max_iter):
         if not now:
             break
-        got = {r["cluster_id"]: np.array(r["vec"]) for r in _means(_assign(data, list(now.items()), metric)).collect()}
+        got = _centre_means(data, list(now.items()), metric)
         if metric == "cosine":
             got = {i: v / max(np.sqrt(v @ v), 1e-300) for i, v in got.items()}
         after = now | {i: [float(x) for x in np.round(v, RANK_PLACES)] for i, v in got.items()}
-        if after == now:
-            break
+        a, b = (np.array([x[i] for i in sorted(now)]) for x in (now, after))
         now = after
+        if np.abs(a - b).max() <= 10.0 ** -RANK_PLACES * max(1.0, np.abs(b).max()) or b.tobytes() in seen:
+            break
+        seen.add(b.tobytes())
     assigned = _assign(data, list(now.items()), metric).select("doc_id", "cluster_id") if now else \
         data.select("doc_id", F.lit(0).cast("long").alias("cluster_id"))
     if zero is not None:

@@ -18,7 +18,8 @@ from .corpus import two_sided
 from .similar import is_old, n_old_docs, side_counts
 
 K = 10
-LLOYD_STEPS = 8  # the steps that the SQL form unrolls
+MAX_ITER = 10_000_000  # the reference's bound: k-means runs until no centre moves
+SQL_STEPS = 8  # the steps that the SQL form unrolls; only the ``*_8_steps`` queries stop there
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,15 +71,15 @@ def _scored(method: str, assign: DataFrame, labels: DataFrame) -> DataFrame:
                     F.round("entropy", 6).alias("entropy"))
 
 
-def kmeans_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def kmeans_scores(spark: SparkSession, sf_dir: str, max_iter: int = MAX_ITER) -> DataFrame:
     pts = points(spark, sf_dir)
-    assign, _ = C.kmeans(pts.select("doc_id", "vec"), K, max_iter=LLOYD_STEPS)
+    assign, _ = C.kmeans(pts.select("doc_id", "vec"), K, max_iter=max_iter)
     return _scored("kmeans", assign, pts.select("doc_id", "label"))
 
 
-def spherical_kmeans_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def spherical_kmeans_scores(spark: SparkSession, sf_dir: str, max_iter: int = MAX_ITER) -> DataFrame:
     pts = points(spark, sf_dir)
-    assign, _ = C.kmeans(pts.select("doc_id", "vec"), K, max_iter=LLOYD_STEPS, metric="cosine")
+    assign, _ = C.kmeans(pts.select("doc_id", "vec"), K, max_iter=max_iter, metric="cosine")
     return _scored("spherical_kmeans", assign, pts.select("doc_id", "label"))
 
 
@@ -100,8 +101,8 @@ def compare_clusterings(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pts.select("doc_id", "vec")
     parts = [
         _scored("nearest_first_k", C.assign_nearest(p, first_centres(pts)).select("doc_id", "cluster_id"), labels),
-        _scored("kmeans", C.kmeans(p, K, max_iter=LLOYD_STEPS)[0], labels),
-        _scored("spherical_kmeans", C.kmeans(p, K, max_iter=LLOYD_STEPS, metric="cosine")[0], labels),
+        _scored("kmeans", C.kmeans(p, K, max_iter=MAX_ITER)[0], labels),
+        _scored("spherical_kmeans", C.kmeans(p, K, max_iter=MAX_ITER, metric="cosine")[0], labels),
         _scored("spectral", C.spectral(p, K), labels),
         _scored("single_linkage", _single_linkage_cut(p), labels),
     ]
@@ -130,17 +131,17 @@ def _document_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vecs.join(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("label")), "doc_id")
 
 
-def kmeans_documents_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def kmeans_documents_scores(spark: SparkSession, sf_dir: str, max_iter: int = MAX_ITER) -> DataFrame:
     """Corpus -> document vectors -> k-means -> purity and entropy against the sources."""
     pts = cut_lineage(_document_points(spark, sf_dir))
-    assign, _ = C.kmeans(pts.select("doc_id", "vec"), K, max_iter=LLOYD_STEPS)
+    assign, _ = C.kmeans(pts.select("doc_id", "vec"), K, max_iter=max_iter)
     return _scored("kmeans_documents", assign, pts.select("doc_id", "label"))
 
 
-def kmeans_documents_top_terms(spark: SparkSession, sf_dir: str, n: int = 20) -> DataFrame:
+def kmeans_documents_top_terms(spark: SparkSession, sf_dir: str, n: int = 20, max_iter: int = MAX_ITER) -> DataFrame:
     """The ``n`` heaviest terms of every document cluster: mean L2-normalised TF-IDF row of its documents."""
     pts = cut_lineage(_document_points(spark, sf_dir))
-    assign, _ = C.kmeans(pts.select("doc_id", "vec"), K, max_iter=LLOYD_STEPS)
+    assign, _ = C.kmeans(pts.select("doc_id", "vec"), K, max_iter=max_iter)
     assign = cut_lineage(assign)
     docs = table(spark, sf_dir, "documents")
     counts = W.term_counts(docs.select("doc_id", T.unicode_terms("text").alias("tokens")))
