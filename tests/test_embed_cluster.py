@@ -156,6 +156,31 @@ def test_lsi_equals_a_dense_solve(spark):
     assert abs(ratio - dense.var(axis=0).sum() / x.var(axis=0).sum()) < 1e-6
 
 
+def test_lsi_uses_all_terms(spark, tmpdir_path):
+    """More terms than the former cut of 2,000: a document of rare terms has a vector, and the shares are a dense SVD's."""
+    import numpy as np
+    from wordloom.operators import reduce as R
+    from wordloom.plans import clusterplans as P
+    rng = np.random.RandomState(6)
+    texts = [" ".join(f"c{j % 2000:04d}" for j in range(i * 97, i * 97 + 300)) for i in range(60)]
+    texts += ["rare1 rare2 rare3"] * 2  # 62 documents, one term set each; ids 60 (new) and 61 (old)
+    spark.createDataFrame([(i, t, len(t), "s") for i, t in enumerate(texts)], "doc_id long, text string, n_chars long, source string") \
+         .write.parquet(f"{tmpdir_path}/documents.parquet")
+    got = {r["doc_id"]: r["vec"] for r in P.lsi_doc_vectors(spark, tmpdir_path).collect()}
+    assert len(got) == 62 and any(got[60]) and any(got[61])
+    # 80 rows of full rank, fewer components than directions, several steps
+    x = rng.rand(80, 120) * (rng.rand(80, 120) > 0.7)
+    w = spark.createDataFrame([(d, f"t{t:03d}", float(x[d, t])) for d in range(80) for t in range(120) if x[d, t]],
+                              "doc_id long, term string, w double").repartition(5)
+    want = np.linalg.svd(x)
+    share = (x @ want[2][:10].T).var(axis=0).sum() / x.var(axis=0).sum()
+    for dense_docs in (0, 2000):
+        comps, s = R.fit_lsi_blocks(w, 10, more=10, tol=1e-7, dense_docs=dense_docs)
+        assert np.allclose(s, want[1][:10], rtol=1e-3)
+        ratio = R.explained_variance(w, R.fold_in(w, comps, normalize=False), F.lit(80)).first()["ratio"]
+        assert abs(ratio - share) < 1e-3
+
+
 def test_f11_word_index_and_pad(spark):
     d = tiny_docs(spark)
     toks = S.positioned(d, S.sequence_tokens("text"))

@@ -155,38 +155,31 @@ def kmeans_documents_top_terms(spark: SparkSession, sf_dir: str, n: int = 20, ma
 
 
 # ----------------------------------------------------------------------------- reduction
-def _lsi(spark: SparkSession, sf_dir: str, rank: int, max_features: int):
-    """Tokenise once: counts and TF-IDF rows are checkpointed and feed the
-    vocabulary, the Gram pass, the fold-in and the variance sums."""
+def _lsi(spark: SparkSession, sf_dir: str, rank: int):
+    """Tokenise once: counts and TF-IDF rows are checkpointed and feed the fit, the fold-in and the variance sums."""
     counts = cut_lineage(side_counts(spark, sf_dir))
-    model = W.fit_tfidf(counts, n_old_docs(spark, sf_dir), max_features=max_features,
-                        mode="smooth", where=is_old())
-    vocab = [r["term"] for r in model.select("term").orderBy("term").collect()]  # at most max_features
+    model = W.fit_tfidf(counts, n_old_docs(spark, sf_dir), mode="smooth", where=is_old())
     weights = cut_lineage(W.apply_tfidf(counts, model, normalize=True, keep=("side",)))
-    feats = R.rows_from_weights(weights.where(is_old()), vocab)
-    v, s = R.fit_lsi(feats, min(rank, len(vocab)), len(vocab))
-    comps = R.components_table(spark, vocab, v)
-    return weights, comps
+    return weights, *R.fit_lsi_blocks(weights.where(is_old()), rank)
 
 
-def lsi_doc_vectors(spark: SparkSession, sf_dir: str, rank: int = 100, max_features: int = 2000) -> DataFrame:
-    """LSI: TF-IDF (old side, the ``max_features`` most frequent terms) -> rank-r SVD -> fold both sides -> L2 norm.
+def lsi_doc_vectors(spark: SparkSession, sf_dir: str, rank: int = 300) -> DataFrame:
+    """LSI: TF-IDF (old side, all terms) -> rank-r SVD -> fold both sides -> L2 norm.
 
-    A row for every document; one without a term of the vocabulary is all zeros.
+    A row for every document; one without a term of the old side is all zeros.
+    Fewer than ``rank`` components where the old documents have a lower rank.
     """
-    weights, comps = _lsi(spark, sf_dir, rank, max_features)
-    out = R.lsi_transform(weights, comps, keys=("doc_id", "side"))
-    kept = len(comps.first()["comp"])
-    out = (two_sided(spark, sf_dir, "n_chars").select("doc_id", "side").join(out, ["doc_id", "side"], "left")
-           .withColumn("vec", F.coalesce("vec", V.zeros(kept))))
+    weights, comps, s = _lsi(spark, sf_dir, rank)
+    out = (two_sided(spark, sf_dir, "n_chars").select("doc_id", "side").join(R.fold_in(weights, comps), "doc_id", "left")
+           .withColumn("vec", F.coalesce("vec", V.zeros(len(s)))))
     return out.select("doc_id", "side", V.round_array("vec", 6).alias("vec"))
 
 
-def lsi_explained_variance(spark: SparkSession, sf_dir: str, rank: int = 100,
-                           max_features: int = 2000) -> DataFrame:
-    weights, comps = _lsi(spark, sf_dir, rank, max_features)
+def lsi_explained_variance(spark: SparkSession, sf_dir: str, rank: int = 300) -> DataFrame:
+    """Share of the old side's variance over all terms that the rank-r SVD keeps."""
+    weights, comps, _ = _lsi(spark, sf_dir, rank)
     old_w = weights.where(is_old())
-    proj = R.lsi_transform(old_w, comps, normalize=False)
+    proj = R.fold_in(old_w, comps, normalize=False)
     return R.explained_variance(old_w, proj, n_old_docs(spark, sf_dir)).select(
         F.lit(rank).alias("rank"), "ratio", "percent")
 
