@@ -181,6 +181,40 @@ def test_lsi_uses_all_terms(spark, tmpdir_path):
         assert abs(ratio - share) < 1e-3
 
 
+def test_document_queries_use_trained_vectors(spark, tmpdir_path):
+    """Nearest documents, sequence codes and clusters are those of the 300-dimensional trained vectors, by brute force."""
+    import random
+    import numpy as np
+    from wordloom.plans import clusterplans as P
+    from wordloom.plans import embedplans as D
+    rng = random.Random(8)
+    texts = [". ".join(" ".join(f"{'abc'[i % 3]}word{rng.randrange(12)}" for _ in range(9)) for _ in range(4)) for i in range(45)]
+    lonely = texts + ["alone"]  # id 45, a new document without a co-occurrence
+    spark.createDataFrame([(i, t, len(t), "xyz"[i % 3]) for i, t in enumerate(lonely)],
+                          "doc_id long, text string, n_chars long, source string").write.parquet(f"{tmpdir_path}/documents.parquet")
+    for plan, vectors in ((D.topk_doc_vectors_mean, D.word2vec_doc_vectors), (D.topk_doc_vectors_tfidf, D.doc_vectors_tfidf_trained)):
+        v = {r["doc_id"]: np.array(r["vec"]) for r in vectors(spark, tmpdir_path).collect()}
+        assert len(v) == 45 and len(v[0]) == 300
+        top = plan(spark, tmpdir_path).collect()
+        assert sum(r["new_id"] == 45 for r in top) == 3
+        for r in top:
+            if r["new_id"] == 45:
+                continue
+            a, b = v[r["new_id"]], v[r["old_id"]]
+            assert abs(r["dist"] - (1 - a @ b / np.sqrt((a @ a) * (b @ b)))) < 1e-5
+    words = {r["term"]: np.array(r["vec"]) for r in D.trained_word_vectors(spark, tmpdir_path).collect()}
+    x = np.zeros((45, D.SEQ_LEN, 300))
+    for i, t in enumerate(texts):
+        tokens = t.replace(".", " ").split()[-D.SEQ_LEN:]
+        x[i, D.SEQ_LEN - len(tokens):] = [words.get(w, np.zeros(300)) for w in tokens]
+    left, size, _ = np.linalg.svd(x.reshape(45, -1), full_matrices=False)
+    want = left[:, :30] * size[:30]
+    codes = np.array([r["code"] for r in D.sequence_autoencoder_codes(spark, tmpdir_path).where("doc_id < 45").orderBy("doc_id").collect()])
+    assert np.allclose(codes @ codes.T, want @ want.T, atol=1e-2)
+    assert P._document_points(spark, tmpdir_path, False).selectExpr("max(size(vec))").first()[0] == 300
+    assert P.kmeans_documents_scores(spark, tmpdir_path).first()["n"] == 46
+
+
 def test_f11_word_index_and_pad(spark):
     d = tiny_docs(spark)
     toks = S.positioned(d, S.sequence_tokens("text"))

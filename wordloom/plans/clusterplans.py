@@ -124,23 +124,24 @@ def top_terms_per_source(spark: SparkSession, sf_dir: str, n: int = 20) -> DataF
                       F.round("weight", 6).alias("weight"))
 
 
-def _document_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, vec, label): averaged word vectors of every document; the label is its source."""
-    from .embedplans import doc_vectors_mean
-    vecs = doc_vectors_mean(spark, sf_dir).select("doc_id", "vec")
-    return vecs.join(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("label")), "doc_id")
+def _document_points(spark: SparkSession, sf_dir: str, hashed: bool) -> DataFrame:
+    """(doc_id, vec, label): averaged trained (or ``hashed``) word vectors of every document; the label is its source."""
+    from .embedplans import doc_vectors_mean, with_every_document, word2vec_doc_vectors
+    vecs = doc_vectors_mean(spark, sf_dir) if hashed else with_every_document(spark, sf_dir, word2vec_doc_vectors(spark, sf_dir))
+    return vecs.select("doc_id", "vec").join(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("label")), "doc_id")
 
 
-def kmeans_documents_scores(spark: SparkSession, sf_dir: str, max_iter: int = MAX_ITER) -> DataFrame:
+def kmeans_documents_scores(spark: SparkSession, sf_dir: str, max_iter: int = MAX_ITER, hashed: bool = False) -> DataFrame:
     """Corpus -> document vectors -> k-means -> purity and entropy against the sources."""
-    pts = cut_lineage(_document_points(spark, sf_dir))
+    pts = cut_lineage(_document_points(spark, sf_dir, hashed))
     assign, _ = C.kmeans(pts.select("doc_id", "vec"), K, max_iter=max_iter)
     return _scored("kmeans_documents", assign, pts.select("doc_id", "label"))
 
 
-def kmeans_documents_top_terms(spark: SparkSession, sf_dir: str, n: int = 20, max_iter: int = MAX_ITER) -> DataFrame:
+def kmeans_documents_top_terms(spark: SparkSession, sf_dir: str, n: int = 20, max_iter: int = MAX_ITER,
+                               hashed: bool = False) -> DataFrame:
     """The ``n`` heaviest terms of every document cluster: mean L2-normalised TF-IDF row of its documents."""
-    pts = cut_lineage(_document_points(spark, sf_dir))
+    pts = cut_lineage(_document_points(spark, sf_dir, hashed))
     assign, _ = C.kmeans(pts.select("doc_id", "vec"), K, max_iter=max_iter)
     assign = cut_lineage(assign)
     docs = table(spark, sf_dir, "documents")

@@ -82,13 +82,29 @@ def _topk_vectors(vectors: DataFrame, k: int) -> DataFrame:
                       F.col("ref_id").alias("old_id"), (F.round("dist", 6) + F.lit(0.0)).alias("dist"))
 
 
+def with_every_document(spark: SparkSession, sf_dir: str, vectors: DataFrame, dim: int = 300) -> DataFrame:
+    """``vectors`` (doc_id, side, vec) with a row of zeros for each document that has words, but none with a vector."""
+    docs = word_counts(spark, sf_dir).select("doc_id", "side").distinct()
+    return docs.join(vectors, ["doc_id", "side"], "left").withColumn("vec", F.coalesce("vec", V.zeros(dim)))
+
+
 def topk_doc_vectors_mean(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
-    """The k nearest old documents of every new one, by averaged word vectors."""
-    return _topk_vectors(doc_vectors_mean(spark, sf_dir), k)
+    """The k nearest old documents of every new one, by averaged trained word vectors."""
+    return _topk_vectors(with_every_document(spark, sf_dir, word2vec_doc_vectors(spark, sf_dir)), k)
 
 
 def topk_doc_vectors_tfidf(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
-    """The same by TF-IDF-weighted word vectors."""
+    """The same by TF-IDF-weighted trained word vectors."""
+    return _topk_vectors(with_every_document(spark, sf_dir, doc_vectors_tfidf_trained(spark, sf_dir)), k)
+
+
+def topk_doc_vectors_mean_hashed(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
+    """A check of averaging and ranking against SQL: the vectors are hash-made."""
+    return _topk_vectors(doc_vectors_mean(spark, sf_dir), k)
+
+
+def topk_doc_vectors_tfidf_hashed(spark: SparkSession, sf_dir: str, k: int = 3) -> DataFrame:
+    """The same with TF-IDF weights."""
     return _topk_vectors(doc_vectors_tfidf(spark, sf_dir), k)
 
 
@@ -133,14 +149,15 @@ def encode_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_index(src, [F.asc("source")], name="code")
 
 
-def sequence_autoencoder_codes(spark: SparkSession, sf_dir: str, length: int = SEQ_LEN, dim: int = 30) -> DataFrame:
-    """Sequence representation: padded id sequences -> embedding rows -> flattened
-    -> optimal linear autoencoder codes (``dim`` components)."""
+def sequence_autoencoder_codes(spark: SparkSession, sf_dir: str, length: int = SEQ_LEN, dim: int = 30,
+                               wv_dim: int = 300) -> DataFrame:
+    """Sequence representation: padded id sequences -> rows of the trained word vectors
+    -> flattened -> optimal linear autoencoder codes (``dim`` components)."""
     from ..operators import reduce as R
     docs = table(spark, sf_dir, "documents")
     idx = cut_lineage(S.word_index(_seq_tokens(spark, sf_dir)))
     seqs = S.pad(S.id_sequences(_tail_tokens(docs, length), idx, all_docs=docs), length)
-    emb = S.embedding_matrix(idx, word_vectors(spark, sf_dir), WV_DIM)
+    emb = S.embedding_matrix(idx, cut_lineage(trained_word_vectors(spark, sf_dir, wv_dim)), wv_dim)
     codes = R.linear_autoencoder(R.embedded_sequences(seqs, emb), dim)
     return codes.select("doc_id", V.round_array("code", 6).alias("code"))
 
