@@ -239,3 +239,19 @@ def test_warc_broken():
                 good.replace(b"WARC-Date", b"X-Date"), good.replace(b"Content-Length: 7", b"Content-Length: 8")):
         with pytest.raises(warc.WarcError):
             warc.parse(bad)
+
+
+def test_packing_tells_added_tokens_by_case():
+    """'<|EndOfText|>' is text, '<|endoftext|>' one token; whichever a worker meets first."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    from wordloom.llm.common import utf8
+    from wordloom.llm.packing import WordIds
+    import pyarrow as pa
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["Some <|EndOfText|> here, the x<|STARTOFTEXT|>y", "some <|endoftext|> here, the x<|startoftext|>y", "<|EndOfText|>"]
+    plain = Tokenizer.from_file(path)
+    for order in (texts, texts[::-1]):
+        ids, at = WordIds(path).encode(*utf8(pa.array(order)))
+        for i, t in enumerate(order):
+            assert ids[at[i]:at[i + 1]].tolist() == plain.encode(t, add_special_tokens=False).ids

@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from hashlib import blake2b
 from itertools import chain
 
 import numpy as np
@@ -53,6 +54,8 @@ class WordIds:
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
         self.model = self.tokenizer.model
+        # matched before lower-casing, so case tells such words apart; the words' hash folds it
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         # the direct way is taken where it gives this tokenizer's own result on every kind of such letters
         self.direct = False
         probe = ["the", "Tokenizers", "\u00c9t\u00e9", "se\u00f1or", "stra\u00dfe", "\u00fcbergr\u00f6\u00dfen", "\u00e7\u00e0", "q"]
@@ -125,17 +128,31 @@ class WordIds:
                 at[hit], size[hit] = begin[place[hit]], count[place[hit]]
         return at, size
 
+    def _keyed(self, raw: bytes, s: np.ndarray, e: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The words' hashes; a word that holds an added token's text, in any case, goes by its exact bytes."""
+        low, out = raw.lower(), h
+        for token in self.added:
+            at = low.find(token)
+            while at >= 0:
+                i = int(np.searchsorted(s, at, "right")) - 1
+                if i >= 0:
+                    out = h.copy() if out is h else out
+                    out[i] = int.from_bytes(blake2b(raw[s[i]: e[i]], digest_size=8).digest(), "little")
+                at = low.find(token, at + 1)
+        return out
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a batch of texts in order, and where each text's begin."""
         out, sizes, firsts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for lo, s, e, h in word_spans(data, offsets, split_tail=True):
             if len(self.tables[0][0]) > self.MOST:
                 self.clear()
+            raw = data[lo: lo + int(e[-1])].tobytes() if len(e) else b""
+            h = self._keyed(raw, s, e, h)
             unique, first, which = np.unique(h, return_index=True, return_inverse=True)
             at, size = self._find(unique)
             new = np.flatnonzero(at < 0)
             if len(new):
-                raw = data[lo: lo + int(e[-1])].tobytes()
                 self._learn(unique[new], [raw[s[i]: e[i]] for i in first[new]])
                 at[new], size[new] = self._find(unique[new])
             if len(self.ids) > 1:
