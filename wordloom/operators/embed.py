@@ -110,7 +110,8 @@ def indexed_word_vectors(info: DataFrame, dim: int = 300, places: int = 4) -> Da
     Each context stands for ``places`` signed unit steps in ``dim`` dimensions,
     taken from md5 of the word, which keeps inner products in expectation. Two
     grouped sums over (term, dimension): no vocabulary on the driver, every
-    word, and no dependence on cores or partitions. A word without informative contexts has zeros.
+    word of ``info``, and no dependence on cores or partitions. A word without informative contexts has zeros,
+    one without any co-occurrence no row.
     """
     steps = []
     for j in range(places):

@@ -182,7 +182,7 @@ def cooccurrence_ppmi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trained_word_vectors(spark: SparkSession, sf_dir: str, dim: int = 300) -> DataFrame:
-    """Unit-length word vectors trained on the documents: every word, no model on the driver."""
+    """Unit-length word vectors trained on the documents: every word with a co-occurrence, no model on the driver."""
     return E.indexed_word_vectors(cooccurrence(spark, sf_dir), dim)
 
 
