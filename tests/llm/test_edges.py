@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, repeated rows, empty tables and clashing columns, for each operator."""
 
+from collections import Counter
+
 import pytest
 
 from wordloom.llm import ann_forest, embed_dedup, line_dedup, mixing, ngram_join, packing, quality, sharding, url_filter
@@ -255,3 +257,125 @@ def test_packing_tells_added_tokens_by_case():
         ids, at = WordIds(path).encode(*utf8(pa.array(order)))
         for i, t in enumerate(order):
             assert ids[at[i]:at[i + 1]].tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame([(*r, "a", 1, 2.0) for r in rows],
+                                 "vec_id long, embedding array<double>, label int, codes string, dim int, rb double")
+
+
+def test_hard_negatives(spark):
+    from wordloom.llm.hard_negatives import hard_negatives
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.0], 2), (0, [1.0, 0.0], 2), (1, [1.0, 0.0], 3), (1, [1.0, 0.0], 3), (2, [0.9, 5.0], 3), (3, [0.9, 0.0], 4),
+            (4, [0.8, 1.0], 4), (5, None, 3), (6, [1.0, 0.0], None), (8, [nan, 1.0], 3), (9, [1.0, inf], 3), (10, [None, 1.0], 3),
+            (11, [], 3), (None, [1.0, 0.0], 3), (12, [1.0, 0.0, 0.0], 3), (13, [0.0, 0.0], 3), (14, [1e300, -1e300], 9)]
+    # anchor 0 has label 3 (0 is divisible by 7); 14 has label 0 and components held at 2**30 and below
+    got = sorted(map(tuple, hard_negatives(vectors(spark, rows)).collect()))
+    one, near, far = 256 * 256, 256 * 230, 256 * 204
+    assert got == [(0, 1, 1, 3, one, near), (0, 2, 1, 3, near, near), (0, 2, 2, 4, near, far)]
+    assert hard_negatives(vectors(spark, rows).limit(0)).count() == 0
+    ties = [(0, [1.0, 1.0], 2)] + [(i, [1.0, 1.0], 3 if i % 2 else 5) for i in range(1, 60) if i % 7]
+    got = hard_negatives(vectors(spark, ties)).collect()
+    assert {r["positive_id"] for r in got} == {1, 3, 5, 9, 11} and len(got) == 25
+    assert {r["negative_id"] for r in got} == {2, 4, 6, 8, 10}
+
+
+def test_hard_negatives_cells(spark, monkeypatch):
+    """Many cells, other lengths than a word's, and intervals that hold the integer scores."""
+    import numpy as np
+
+    from wordloom.llm import hard_negatives as H
+    random = np.random.RandomState(3)
+    x = random.standard_normal((300, 70)) + 2 * random.standard_normal((10, 70))[np.arange(300) % 10]
+    rows = [(i, v.tolist(), i % 10) for i, v in enumerate(x)]
+    whole = Counter(map(tuple, H.hard_negatives(vectors(spark, rows), every=20).collect()))
+    for name, size in (("BLOCK", 32), ("ANCHORS", 4)):
+        monkeypatch.setattr(H, name, size)
+    assert Counter(map(tuple, H.hard_negatives(vectors(spark, rows).repartition(5), every=20).collect())) == whole
+    v = np.floor(256 * x).astype(np.int64)
+    label = np.array([(i % 10 + 1) % 10 if i % 7 == 0 else i % 10 for i in range(300)])
+    want = Counter()
+    for a in range(0, 300, 20):
+        score = v @ v[a]
+        order = [i for i in np.lexsort((np.arange(300), -score)) if i != a]
+        for p in [i for i in order if label[i] == label[a]][:5]:
+            fits = [i for i in order if label[i] != label[a] and 80 * score[p] <= 100 * score[i] <= 100 * score[p]][:5]
+            want.update((a, p, r, n, score[p], score[n]) for r, n in enumerate(fits, 1))
+    assert whole == want and want
+    codes, sizes = H.encode(v)
+    for a in (0, 17):
+        bounds, keep = H.Anchor(v[a]).intervals(codes, sizes), None
+        for _ in range(H.LEVELS):
+            low, high = bounds.send(keep)
+            keep = np.ones(300, bool)
+            assert (low <= v @ v[a]).all() and (v @ v[a] <= high).all()
+    assert (high - low).mean() < np.linalg.norm(v, axis=1).mean() * np.linalg.norm(v[17])  # the last level is narrow
+
+
+def test_filter_audit(spark):
+    from wordloom.llm.filter_audit import filter_audit, positional_popcount
+    import numpy as np
+    words = np.random.RandomState(1).randint(0, 2**32, 1000, dtype=np.uint64).astype(np.uint32)
+    for n in (0, 1, 2, 3, 4, 1000):
+        assert positional_popcount(words[:n]).tolist() == [int((words[:n] >> np.uint32(b) & 1).sum()) for b in range(32)]
+    rows = {(r["part"], r["filter_order"], r["step"]): r for r in filter_audit(docs(spark), labels(spark)).collect()}
+    assert len(rows) == 4 * 600 and {p for p, *_ in rows} == {"", "en", "fr", "de"}
+    # part '': 2 (null text: A), 5 (upper case: A, C); 'en': 1, 1, 3 (empty as 2: E), 4, 6 (A), 7, 9 (kept)
+    r = rows["", "ABCDE", 1]
+    assert (r["kept"], r["removed"], r["redundant"], r["unique_fails"], r["good_lost"], r["shapley"]) == (0, 2, 0, 1, 1, 180)
+    r = rows["", "CABDE", 1]
+    assert (r["kept"], r["removed"], r["unique_fails"], r["good_lost"], r["shapley"]) == (1, 1, 0, 1, 60)
+    r = rows["en", "AEBCD", 2]
+    assert (r["kept"], r["removed"], r["redundant"], r["unique_fails"]) == (2, 0, 1, 0)
+    assert rows["en", "AEBCD", 1]["good_lost"] == 2 and rows["en", "EABCD", 1]["removed"] == 1
+    assert rows["de", "ABCDE", 1]["removed"] == 1 and rows["fr", "ABCDE", 5]["kept"] == 0
+    assert filter_audit(empty(spark), labels(spark)).count() == 0
+    assert {r["good_lost"] for r in filter_audit(docs(spark), labels(spark).limit(0)).collect()} == {0}
+
+
+def test_filter_audit_pieces():
+    from wordloom.llm import filter_audit as A
+    words = [f"w{i % 900}" for i in range(2000)]
+    raw = "\t".join(words).encode()
+    assert b"".join(A._pieces(raw)) == raw
+    before = A.text_failures(raw, len(raw))
+    old, A._PIECE = A._PIECE, 7
+    try:
+        assert [w for p in A._pieces(raw) for w in p.split()] == [w.encode() for w in words]
+        assert A.text_failures(raw, len(raw)) == before == 2
+    finally:
+        A._PIECE = old
+
+
+def test_decontamination(spark):
+    from wordloom.llm.decontam import contaminated_spans, decontamination
+    w = [f"q{i}" for i in range(30)]
+    items = [(7, "Q: " + " ".join(w[:14]), 1), (7, "Q: " + " ".join(w[:14]), 1), (12, "ünï-code 5", 2), (3, " ".join(w[4:20]).upper(), 1),
+             (None, "nothing here", 1), (20, None, 1), (21, " .,; ", 1)]
+    bench = spark.createDataFrame(items, "item_id long, text string, items int")
+    texts = [(1, "x " + ", ".join(w[:25]) + " y"), (2, "ünï--CODE\n5 ünï code 55"), (2, "ünï--CODE\n5 ünï code 55"), (3, None), (4, ""),
+             (None, "ünï code 5"), (11, "Ünï code 5"), (5, " ".join(w[5:14])), (6, "é" * 50 + " \u0085 " + "-".join(w[4:14]) + "\u00a0"), (8, "ünï code"), (9, "5"),
+             (10, "w " * 100000 + " ".join(w[:10]))]
+    docs_ = spark.createDataFrame([(*t, "s", 1) for t in texts], "doc_id long, text string, digest string, spans int")
+
+    def seen(part):
+        rows = contaminated_spans(docs_, bench, part).collect()
+        return sorted(((r["doc_id"], r["n_words"], [(s["word"], s["words"], s["start"], s["end"]) for s in r["spans"]], r["items"])
+                       for r in rows), key=str)
+
+    whole = seen(50_000)
+    by = {r[0]: r for r in whole}
+    assert by[1][1:] == (27, [(1, 20, 2, 2 + len(", ".join(w[:20])))], ["3", "7"])
+    assert by[2][1:] == (6, [(0, 3, 0, 11)], ["12"]) and len(whole) == len(texts)
+    assert by[3][1:] == by[4][1:] == (0, [], []) and by[None][2] == [(0, 3, 0, 10)]
+    assert by[5][2] == by[8][2] == by[9][2] == by[11][2] == []
+    # \u0085 and \u00a0 are beyond ASCII, so word characters: the last word is another one
+    assert by[6][1:] == (12, [], [])
+    assert by[10][2] == [(100000, 10, 200000, 200000 + len(" ".join(w[:10])))]
+    for part in (1, 3):  # several automata, merged
+        assert seen(part) == whole
+    rows = decontamination(docs_, bench).collect()
+    assert {r["doc_id"]: r["n_hit"] for r in rows}[1] == 20 and sum(r["contaminated"] for r in rows) == 5
+    assert decontamination(docs_.limit(0), bench).count() == 0
+    assert not any(r["contaminated"] for r in decontamination(docs_, bench.limit(0)).collect())

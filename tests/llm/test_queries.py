@@ -41,7 +41,7 @@ def components(ids, links):
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels", "embeddings", "benchmark"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     result = con.execute(Q.oracle_sql()[name])
     columns = [d[0] for d in result.description]

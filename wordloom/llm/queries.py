@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wordloom.llm.ann_forest import nearest_neighbours
 from wordloom.llm.common import read
+from wordloom.llm.decontam import DECONTAMINATION_SQL, decontamination
 from wordloom.llm.embed_dedup import embedding_components
+from wordloom.llm.filter_audit import FILTER_AUDIT_SQL, filter_audit
+from wordloom.llm.hard_negatives import HARD_NEGATIVES_SQL, hard_negatives
 from wordloom.llm.line_dedup import fuzzy_lines
 from wordloom.llm.mixing import mix_sources
 from wordloom.llm.ngram_join import ngram_jaccard_components
@@ -58,10 +61,23 @@ def op10_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(read(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_quality_bayes, op2_embedding_dedup, op3_hash_tree_shards, op4_ngram_jaccard, op5_ann_forest, op6_warc,
-        op7_mixing, op8_fuzzy_lines, op9_url_rules, op10_harmonic_packing)}
+        op7_mixing, op8_fuzzy_lines, op9_url_rules, op10_harmonic_packing,
+        op11_hard_negatives, op12_filter_audit, op13_decontamination)}
 
 
 WARC_SQL = """
@@ -74,4 +90,6 @@ FROM p LEFT JOIN groups ON p.html = groups.html"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_hash_tree_shards": sharding_sql(24), "op6_warc": WARC_SQL, "op9_url_rules": judge_urls_sql()}
+    return {"op3_hash_tree_shards": sharding_sql(24), "op6_warc": WARC_SQL, "op9_url_rules": judge_urls_sql(),
+            "op11_hard_negatives": HARD_NEGATIVES_SQL, "op12_filter_audit": FILTER_AUDIT_SQL,
+            "op13_decontamination": DECONTAMINATION_SQL}
