@@ -137,48 +137,61 @@ def test_spectral_separates_groups(spark):
         assert got[0] != got[1]
 
 
-def test_lsi_equals_a_dense_solve(spark):
+def _sparse(spark, x):
+    return spark.createDataFrame([(d, f"t{t:03d}", float(v)) for d, row in enumerate(x) for t, v in enumerate(row) if v],
+                                 "doc_id long, term string, w double").repartition(5)
+
+
+def test_lsi_equals_a_dense_solve(spark, tmpdir_path):
+    """Several blocks and chunks, a repeated term, an empty row; the variance also in SQL from the written tables."""
+    import duckdb
     import numpy as np
+    from wordloom.operators import lsi as L
     from wordloom.operators import reduce as R
     rng = np.random.RandomState(2)
-    x = rng.rand(40, 12) * (rng.rand(40, 12) > 0.6)
-    x[:, 3] = x[:, 4]  # a lower rank than columns
+    x = rng.rand(90, 60) * (rng.rand(90, 60) > 0.6)
+    x[:, 3] = x[:, 4]
     x[7] = 0
-    rows = [(d, f"t{t:02d}", float(x[d, t])) for d in range(40) for t in range(12) if x[d, t]]
-    w = spark.createDataFrame(rows, "doc_id long, term string, w double").repartition(5)
-    vocab = [f"t{t:02d}" for t in range(12)]
-    v, s = R.fit_lsi(R.rows_from_weights(w, vocab), 12, 12)
-    want = np.linalg.svd(x, compute_uv=False)
-    assert v.shape[1] == len(s) == np.linalg.matrix_rank(x) and np.allclose(s, want[:len(s)])
-    proj = R.lsi_transform(w, R.components_table(spark, vocab, v[:, :4]), normalize=False)
-    ratio = R.explained_variance(w, proj, F.lit(40)).first()["ratio"]
-    dense = x @ np.linalg.svd(x)[2][:4].T
-    assert abs(ratio - dense.var(axis=0).sum() / x.var(axis=0).sum()) < 1e-6
-
-
-def test_lsi_uses_all_terms(spark, tmpdir_path):
-    """More terms than the former cut of 2,000: a document of rare terms has a vector, and the shares are a dense SVD's."""
+    w, want = _sparse(spark, x), np.linalg.svd(x)
+    fit = L.fit_svd(w, 8, width=12, tol=1e-6, sizes=(32, 25, 8))
+    assert len(fit.values) == 8 and fit.residual <= 1e-6 and np.allclose(fit.values, want[1][:8], rtol=1e-9)
+    rows = L.fold_in(w, fit.comps, normalize=False, sizes=(40, 16, 10))
+    got = {r["doc_id"]: np.array(r["vec"]) for r in rows.collect()}
+    dense = x @ want[2][:8].T
+    assert 7 not in got and all(np.allclose(np.abs(got[d]), np.abs(dense[d]), atol=1e-4) for d in got) and len(got) == 89
+    share = dense.var(axis=0).sum() / x.var(axis=0).sum()
+    assert abs(L.explained_variance(w, fit, F.lit(90)).first()["ratio"] - share) < 1e-6
+    assert abs(R.explained_variance(w, rows, F.lit(90)).first()["ratio"] - share) < 1e-6
+    w.write.parquet(f"{tmpdir_path}/w")
+    fit.comps.write.parquet(f"{tmpdir_path}/v")
+    ratio = duckdb.sql(f"""
+        WITH w AS (SELECT * FROM '{tmpdir_path}/w/*.parquet'), v AS (SELECT * FROM '{tmpdir_path}/v/*.parquet'),
+        y AS (SELECT doc_id, j, sum(w * comp[j]) AS y FROM w JOIN v USING (term), range(1, 9) g(j) GROUP BY ALL),
+        kept AS (SELECT sum(q / 90 - (s / 90) ** 2) AS k FROM (SELECT j, sum(y) AS s, sum(y * y) AS q FROM y GROUP BY j)),
+        total AS (SELECT sum(q / 90 - (s / 90) ** 2) AS t FROM (SELECT term, sum(w) AS s, sum(w * w) AS q FROM w GROUP BY term))
+        SELECT k / t FROM kept, total""").fetchall()[0][0]
+    assert abs(ratio - share) < 1e-9
+    whole = L.fit_svd(w, 500, width=25, sizes=(32, 25, 8))  # more components than the rank: exact
+    assert len(whole.values) == np.linalg.matrix_rank(x) and np.allclose(whole.values, want[1][:len(whole.values)])
+    assert L.fit_svd(w.limit(0), 5).comps.count() == 0
+
+
+def test_lsi_queries(spark, tmpdir_path):
+    """More terms than the former cut of 2,000: a document of rare terms has a vector; nearest documents by brute force."""
     import numpy as np
-    from wordloom.operators import reduce as R
     from wordloom.plans import clusterplans as P
-    rng = np.random.RandomState(6)
     texts = [" ".join(f"c{j % 2000:04d}" for j in range(i * 97, i * 97 + 300)) for i in range(60)]
-    texts += ["rare1 rare2 rare3"] * 2  # 62 documents, one term set each; ids 60 (new) and 61 (old)
+    texts += ["rare1 rare2 rare3"] * 2 + ["", ""]  # ids 60, 61 (rare, new and old), 62, 63 (without terms, old)
     spark.createDataFrame([(i, t, len(t), "s") for i, t in enumerate(texts)], "doc_id long, text string, n_chars long, source string") \
          .write.parquet(f"{tmpdir_path}/documents.parquet")
-    got = {r["doc_id"]: r["vec"] for r in P.lsi_doc_vectors(spark, tmpdir_path).collect()}
-    assert len(got) == 62 and any(got[60]) and any(got[61])
-    # 80 rows of full rank, fewer components than directions, several steps
-    x = rng.rand(80, 120) * (rng.rand(80, 120) > 0.7)
-    w = spark.createDataFrame([(d, f"t{t:03d}", float(x[d, t])) for d in range(80) for t in range(120) if x[d, t]],
-                              "doc_id long, term string, w double").repartition(5)
-    want = np.linalg.svd(x)
-    share = (x @ want[2][:10].T).var(axis=0).sum() / x.var(axis=0).sum()
-    for dense_docs in (0, 2000):
-        comps, s = R.fit_lsi_blocks(w, 10, more=10, tol=1e-7, dense_docs=dense_docs)
-        assert np.allclose(s, want[1][:10], rtol=1e-3)
-        ratio = R.explained_variance(w, R.fold_in(w, comps, normalize=False), F.lit(80)).first()["ratio"]
-        assert abs(ratio - share) < 1e-3
+    got = {r["doc_id"]: np.array(r["vec"]) for r in P.lsi_doc_vectors(spark, tmpdir_path).collect()}
+    assert len(got) == 64 and any(got[60]) and any(got[61]) and not any(got[62])
+    top = {(r["new_id"], r["rank"]): r for r in P.topk_lsi(spark, tmpdir_path).collect()}
+    assert len(top) == 3 * 13 and top[60, 1]["old_id"] == 61 and abs(top[60, 1]["dist"]) < 1e-6
+    for new in (0, 25, 55):
+        near = sorted((1 - got[new] @ got[o], o) for o in got if o % 5 and any(got[o]))[:3]
+        assert np.allclose([top[new, r]["dist"] for r in (1, 2, 3)], [d for d, _ in near], atol=1e-5)
+    assert P.lsi_explained_variance(spark, tmpdir_path).first()["percent"] >= 99
 
 
 def test_document_queries_use_trained_vectors(spark, tmpdir_path):

@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import cluster as C
+from ..operators import linkage
+from ..operators import lsi as L
 from ..operators import reduce as R
 from ..operators import weights as W
+from ..operators.similarity import dense_topk_sided
 from ..session import cut_lineage, table
 from .corpus import two_sided
-from .similar import is_old, n_old_docs, side_counts
+from .similar import is_old, n_old_docs, nearest_report, side_counts
 
 K = 10
 MAX_ITER = 10_000_000  # the reference's bound: k-means runs until no centre moves
@@ -90,8 +93,7 @@ def spectral_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _single_linkage_cut(p: DataFrame, k: int = K) -> DataFrame:
-    from ..operators import linkage as L
-    return L.cut(p, L.minimum_spanning_tree(p), k)
+    return linkage.cut(p, linkage.minimum_spanning_tree(p), k)
 
 
 def compare_clusterings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +163,13 @@ def _lsi(spark: SparkSession, sf_dir: str, rank: int):
     counts = cut_lineage(side_counts(spark, sf_dir))
     model = W.fit_tfidf(counts, n_old_docs(spark, sf_dir), mode="smooth", where=is_old())
     weights = cut_lineage(W.apply_tfidf(counts, model, normalize=True, keep=("side",)))
-    return weights, *R.fit_lsi_blocks(weights.where(is_old()), rank)
+    return weights, L.fit_svd(weights.where(is_old()), rank)
+
+
+def _lsi_vectors(spark: SparkSession, sf_dir: str, rank: int) -> DataFrame:
+    weights, fit = _lsi(spark, sf_dir, rank)
+    return (two_sided(spark, sf_dir, "n_chars").select("doc_id", "side").join(L.fold_in(weights, fit.comps), "doc_id", "left")
+            .withColumn("vec", F.coalesce("vec", V.zeros(len(fit.values)))))
 
 
 def lsi_doc_vectors(spark: SparkSession, sf_dir: str, rank: int = 300) -> DataFrame:
@@ -170,18 +178,19 @@ def lsi_doc_vectors(spark: SparkSession, sf_dir: str, rank: int = 300) -> DataFr
     A row for every document; one without a term of the old side is all zeros.
     Fewer than ``rank`` components where the old documents have a lower rank.
     """
-    weights, comps, s = _lsi(spark, sf_dir, rank)
-    out = (two_sided(spark, sf_dir, "n_chars").select("doc_id", "side").join(R.fold_in(weights, comps), "doc_id", "left")
-           .withColumn("vec", F.coalesce("vec", V.zeros(len(s)))))
-    return out.select("doc_id", "side", V.round_array("vec", 6).alias("vec"))
+    return _lsi_vectors(spark, sf_dir, rank).select("doc_id", "side", V.round_array("vec", 6).alias("vec"))
+
+
+def topk_lsi(spark: SparkSession, sf_dir: str, k: int = 3, rank: int = 300) -> DataFrame:
+    """The k nearest old documents of every new one by cosine of their LSI vectors; all-zero vectors rank last."""
+    vectors = cut_lineage(_lsi_vectors(spark, sf_dir, rank))
+    return nearest_report(dense_topk_sided(vectors.select("doc_id", (~is_old()).alias("is_query"), "vec"), k, "cosine"))
 
 
 def lsi_explained_variance(spark: SparkSession, sf_dir: str, rank: int = 300) -> DataFrame:
     """Share of the old side's variance over all terms that the rank-r SVD keeps."""
-    weights, comps, _ = _lsi(spark, sf_dir, rank)
-    old_w = weights.where(is_old())
-    proj = R.fold_in(old_w, comps, normalize=False)
-    return R.explained_variance(old_w, proj, n_old_docs(spark, sf_dir)).select(
+    weights, fit = _lsi(spark, sf_dir, rank)
+    return L.explained_variance(weights.where(is_old()), fit, n_old_docs(spark, sf_dir)).select(
         F.lit(rank).alias("rank"), "ratio", "percent")
 
 
@@ -193,16 +202,14 @@ def pca_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def single_linkage_mst(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Single-linkage merge heights: (a, b, height) minimum spanning tree edges."""
-    from ..operators import linkage as L
     pts = points(spark, sf_dir)
-    mst = L.minimum_spanning_tree(pts.select("doc_id", "vec"))
+    mst = linkage.minimum_spanning_tree(pts.select("doc_id", "vec"))
     return mst.select("a", "b", F.round("height", 6).alias("height"))
 
 
 def single_linkage_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Single-linkage tree cut at k clusters, scored against the labels."""
-    from ..operators import linkage as L
     pts = points(spark, sf_dir)
     p = pts.select("doc_id", "vec")
-    assign = L.cut(p, L.minimum_spanning_tree(p), K)
+    assign = linkage.cut(p, linkage.minimum_spanning_tree(p), K)
     return _scored("single_linkage", assign, pts.select("doc_id", "label"))

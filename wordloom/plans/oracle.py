@@ -48,15 +48,25 @@ nrm AS (SELECT doc_id, sqrt(sum(w * w)) AS nrm FROM w GROUP BY doc_id),"""
             FROM ({pairs}) p LEFT JOIN dots USING (new_id, old_id)
             LEFT JOIN nrm nn ON nn.doc_id = p.new_id LEFT JOIN nrm no ON no.doc_id = p.old_id"""
     elif metric == "euclidean":
-        body = """dots AS (SELECT a.doc_id AS new_id, b.doc_id AS old_id, sum((a.w - b.w) * (a.w - b.w)) AS sq_shared,
-                        sum(a.w * a.w) AS a_sh, sum(b.w * b.w) AS b_sh
-                 FROM w a JOIN w b ON a.term = b.term WHERE a.side = 'new' AND b.side = 'old'
-                 GROUP BY 1, 2),
-sq AS (SELECT doc_id, sum(w * w) AS sq FROM w GROUP BY doc_id),"""
+        # (a - b)^2 over the union of the terms: what a pair does not share is added term by term, never taken off a sum
+        body = """sq AS (SELECT doc_id, sum(w * w) AS sq FROM w GROUP BY doc_id),
+sh AS MATERIALIZED (SELECT a.doc_id AS new_id, b.doc_id AS old_id, sum((a.w - b.w) * (a.w - b.w)) AS shared, count(*) AS n
+       FROM w a JOIN w b ON a.term = b.term WHERE a.side = 'new' AND b.side = 'old' GROUP BY 1, 2),
+nt AS (SELECT doc_id, count(*) AS nt FROM w GROUP BY doc_id),
+near AS MATERIALIZED (SELECT new_id, old_id, shared FROM sh JOIN nt x ON x.doc_id = new_id JOIN nt y ON y.doc_id = old_id
+         WHERE sh.n >= 0.5 * greatest(x.nt, y.nt)),
+oa AS (SELECT new_id, old_id, sum(w.w * w.w) AS own FROM near JOIN w ON w.doc_id = new_id
+       WHERE NOT EXISTS (FROM w o WHERE o.doc_id = old_id AND o.term = w.term) GROUP BY ALL),
+ob AS (SELECT new_id, old_id, sum(w.w * w.w) AS own FROM near JOIN w ON w.doc_id = old_id
+       WHERE NOT EXISTS (FROM w o WHERE o.doc_id = new_id AND o.term = w.term) GROUP BY ALL),
+ss AS (SELECT a.doc_id AS new_id, b.doc_id AS old_id, sum(a.w * a.w) AS a_sh, sum(b.w * b.w) AS b_sh
+       FROM w a JOIN w b ON a.term = b.term WHERE a.side = 'new' AND b.side = 'old' GROUP BY 1, 2),"""
         dist = f"""SELECT p.new_id, p.old_id,
-              sqrt(greatest(coalesce(sn.sq, 0) + coalesce(so.sq, 0) - coalesce(dots.a_sh, 0)
-                   - coalesce(dots.b_sh, 0) + coalesce(dots.sq_shared, 0), 0)) AS dist
-            FROM ({pairs}) p LEFT JOIN dots USING (new_id, old_id)
+              sqrt(CASE WHEN near.shared IS NOT NULL THEN near.shared + coalesce(oa.own, 0) + coalesce(ob.own, 0)
+                   ELSE greatest(coalesce(sn.sq, 0) + coalesce(so.sq, 0) - coalesce(ss.a_sh, 0) - coalesce(ss.b_sh, 0)
+                        + coalesce(sh.shared, 0), 0) END) AS dist
+            FROM ({pairs}) p LEFT JOIN sh USING (new_id, old_id) LEFT JOIN near USING (new_id, old_id)
+            LEFT JOIN oa USING (new_id, old_id) LEFT JOIN ob USING (new_id, old_id) LEFT JOIN ss USING (new_id, old_id)
             LEFT JOIN sq sn ON sn.doc_id = p.new_id LEFT JOIN sq so ON so.doc_id = p.old_id"""
     else:
         raise ValueError(metric)
@@ -239,14 +249,14 @@ wv AS (SELECT term, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))
 
 
 def _vec_of(rows: str, weight: str, keys: str = "doc_id, side") -> str:
-    return f"""SELECT {keys}, list(round(s / cnt, 6) ORDER BY i) AS vec FROM (
+    return f"""SELECT {keys}, list(round(s / cnt, 6) + 0.0 ORDER BY i) AS vec FROM (
   SELECT {keys}, i, sum({weight} * vec[i]) AS s, any_value(cnt) AS cnt FROM (
     SELECT *, sum(n) OVER (PARTITION BY doc_id) AS cnt FROM ({rows})) x,
     range(1, 9) AS g(i) GROUP BY {keys}, i) GROUP BY {keys}"""
 
 
 WORD_VECTORS_TABLE = f"""WITH {SIDES}, {word_vectors_cte()}
-SELECT term, list_transform(vec, lambda x: round(x, 6)) AS vec FROM wv"""
+SELECT term, list_transform(vec, lambda x: round(x, 6) + 0.0) AS vec FROM wv"""
 
 DOC_VECTORS_MEAN = f"""WITH {SIDES}, {word_vectors_cte()}
 {_vec_of("SELECT wc.doc_id, wc.side, wc.n, wv.vec FROM wc JOIN wv USING (term)", "n")}"""
@@ -286,7 +296,7 @@ SELECT doc_id, list_concat(list_transform(range(greatest({length} - len(seq), 0)
 
 
 EMBEDDING_MATRIX = f"""WITH {SIDES}, {word_vectors_cte()}, {SEQ_TOKENS}
-SELECT term_id, list_transform(coalesce(wv.vec, [0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]), lambda x: round(x, 6)) AS vec
+SELECT term_id, list_transform(coalesce(wv.vec, [0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]), lambda x: round(x, 6) + 0.0) AS vec
 FROM widx LEFT JOIN wv USING (term)
 UNION ALL SELECT 0, [0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]"""
 
@@ -329,7 +339,7 @@ SELECT cluster_id, label, n FROM (
   SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, label) AS r FROM cont) WHERE r = 1"""
 
 KMEANS_STEP = f"""WITH {_ASSIGN}
-SELECT cluster_id, any_value(n) AS n, list(round(m, 6) ORDER BY i) AS vec, round(any_value(cost), 4) AS cost FROM (
+SELECT cluster_id, any_value(n) AS n, list(round(m, 6) + 0.0 ORDER BY i) AS vec, round(any_value(cost), 4) AS cost FROM (
   SELECT cluster_id, i, avg(vec[i]) AS m, count(*) AS n, any_value(cost) AS cost FROM (
      SELECT *, sum(dist * dist) OVER (PARTITION BY cluster_id) AS cost FROM asg) a,
      range(1, 65) AS g(i) GROUP BY cluster_id, i) GROUP BY cluster_id"""
@@ -502,6 +512,6 @@ words AS (SELECT DISTINCT term FROM pr),
 cnt AS (SELECT doc_id, side, sum(n) AS cnt FROM wc JOIN words USING (term) GROUP BY ALL),
 dv AS (SELECT doc_id, side, d, sum(n * x / nrm) AS v FROM wc JOIN cell USING (term) JOIN nrm USING (term)
        WHERE nrm > 0 GROUP BY ALL)
-SELECT cnt.doc_id, cnt.side, list(round(coalesce(v, 0) / cnt, 6) ORDER BY g.d) AS vec
+SELECT cnt.doc_id, cnt.side, list(round(coalesce(v, 0) / cnt, 6) + 0.0 ORDER BY g.d) AS vec
 FROM cnt CROSS JOIN range(300) g(d) LEFT JOIN dv ON dv.doc_id = cnt.doc_id AND dv.side = cnt.side AND dv.d = g.d
 GROUP BY cnt.doc_id, cnt.side"""

@@ -44,7 +44,7 @@ def tfidf_weights(spark: SparkSession, sf_dir: str, normalize: bool = True,
     return W.apply_tfidf(counts, model, sublinear=sublinear, normalize=normalize, keep=("side",))
 
 
-def _report(top: DataFrame) -> DataFrame:
+def nearest_report(top: DataFrame) -> DataFrame:
     return top.select(F.col("query_id").alias("new_id"), F.col("rank").cast("long").alias("rank"),
                       F.col("ref_id").alias("old_id"), (F.round("dist", 6) + F.lit(0.0)).alias("dist"))
 
@@ -57,7 +57,7 @@ def topk_tfidf(spark: SparkSession, sf_dir: str, k: int = 3, metric: str = "cosi
     """
     w = tfidf_weights(spark, sf_dir, normalize=(metric != "cosine"))
     w = w.select("doc_id", (F.col("side") == NEW).alias("is_query"), "term", "w")
-    return _report(sparse_topk_sided(w, side_ids(spark, sf_dir), k, metric))
+    return nearest_report(sparse_topk_sided(w, side_ids(spark, sf_dir), k, metric))
 
 
 def topk_counts(spark: SparkSession, sf_dir: str, k: int = 3, metric: str = "jaccard",
@@ -67,4 +67,4 @@ def topk_counts(spark: SparkSession, sf_dir: str, k: int = 3, metric: str = "jac
     vocab = W.fit_vocabulary(counts, max_features, where=is_old())
     w = W.apply_counts(counts, vocab, keep=("side",)).select(
         "doc_id", (F.col("side") == NEW).alias("is_query"), "term", F.col("n").alias("w"))
-    return _report(sparse_topk_sided(w, side_ids(spark, sf_dir), k, metric))
+    return nearest_report(sparse_topk_sided(w, side_ids(spark, sf_dir), k, metric))

@@ -80,13 +80,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"), TABLE_KEYS.get(name))
 
 
-def write_state(df: DataFrame, name: str = "state") -> DataFrame:
+def write_state(df: DataFrame, name: str = "state", compression: str = "snappy") -> DataFrame:
     """Cut lineage by writing a parquet table under ``spark.checkpoint.dir`` (the
     shared folder) and reading it back; for per-iteration state tables."""
     import uuid
     root = ensure_checkpoint_dir(df.sparkSession)
     path = f"{root.rstrip('/')}/wordloom-{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", compression).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
