@@ -267,6 +267,47 @@ def test_mst_matches_prim(spark):
     assert np.allclose(sorted(total), got)
 
 
+def _ward_by_hand(x):
+    """(smaller id, larger id, height, size) of every merge, the least pair first."""
+    import numpy as np
+    clusters, out = {i: (1, v) for i, v in enumerate(x)}, []
+    while len(clusters) > 1:
+        ids = sorted(clusters)
+        n = np.array([clusters[i][0] for i in ids], float)
+        c = np.array([clusters[i][1] for i in ids])
+        h = np.sqrt(2 * n[:, None] * n / (n[:, None] + n)) * np.linalg.norm(c[:, None] - c, axis=2)
+        h[np.tril_indices(len(ids))] = np.inf
+        i, j = np.unravel_index(np.argmin(np.round(h, 12)), h.shape)
+        size = n[i] + n[j]
+        out.append((ids[i], ids[j], h[i, j], int(size)))
+        clusters[ids[i]] = (size, (n[i] * c[i] + n[j] * c[j]) / size)
+        del clusters[ids[j]]
+    return out
+
+
+def test_ward_linkage(spark):
+    """Every merge equals the brute force; copies merge first; cut into groups."""
+    import numpy as np
+    from wordloom.operators import linkage
+    from wordloom.operators.ward import ward_linkage
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 5)) + 9 * rng.integers(0, 3, size=(200, 1))
+    pts = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, vec array<double>").repartition(3)
+    want = sorted(_ward_by_hand(x))
+    merges = ward_linkage(pts)
+    got = sorted(map(tuple, merges.collect()))
+    assert [(a, b, n) for a, b, _, n in got] == [(a, b, n) for a, b, _, n in want]
+    assert np.allclose([h for *_, h, _ in got], [h for *_, h, _ in want], rtol=1e-9)
+    group = {r["doc_id"]: r["cluster_id"] for r in linkage.cut(pts, merges, 3).collect()}
+    assert len({(group[i], round(x[i].mean() / 9)) for i in range(200)}) == 3
+    assert ward_linkage(pts.limit(0)).count() == ward_linkage(pts.limit(1)).count() == 0
+    # a line of equal steps and copies: ties everywhere; the heights add up to the same total sum of squares
+    line = np.array([[float(i // 2)] for i in range(16)])
+    got = ward_linkage(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(line)], "doc_id long, vec array<double>")).collect()
+    assert len(got) == 15 and sum(r["height"] == 0 for r in got) == 8 and max(r["size"] for r in got) == 16
+    assert np.isclose(sum(r["height"] ** 2 / 2 for r in got), ((line - line.mean()) ** 2).sum())
+
+
 def test_paragraph_vectors(spark):
     """At the defaults: equal texts have equal vectors whatever the id, and topics lie apart."""
     import numpy as np

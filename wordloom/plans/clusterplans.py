@@ -14,6 +14,7 @@ from ..operators import cluster as C
 from ..operators import linkage
 from ..operators import lsi as L
 from ..operators import reduce as R
+from ..operators import ward
 from ..operators import weights as W
 from ..operators.similarity import dense_topk_sided
 from ..session import cut_lineage, table
@@ -213,3 +214,16 @@ def single_linkage_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pts.select("doc_id", "vec")
     assign = linkage.cut(p, linkage.minimum_spanning_tree(p), K)
     return _scored("single_linkage", assign, pts.select("doc_id", "label"))
+
+
+def ward_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ward merges of the embeddings: (a, b, height, size)."""
+    merges = ward.ward_linkage(points(spark, sf_dir).select("doc_id", "vec"))
+    return merges.select("a", "b", F.round("height", 6).alias("height"), "size")
+
+
+def ward_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Ward tree cut at k clusters, scored against the labels."""
+    pts = points(spark, sf_dir)
+    p = pts.select("doc_id", "vec")
+    return _scored("ward", linkage.cut(p, ward.ward_linkage(p), K), pts.select("doc_id", "label"))
