@@ -379,3 +379,15 @@ def test_decontamination(spark):
     assert {r["doc_id"]: r["n_hit"] for r in rows}[1] == 20 and sum(r["contaminated"] for r in rows) == 5
     assert decontamination(docs_.limit(0), bench).count() == 0
     assert not any(r["contaminated"] for r in decontamination(docs_, bench.limit(0)).collect())
+
+
+def test_lines_and_sieves_beside_any_column(spark):
+    """Columns named like those that the stages add for a while."""
+    from wordloom.llm.common import maybe_in, without
+    rows = [(1, "a line of words\nown line here", 1, "x", 5), (2, "a line of words", 2, "y", 6), (None, "a line of words", 3, "z", 7)]
+    named = spark.createDataFrame(rows, "doc_id long, text string, _gone int, gone string, place int")
+    got = sorted(map(tuple, line_dedup.without_repeated_lines(named).collect()), key=str)
+    assert got == sorted([rows[0], (2, "", 2, "y", 6), rows[2]], key=str)
+    keys = spark.createDataFrame([(1,)], "k long")
+    assert [r["place"] for r in maybe_in(named, "doc_id", keys).collect()] == [5]
+    assert sorted(r["place"] for r in without(named, "doc_id", keys).collect()) == [6, 7]

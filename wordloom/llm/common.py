@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,21 +26,31 @@ def shared_path(spark: SparkSession, name: str) -> str:
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def write_state(df: DataFrame, name: str) -> DataFrame:
+def write_state(df: DataFrame, name: str, rows: int | None = 2000) -> DataFrame:
     """Cut lineage: write ``df`` as a table in the shared folder and read it back.
 
-    While it is written, Arrow batches hold at most 2,000 rows, so a worker has a few MB of text at a time.
+    While it is written, Arrow batches hold at most ``rows`` rows, so a worker has a few MB of text at a time;
+    None leaves the session's setting, for tables of numbers, whose per-batch sums then merge more.
     """
     spark = df.sparkSession
     path, before = shared_path(spark, name), spark.conf.get(BATCH_ROWS)
     try:
-        spark.conf.set(BATCH_ROWS, str(min(int(before), 2000) if int(before) > 0 else 2000))
+        if rows:
+            spark.conf.set(BATCH_ROWS, str(min(int(before), rows) if int(before) > 0 else rows))
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(BATCH_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_states(*states: DataFrame | None) -> None:
+    """Delete the files of ``write_state`` tables that nothing will read any more."""
+    for state in states:
+        for folder in {f.rsplit("/", 1)[0] for f in state.inputFiles()} if state is not None else ():
+            path = state.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(state.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; a null counts as empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -58,14 +69,34 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0]: at[-1]], at - at[0]
 
 
-def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that ``column`` has about ``limit`` bytes in each; a longer value is alone."""
+#: What operators keep in a worker process from task to task: name -> how to forget it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers are reused, also by other operators' tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2 << 20,
+             owner: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that ``column`` has about ``limit`` bytes in each; a longer value is alone.
+
+    What operators other than ``owner`` keep in this worker is forgotten first, and memory is released at the end.
+    """
+    for name in KEPT.keys() - {owner}:
+        KEPT[name]()
     for batch in batches:
         at, lo = utf8(batch[column])[1], 0
         while lo < batch.num_rows:
             hi = max(lo + 1, int(np.searchsorted(at, at[lo] + limit, "right")) - 1)
             yield batch.slice(lo, hi - lo)
             lo = hi
+    release()
 
 
 def blobs(parts: list[bytes]) -> pa.Array:
@@ -80,6 +111,14 @@ def sub_bucket(*columns, buckets: int):
 FILTER_BITS = 1 << 23
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _sieved(df: DataFrame, column: str, keys: DataFrame, inside: bool) -> DataFrame:
     spark = df.sparkSession
     h = F.pmod(F.xxhash64(F.col(keys.columns[0])), F.lit(FILTER_BITS)) + 1
@@ -90,15 +129,17 @@ def _sieved(df: DataFrame, column: str, keys: DataFrame, inside: bool) -> DataFr
         whole[(n - 1) * 4096: n * 4096] = np.frombuffer(bits, np.uint8)
     sieve = spark.sparkContext.broadcast(whole.tobytes())
 
+    own = free_name(df, "place")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(sieve.value, np.uint8)
         for batch in batches:
-            null = np.array(batch["_h"].is_null())
-            at = batch["_h"].fill_null(0).to_numpy()
+            null = np.array(batch[own].is_null())
+            at = batch[own].fill_null(0).to_numpy()
             hit = (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool) & ~null
-            yield batch.drop_columns(["_h"]).filter(pa.array(hit == inside))
+            yield batch.drop_columns([own]).filter(pa.array(hit == inside))
 
-    hashed = df.withColumn("_h", F.when(F.col(column).isNotNull(), F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))))
+    hashed = df.withColumn(own, F.when(F.col(column).isNotNull(), F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))))
     return hashed.mapInArrow(run, df.schema)
 
 
@@ -204,3 +245,4 @@ def keyed_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterato
             held.append(batch.slice(lo, hi - lo))
     if held:
         yield now, pa.Table.from_batches(held)
+    release()

@@ -54,7 +54,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     pair of steps. An empty table gives an empty result.
     """
     now = write_state(edges.where("a <> b").select("a", "b").mapInArrow(_forest, "a long, b long").distinct(),
-                      "wordloom-edges")
+                      "wordloom-edges", None)
     while not _settled(now):
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -63,7 +63,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .union(least).mapInArrow(_forest, "a long, b long").distinct())
-        before, now = now, write_state(small, "wordloom-edges")
+        before, now = now, write_state(small, "wordloom-edges", None)
         drop_state(before)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

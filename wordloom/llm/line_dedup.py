@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import Sketch, blobs, by_bytes, maybe_in, utf8, write_state
+from wordloom.llm.common import Sketch, blobs, by_bytes, free_name, maybe_in, utf8, write_state
 from wordloom.llm.linkjoin import POSTINGS, PROFILE, link_components, parities, postings
 from wordloom.llm.textgrams import bands, char_shingles, distinct, sketches
 
@@ -179,20 +179,24 @@ def fuzzy_lines(docs: DataFrame, k: int = 8, num: int = 80, den: int = 100) -> D
                                                                same.alias("kept"))
 
 
-def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in by_bytes(batches):
-        out = []
-        for text, gone in zip(batch["text"].to_pylist(), batch["_gone"].to_pylist()):
-            if gone:
-                drop = set(gone)
-                text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop)
-            out.append(text)
-        i = batch.schema.get_field_index("text")
-        yield batch.set_column(i, batch.schema.field(i), pa.array(out, batch.schema.field(i).type)).drop_columns(["_gone"])
+def _without(column: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches):
+            out = []
+            for text, gone in zip(batch["text"].to_pylist(), batch[column].to_pylist()):
+                if gone:
+                    drop = set(gone)
+                    text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop)
+                out.append(text)
+            i = batch.schema.get_field_index("text")
+            yield batch.set_column(i, batch.schema.field(i), pa.array(out, batch.schema.field(i).type)).drop_columns([column])
+
+    return run
 
 
 def without_repeated_lines(docs: DataFrame, k: int = 8, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with every line gone that ``fuzzy_lines`` does not keep; all columns and rows stay."""
+    own = free_name(docs, "gone")
     gone = (fuzzy_lines(docs, k, num, den).where("not kept").groupBy("doc_id")
-            .agg(F.collect_set("line_no").alias("_gone")))
-    return docs.join(gone, "doc_id", "left").select(*docs.columns, "_gone").mapInArrow(_without, docs.schema)
+            .agg(F.collect_set("line_no").alias(own)))
+    return docs.join(gone, "doc_id", "left").select(*docs.columns, own).mapInArrow(_without(own), docs.schema)

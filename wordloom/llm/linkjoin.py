@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import by_bytes, write_state
+from wordloom.llm.common import by_bytes, drop_states, release, write_state
 from wordloom.llm.components import connected_components
 from wordloom.llm.textgrams import mix
 
@@ -87,6 +87,7 @@ def _hits(num: int, den: int):
             held = [x[at:] for x in columns]
         if held is not None:
             yield out(held)
+        release()
 
     return run
 
@@ -185,6 +186,7 @@ def _cells(num: int, den: int, each: bool):
             held = [x[at:] for x in columns]
         if held is not None:
             yield solve(held[:-1], held[-1])
+        release()
 
     return run
 
@@ -198,7 +200,7 @@ def _leftover(hits: DataFrame, labels: DataFrame) -> DataFrame | None:
               .withColumn("comp", F.coalesce("comp", "node")))
     mixed = (placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"))
              .where("lo <> hi and c > 2").select("token", "c"))
-    left = write_state(placed.join(mixed, "token").select("token", "node", "comp", "c"), "leftover")
+    left = write_state(placed.join(mixed, "token").select("token", "node", "comp", "c"), "leftover", None)
     return None if left.isEmpty() else left
 
 
@@ -228,7 +230,7 @@ def link_components(rows: DataFrame, payloads: Callable[[DataFrame], DataFrame],
     A pair is verified only if it shares at least the smaller of the two nodes' ``need`` tokens.
     """
     hits = write_state(rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "node")
-                       .mapInArrow(_hits(num, den), HITS), "hits")
+                       .mapInArrow(_hits(num, den), HITS), "hits", None)
     heads = hits.where("salt > 0 and node = pivot").select("token", "node", "n", "need")
     least = heads.groupBy("token").agg(F.min("node").alias("pivot"), F.min_by("n", "node").alias("m"),
                                        F.min_by("need", "node").alias("other"))
@@ -239,20 +241,29 @@ def link_components(rows: DataFrame, payloads: Callable[[DataFrame], DataFrame],
             .agg(F.count("*").alias("k"), F.min("ask").alias("ask")).where("k >= ask").select("a", "b"))
 
     def links(pairs: DataFrame, whole: DataFrame | None = None) -> DataFrame:
-        pairs = write_state(pairs, "pairs")
+        pairs = write_state(pairs, "pairs", None)
         if whole is None:
             whole = payloads(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-        return write_state(verified(pairs, whole, to_sets, num, den), "links")
+        found = write_state(verified(pairs, whole, to_sets, num, den), "links")
+        drop_states(pairs)
+        return found
 
-    labels = connected_components(links(star if bounds is None else bounded(star, bounds, num, den)))
+    first = links(star if bounds is None else bounded(star, bounds, num, den))
+    labels = connected_components(first)
+    drop_states(first)
     known = whole = None
     for each in (False, True):
         left = _leftover(hits, labels)
         if left is None:
             break
+        if each:
+            drop_states(hits)
         if known is None:  # round 3 has no node that round 2 has not
             known, whole = profiles(left.select("node").distinct())
         more = links(_candidates(left, known, num, den, each, block), whole)
+        drop_states(left)
         if not more.isEmpty():
             labels = connected_components(more.union(labels.select("node", "component")))
+        drop_states(more)
+    drop_states(known, whole)
     return labels

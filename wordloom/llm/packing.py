@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from wordloom.llm.common import by_bytes, sub_bucket, utf8, write_state
+from wordloom.llm.common import KEPT, by_bytes, sub_bucket, utf8, write_state
 from wordloom.llm.textgrams import word_spans
 
 BUCKETS = 1024
@@ -172,6 +172,9 @@ def _word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+KEPT["packing"] = _word_ids.cache_clear
+
+
 def cut(tokens: int, capacity: int, below: np.ndarray) -> list[int]:
     """Lengths of a document's pieces: whole sequences, then the largest reciprocal length that fits, again and again."""
     out = [capacity] * (tokens // capacity)
@@ -186,7 +189,7 @@ def _pieces(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, below = _word_ids(path), classes(capacity)
         cuts: dict[int, list[int]] = {}
-        for batch in by_bytes(batches):
+        for batch in by_bytes(batches, owner="packing"):
             ids, at = words.encode(*utf8(batch["text"]))
             rows: list[tuple] = []
             for i in range(batch.num_rows):
