@@ -291,7 +291,7 @@ def test_ward_linkage(spark):
     from wordloom.operators import linkage
     from wordloom.operators.ward import ward_linkage
     rng = np.random.default_rng(4)
-    x = rng.normal(size=(200, 5)) + 9 * rng.integers(0, 3, size=(200, 1))
+    x = rng.normal(size=(200, 3)) + 9 * rng.integers(0, 3, size=(200, 1))
     pts = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, vec array<double>").repartition(3)
     want = sorted(_ward_by_hand(x))
     merges = ward_linkage(pts)
