@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,21 +12,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm.common import Sketch, blobs, by_bytes, free_name, maybe_in, utf8, write_state
-from wordloom.llm.linkjoin import POSTINGS, PROFILE, link_components, parities, postings
+from wordloom.llm.linkjoin import PLAIN_POSTINGS, PROFILE, link_components, parities, postings
 from wordloom.llm.textgrams import bands, char_shingles, distinct, sketches
 
 #: 8 bands of 3 rows: a pair at Jaccard 0.8 shares a band with probability 0.997, at 0.85 with 0.9995.
 BANDS, ROWS = 8, 3
 GROUP = 1 << 18
+SEEN = 1 << 20  # digests that a task remembers
 
 
 def normal(line: str) -> str:
     return line.strip(" \t\r\v\f").lower()
 
 
-def _digest(line: str) -> tuple[int, int]:
-    raw = hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
+def _digest(line: str) -> bytes:
+    return hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
 def _groups(lines: list[str]) -> Iterator[list[str]]:
@@ -40,13 +41,13 @@ def _groups(lines: list[str]) -> Iterator[list[str]]:
 
 
 def _lines(k: int):
-    """Documents -> (doc_id, line_no, d1, d2, bands), bands at a line's first occurrence in the batch; and, per
-    task, its part of a sketch of the bands."""
+    """Documents -> (doc_id, line_no, d1, d2, bands), bands at a line's first occurrence in the task (or since the
+    task has forgotten the lines it has seen: results are the same); and, per task, its part of a sketch of the bands."""
     schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()),
                         ("bands", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = Sketch()
+        sketch, seen = Sketch(), set()
         for batch in by_bytes(batches):
             ids, numbers, texts, which = [], [], {}, []
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
@@ -56,19 +57,25 @@ def _lines(k: int):
                         numbers.append(i)
                         which.append(texts.setdefault(plain, len(texts)))
             unique = list(texts)
-            digests = np.array([_digest(x) for x in unique], np.int64).reshape(-1, 2)
-            keys = []
-            for group in _groups(unique):
+            raw = [_digest(x) for x in unique]
+            digests = np.frombuffer(b"".join(raw), "<i8").reshape(-1, 2)
+            new, keys = [i for i, d in enumerate(raw) if d not in seen], [None] * len(which)
+            seen.update(raw)
+            if len(seen) > SEEN:
+                seen.clear()
+            which, at = np.array(which, np.int64), 0
+            first = np.unique(which, return_index=True)[1]
+            for group in _groups([unique[i] for i in new]):
                 found = bands(sketches(*char_shingles(group, k), BANDS * ROWS), ROWS)
                 sketch.add(found.reshape(-1))
-                keys += [row.tobytes() for row in found]
-            which, first = np.array(which, np.int64), np.zeros(len(which), bool)
-            first[np.unique(which, return_index=True)[1]] = True
+                for row in found:
+                    keys[first[new[at]]] = row.tobytes()
+                    at += 1
             m = len(which)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(digests[which, 0]),
                  pa.array(digests[which, 1]),
-                 pa.array([keys[w] if f else None for w, f in zip(which, first)], pa.binary()),
+                 pa.array(keys, pa.binary()),
                  pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=schema)
         if parts := sketch.slices():
             m = len(parts)
@@ -83,9 +90,7 @@ def _postings(sketch_var):
         sketch = Sketch.of(sketch_var.value)
         for batch in batches:
             data, _ = utf8(batch["bands"])
-            node = np.repeat(batch["line_id"].to_numpy(), BANDS)
-            one = np.ones(len(node), np.int64)  # sizes are left to the verification, and one shared band is enough
-            yield postings(np.frombuffer(data.tobytes(), np.uint64), node, one, one, sketch)
+            yield postings(np.frombuffer(data.tobytes(), np.uint64), np.repeat(batch["line_id"].to_numpy(), BANDS), sketch)
 
     return run
 
@@ -98,7 +103,7 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lines = (text or "").split("\n")
             for w in wanted:
                 plain = normal(lines[w["line_no"]]) if w["line_no"] < len(lines) else ""
-                if plain and _digest(plain) == (w["d1"], w["d2"]):
+                if plain and _digest(plain) == struct.pack("<qq", w["d1"], w["d2"]):
                     nodes.append(w["line_id"])
                     payloads.append(plain.encode("utf-8", "surrogatepass"))
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), blobs(payloads)], ["node", "payload"])
@@ -167,7 +172,7 @@ def fuzzy_lines(docs: DataFrame, k: int = 8, num: int = 80, den: int = 100) -> D
         return write_state(whole.mapInArrow(_profiles(k), PROFILE), "profiles"), whole
 
     linked = link_components(
-        unique.select("line_id", "bands").mapInArrow(_postings(sketch), POSTINGS), payloads,
+        unique.select("line_id", "bands").mapInArrow(_postings(sketch), PLAIN_POSTINGS), payloads,
         profiles, _shingle_sets(k), num, den).withColumnRenamed("node", "line_id")
     member = unique.select("line_id", "doc_id", "line_no").join(linked, "line_id")
     heads = member.groupBy("component").agg(F.min(F.struct("doc_id", "line_no")).alias("head"))

@@ -2,18 +2,20 @@
 
 Input: postings (token, salt, node, n, need): two linked nodes always share a token
 (for an exact join) or very likely do (for a sketch). A token that a sketch
-counts often is salted, so no group grows beyond a bound. The work is three
+counts often is salted, so no group grows beyond a bound. The work is done in
 rounds, each verified on the whole sets:
 
 1. every group's smallest node against its other nodes, and a salted token's
    smallest against those of its groups (linear in the postings);
 2. tokens whose nodes still lie in several components: their nodes are dealt
-   out in block pairs of bounded size, parity sketches (which bound the
-   symmetric difference from below) rule pairs out, and one pair per pair of
-   components goes on;
-3. the same once more, with every pair left between components.
-
-After round 3 every pair that shares a token has been verified, ruled out by an
+   out in cells of bounded size, parity sketches (which bound the symmetric
+   difference from below) rule pairs out, and a forest over the cell's
+   components of what is left goes on (linear in the nodes; dealt anew in every
+   such round, as long as at least a quarter of the pairs turn out to be links);
+3. every pair left between components, in pairs of blocks; blocks of a token's
+   largest component meet only the blocks of its other nodes.
+
+After the last round every pair that shares a token has been verified, ruled out by an
 exact bound, or lies inside one component.
 """
 
@@ -34,6 +36,7 @@ BITS = 1024
 SALTED = 1024  # rows of a token beyond which it is salted
 PROFILE = "node long, n long, need int, prefix binary, parity binary"
 POSTINGS = "token long, salt int, node long, n long, need int"
+PLAIN_POSTINGS = "token long, salt int, node long"  # any sizes may link, and one shared token is enough
 HITS = "token long, salt int, node long, n long, need int, pivot long, ask int"
 
 
@@ -43,13 +46,16 @@ def parities(items: np.ndarray) -> bytes:
     return np.packbits(np.bincount((items & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).tobytes()
 
 
-def postings(tokens: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, needs: np.ndarray, sketch) -> pa.RecordBatch:
-    """A batch of POSTINGS; salt 0 for a token that ``sketch`` counts at most SALTED times, 1 .. else."""
+def postings(tokens: np.ndarray, nodes: np.ndarray, sketch, sizes: np.ndarray | None = None,
+             needs: np.ndarray | None = None) -> pa.RecordBatch:
+    """A batch of POSTINGS, or of PLAIN_POSTINGS without sizes; salt 0 for a token that ``sketch`` counts at most SALTED times, 1 .. else."""
     often = -(-np.maximum(sketch.counted(tokens) - sketch.usual, 1) // SALTED)
     salt = np.where(often > 1, 1 + (mix(nodes.astype(np.int64).view(np.uint64)) % often.astype(np.uint64)).astype(np.int64), 0)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(tokens.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(nodes.astype(np.int64)),
-         pa.array(sizes.astype(np.int64)), pa.array(needs.astype(np.int32))], ["token", "salt", "node", "n", "need"])
+    columns = {"token": pa.array(tokens.view(np.int64)), "salt": pa.array(salt.astype(np.int32)),
+               "node": pa.array(nodes.astype(np.int64))}
+    if sizes is not None:
+        columns |= {"n": pa.array(sizes.astype(np.int64)), "need": pa.array(needs.astype(np.int32))}
+    return pa.RecordBatch.from_pydict(columns)
 
 
 def _hits(num: int, den: int):
@@ -76,7 +82,9 @@ def _hits(num: int, den: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch[c].to_numpy() for c in names]
+            columns = [batch[c].to_numpy() for c in batch.schema.names]
+            if len(columns) < len(names):
+                columns += [np.ones(batch.num_rows, np.int64), np.ones(batch.num_rows, np.int32)]
             if held is not None:
                 columns = [np.concatenate(x) for x in zip(held, columns)]
             token, salt = columns[:2]
@@ -140,9 +148,27 @@ def verified(pairs: DataFrame, payloads: DataFrame, to_sets: Callable[[list[byte
     return sides.select("a", "b", "left", "right").mapInArrow(check, "a long, b long")
 
 
+def _hooked(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[np.ndarray]:
+    """Positions in (i, j) of a forest over the classes of ``label``, which are merged in place.
+
+    ``label`` points every row to the first of its class.
+    """
+    chosen, at = [], np.arange(len(i))
+    while True:
+        one, two = label[i[at]], label[j[at]]
+        at, one, two = (x[one != two] for x in (at, one, two))
+        if not len(at):
+            return chosen
+        high, first = np.unique(np.maximum(one, two), return_index=True)  # each hangs on a smaller one: no cycles
+        label[high] = np.minimum(one, two)[first]
+        chosen.append(at[first])
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
 def _cells(num: int, den: int, each: bool):
-    """Rows sorted by (token, p, q) -> pairs between components that sizes and parities allow; one per pair of
-    components in a batch unless ``each``."""
+    """Rows sorted by (token, p, q) -> pairs between components that sizes and parities allow: all of them if
+    ``each``, else a forest over the components of each cell, at most as many as rows."""
     names = ["token", "p", "q", "block", "node", "comp", "n"]
 
     def solve(columns: list[np.ndarray], parity: np.ndarray) -> pa.RecordBatch:
@@ -150,24 +176,25 @@ def _cells(num: int, den: int, each: bool):
         new = np.concatenate([[True], (token[1:] != token[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])])
         ends = np.append(np.flatnonzero(new), len(token))
         left = np.repeat(ends[1:], np.diff(ends)) - np.arange(len(token)) - 1  # rows of the cell after this one
-        first, second = [], []
+        _, first, place = np.unique(np.stack([np.cumsum(new), comp], axis=1), axis=0, return_index=True,
+                                    return_inverse=True)
+        label = first[place.reshape(-1)]  # the first row of the same cell and component
+        one, two = [], []
         for apart in range(1, int(left.max(initial=0)) + 1):
             i = np.flatnonzero(left >= apart)
             j = i + apart
-            fits = (comp[i] != comp[j]) & ((p[i] == q[i]) | (block[i] != block[j]))
+            fits = (label[i] != label[j]) & ((p[i] == q[i]) | (block[i] != block[j]))
             i, j = i[fits], j[fits]
             fits = den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])
             i, j = i[fits], j[fits]
             # |A ^ B| <= (den - num) / (den + num) * (|A| + |B|) holds for every link
             odd = np.bitwise_count(parity[i] ^ parity[j]).sum(axis=1, dtype=np.int64)
             fits = (den + num) * odd <= (den - num) * (n[i] + n[j])
-            first.append(i[fits])
-            second.append(j[fits])
-        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (first, second))
-        keys = (node if each else comp)
-        pairs = np.stack([np.minimum(keys[i], keys[j]), np.maximum(keys[i], keys[j])], axis=1)
-        at = np.unique(pairs, axis=0, return_index=True)[1] if len(pairs) else i
-        a, b = node[i[at]], node[j[at]]
+            i, j = i[fits], j[fits]
+            for at in ([slice(None)] if each else _hooked(label, i, j)):
+                one.append(node[i[at]])
+                two.append(node[j[at]])
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (one, two))
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,15 +231,35 @@ def _leftover(hits: DataFrame, labels: DataFrame) -> DataFrame | None:
     return None if left.isEmpty() else left
 
 
-def _candidates(left: DataFrame, known: DataFrame, num: int, den: int, each: bool, block: int) -> DataFrame:
-    """Pairs (a, b) between components that share a token and pass the bounds of the profiles ``known``."""
-    cells = (left.withColumn("many", F.ceil(F.col("c") / F.lit(block)))
-             .withColumn("block", F.pmod(F.xxhash64("node"), F.col("many")))
-             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)))
-             .select("token", "node", "comp", "block", F.least("block", "other").alias("p"),
-                     F.greatest("block", "other").alias("q")))
+def _dealt(left: DataFrame, step: int, block: int) -> DataFrame:
+    """``left`` in cells of about ``block`` nodes of a token, other ones for every ``step``; a row stays one row."""
+    cell = F.pmod(F.xxhash64("node", F.lit(step)), F.ceil(F.col("c") / F.lit(block)))
+    return left.select("token", "node", "comp", cell.alias("p"), cell.alias("q"), cell.alias("block"))
+
+
+def _block_pairs(left: DataFrame, block: int) -> DataFrame:
+    """``left`` in cells of two blocks, such that any two nodes of a token and of different components meet.
+
+    A token's largest component has blocks of its own, which meet only those of the token's other nodes.
+    """
+    main = (left.groupBy("token", "comp").agg(F.count("*").alias("m")).groupBy("token")
+            .agg(F.max("m").alias("m"), F.max_by("comp", "m").alias("main")))
+    blocks = (left.join(main, "token").withColumn("inside", F.col("comp") == F.col("main"))
+              .withColumn("k", F.ceil(F.col("m") / F.lit(block)))
+              .withColumn("others", F.ceil((F.col("c") - F.col("m")) / F.lit(block)))
+              .withColumn("hash", F.xxhash64("node"))
+              .withColumn("block", F.when(F.col("inside"), F.pmod("hash", "k"))
+                          .otherwise(F.col("k") + F.pmod("hash", "others")))
+              .withColumn("other", F.explode(F.sequence(F.when(F.col("inside"), F.col("k")).otherwise(F.lit(0).cast("long")),
+                                                        F.col("k") + F.col("others") - 1))))
+    return blocks.select("token", "node", "comp", F.least("block", "other").alias("p"),
+                         F.greatest("block", "other").alias("q"), "block")
+
+
+def _candidates(cells: DataFrame, known: DataFrame, num: int, den: int, each: bool) -> DataFrame:
+    """Pairs (a, b) between components that share a cell and pass the bounds of the profiles ``known``."""
     rows = (cells.join(known.select("node", "n", "parity"), "node").repartition("token", "p", "q")
-            .sortWithinPartitions("token", "p", "q")
+            .sortWithinPartitions("token", "p", "q", "node")
             .select("token", "p", "q", "block", "node", "comp", "n", "parity"))
     pairs = rows.mapInArrow(_cells(num, den, each), "a long, b long").distinct()
     return bounded(pairs, known, num, den)
@@ -224,7 +271,7 @@ def link_components(rows: DataFrame, payloads: Callable[[DataFrame], DataFrame],
                     bounds: DataFrame | None = None, block: int = 512) -> DataFrame:
     """(node, component) for every node with a verified link; the component is its smallest node.
 
-    ``rows`` are POSTINGS. ``payloads(nodes)`` gives (node, payload) for the
+    ``rows`` are POSTINGS or PLAIN_POSTINGS. ``payloads(nodes)`` gives (node, payload) for the
     nodes of a table (node), ``profiles(nodes)`` the columns of PROFILE and, if it has
     them at hand, the payloads; ``bounds`` may give the profiles of all nodes, to rule out pairs of round 1.
     A pair is verified only if it shares at least the smaller of the two nodes' ``need`` tokens.
@@ -240,30 +287,33 @@ def link_components(rows: DataFrame, payloads: Callable[[DataFrame], DataFrame],
             .groupBy(F.col("pivot").alias("a"), F.col("node").alias("b"))
             .agg(F.count("*").alias("k"), F.min("ask").alias("ask")).where("k >= ask").select("a", "b"))
 
-    def links(pairs: DataFrame, whole: DataFrame | None = None) -> DataFrame:
+    def links(pairs: DataFrame, whole: DataFrame | None = None) -> tuple[DataFrame, int]:
         pairs = write_state(pairs, "pairs", None)
         if whole is None:
             whole = payloads(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-        found = write_state(verified(pairs, whole, to_sets, num, den), "links")
+        found, tried = write_state(verified(pairs, whole, to_sets, num, den), "links"), pairs.count()
         drop_states(pairs)
-        return found
+        return found, tried
 
-    first = links(star if bounds is None else bounded(star, bounds, num, den))
+    first, _ = links(star if bounds is None else bounded(star, bounds, num, den))
     labels = connected_components(first)
     drop_states(first)
     known = whole = None
-    for each in (False, True):
-        left = _leftover(hits, labels)
-        if left is None:
-            break
+    each, step = False, 0
+    while (left := _leftover(hits, labels)) is not None:
         if each:
             drop_states(hits)
-        if known is None:  # round 3 has no node that round 2 has not
+        if known is None:  # later rounds have no nodes that this one has not
             known, whole = profiles(left.select("node").distinct())
-        more = links(_candidates(left, known, num, den, each, block), whole)
+        cells = _block_pairs(left, block) if each else _dealt(left, step, block)
+        more, tried = links(_candidates(cells, known, num, den, each), whole)
+        found = more.count()
         drop_states(left)
-        if not more.isEmpty():
+        if found:
             labels = connected_components(more.union(labels.select("node", "component")))
         drop_states(more)
-    drop_states(known, whole)
+        if each:
+            break
+        each, step = 4 * found < tried or not tried, step + 1
+    drop_states(hits, known, whole)
     return labels

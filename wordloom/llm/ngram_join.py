@@ -113,8 +113,8 @@ def _postings(sketch_var):
         for batch in batches:
             data, offsets = utf8(batch["prefix"])
             sizes = np.diff(offsets) // 8
-            yield postings(np.frombuffer(data.tobytes(), np.uint64), *(np.repeat(batch[c].to_numpy(), sizes)
-                                                                       for c in ("node", "n", "need")), sketch)
+            node, n, need = (np.repeat(batch[c].to_numpy(), sizes) for c in ("node", "n", "need"))
+            yield postings(np.frombuffer(data.tobytes(), np.uint64), node, sketch, n, need)
 
     return run
 
