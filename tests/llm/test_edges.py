@@ -259,7 +259,7 @@ def test_packing_tells_added_tokens_by_case():
             assert ids[at[i]:at[i + 1]].tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
-def vectors(spark, rows):
+def labelled_vectors(spark, rows):
     return spark.createDataFrame([(*r, "a", 1, 2.0) for r in rows],
                                  "vec_id long, embedding array<double>, label int, codes string, dim int, rb double")
 
@@ -271,12 +271,12 @@ def test_hard_negatives(spark):
             (4, [0.8, 1.0], 4), (5, None, 3), (6, [1.0, 0.0], None), (8, [nan, 1.0], 3), (9, [1.0, inf], 3), (10, [None, 1.0], 3),
             (11, [], 3), (None, [1.0, 0.0], 3), (12, [1.0, 0.0, 0.0], 3), (13, [0.0, 0.0], 3), (14, [1e300, -1e300], 9)]
     # anchor 0 has label 3 (0 is divisible by 7); 14 has label 0 and components held at 2**30 and below
-    got = sorted(map(tuple, hard_negatives(vectors(spark, rows)).collect()))
+    got = sorted(map(tuple, hard_negatives(labelled_vectors(spark, rows)).collect()))
     one, near, far = 256 * 256, 256 * 230, 256 * 204
     assert got == [(0, 1, 1, 3, one, near), (0, 2, 1, 3, near, near), (0, 2, 2, 4, near, far)]
-    assert hard_negatives(vectors(spark, rows).limit(0)).count() == 0
+    assert hard_negatives(labelled_vectors(spark, rows).limit(0)).count() == 0
     ties = [(0, [1.0, 1.0], 2)] + [(i, [1.0, 1.0], 3 if i % 2 else 5) for i in range(1, 60) if i % 7]
-    got = hard_negatives(vectors(spark, ties)).collect()
+    got = hard_negatives(labelled_vectors(spark, ties)).collect()
     assert {r["positive_id"] for r in got} == {1, 3, 5, 9, 11} and len(got) == 25
     assert {r["negative_id"] for r in got} == {2, 4, 6, 8, 10}
 
@@ -289,10 +289,10 @@ def test_hard_negatives_cells(spark, monkeypatch):
     random = np.random.RandomState(3)
     x = random.standard_normal((300, 70)) + 2 * random.standard_normal((10, 70))[np.arange(300) % 10]
     rows = [(i, v.tolist(), i % 10) for i, v in enumerate(x)]
-    whole = Counter(map(tuple, H.hard_negatives(vectors(spark, rows), every=20).collect()))
+    whole = Counter(map(tuple, H.hard_negatives(labelled_vectors(spark, rows), every=20).collect()))
     for name, size in (("BLOCK", 32), ("ANCHORS", 4)):
         monkeypatch.setattr(H, name, size)
-    assert Counter(map(tuple, H.hard_negatives(vectors(spark, rows).repartition(5), every=20).collect())) == whole
+    assert Counter(map(tuple, H.hard_negatives(labelled_vectors(spark, rows).repartition(5), every=20).collect())) == whole
     v = np.floor(256 * x).astype(np.int64)
     label = np.array([(i % 10 + 1) % 10 if i % 7 == 0 else i % 10 for i in range(300)])
     want = Counter()

@@ -173,7 +173,7 @@ def fuzzy_lines(docs: DataFrame, k: int = 8, num: int = 80, den: int = 100) -> D
 
     linked = link_components(
         unique.select("line_id", "bands").mapInArrow(_postings(sketch), PLAIN_POSTINGS), payloads,
-        profiles, _shingle_sets(k), num, den).withColumnRenamed("node", "line_id")
+        profiles, _shingle_sets(k), num, den, again=False).withColumnRenamed("node", "line_id")
     member = unique.select("line_id", "doc_id", "line_no").join(linked, "line_id")
     heads = member.groupBy("component").agg(F.min(F.struct("doc_id", "line_no")).alias("head"))
     kept = (unique.drop("bands").join(member.join(heads, "component").select("line_id", "head"), "line_id", "left")

@@ -268,12 +268,13 @@ def _candidates(cells: DataFrame, known: DataFrame, num: int, den: int, each: bo
 def link_components(rows: DataFrame, payloads: Callable[[DataFrame], DataFrame],
                     profiles: Callable[[DataFrame], tuple[DataFrame, DataFrame | None]],
                     to_sets: Callable[[list[bytes]], list[np.ndarray]], num: int, den: int,
-                    bounds: DataFrame | None = None, block: int = 512) -> DataFrame:
+                    bounds: DataFrame | None = None, block: int = 512, again: bool = True) -> DataFrame:
     """(node, component) for every node with a verified link; the component is its smallest node.
 
     ``rows`` are POSTINGS or PLAIN_POSTINGS. ``payloads(nodes)`` gives (node, payload) for the
     nodes of a table (node), ``profiles(nodes)`` the columns of PROFILE and, if it has
     them at hand, the payloads; ``bounds`` may give the profiles of all nodes, to rule out pairs of round 1.
+    Without ``again`` one round of forests is all; the last round gives the same components, from more pairs.
     A pair is verified only if it shares at least the smaller of the two nodes' ``need`` tokens.
     """
     hits = write_state(rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "node")
@@ -314,6 +315,6 @@ def link_components(rows: DataFrame, payloads: Callable[[DataFrame], DataFrame],
         drop_states(more)
         if each:
             break
-        each, step = 4 * found < tried or not tried, step + 1
+        each, step = not again or 4 * found < tried or not tried, step + 1
     drop_states(hits, known, whole)
     return labels
