@@ -274,7 +274,7 @@ def link_components(rows: DataFrame, payloads: Callable[[DataFrame], DataFrame],
     ``rows`` are POSTINGS or PLAIN_POSTINGS. ``payloads(nodes)`` gives (node, payload) for the
     nodes of a table (node), ``profiles(nodes)`` the columns of PROFILE and, if it has
     them at hand, the payloads; ``bounds`` may give the profiles of all nodes, to rule out pairs of round 1.
-    Without ``again`` one round of forests is all; the last round gives the same components, from more pairs.
+    Without ``again`` there is one round of forests, over pairs of blocks; the components are the same.
     A pair is verified only if it shares at least the smaller of the two nodes' ``need`` tokens.
     """
     hits = write_state(rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "node")
@@ -306,7 +306,7 @@ def link_components(rows: DataFrame, payloads: Callable[[DataFrame], DataFrame],
             drop_states(hits)
         if known is None:  # later rounds have no nodes that this one has not
             known, whole = profiles(left.select("node").distinct())
-        cells = _block_pairs(left, block) if each else _dealt(left, step, block)
+        cells = _dealt(left, step, block) if again and not each else _block_pairs(left, block)
         more, tried = links(_candidates(cells, known, num, den, each), whole)
         found = more.count()
         drop_states(left)
