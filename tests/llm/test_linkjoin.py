@@ -50,7 +50,7 @@ def test_components_equal_brute_force(spark, seed, needs):
     postings = spark.createDataFrame(rows, linkjoin.POSTINGS)
     got = linkjoin.link_components(
         postings if needs else postings.select("token", "salt", "node"), lambda nodes: whole.join(nodes, "node", "left_semi"),
-        lambda nodes: (profile, None), lambda raw: [np.frombuffer(x, np.uint64) for x in raw], NUM, DEN, block=4)
+        lambda nodes: (profile, None), lambda raw: [np.frombuffer(x, np.uint64) for x in raw], NUM, DEN, block=4, again=needs)
     got = {r["node"]: r["component"] for r in got.collect()}
     truth = components(sets)
     assert 3 < len(set(truth.values())) < len(sets)
