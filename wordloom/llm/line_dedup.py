@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import Sketch, blobs, by_bytes, free_name, maybe_in, utf8, write_state
+from wordloom.llm.common import Sketch, blobs, by_bytes, drop_states, free_name, maybe_in, utf8, write_state
 from wordloom.llm.linkjoin import PLAIN_POSTINGS, PROFILE, link_components, parities, postings
 from wordloom.llm.textgrams import bands, char_shingles, distinct, sketches
 
@@ -63,14 +63,15 @@ def _lines(k: int):
             seen.update(raw)
             if len(seen) > SEEN:
                 seen.clear()
-            which, at = np.array(which, np.int64), 0
+            which = np.array(which, np.int64)
             first = np.unique(which, return_index=True)[1]
-            for group in _groups([unique[i] for i in new]):
-                found = bands(sketches(*char_shingles(group, k), BANDS * ROWS), ROWS)
+            found = [bands(sketches(*char_shingles(group, k), BANDS * ROWS), ROWS)
+                     for group in _groups([unique[i] for i in new])]
+            if found:
+                found = np.concatenate(found)
                 sketch.add(found.reshape(-1))
-                for row in found:
-                    keys[first[new[at]]] = row.tobytes()
-                    at += 1
+                for i, row in zip(new, found):
+                    keys[first[i]] = row.tobytes()
             m = len(which)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(digests[which, 0]),
@@ -159,24 +160,31 @@ def fuzzy_lines(docs: DataFrame, k: int = 8, num: int = 80, den: int = 100) -> D
         .select("d1", "d2", "first.doc_id", "first.line_no", "bands",
                 F.monotonically_increasing_id().alias("line_id")), "unique-lines")
 
+    fetched = []  # the first round's nodes hold all that come later: a node in a group of two is in one of its pairs
+
     def payloads(nodes):
         wanted = write_state(
             unique.join(nodes.withColumnRenamed("node", "line_id"), "line_id", "left_semi")
             .groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "line_id", "d1", "d2")).alias("wanted")),
             "wanted")
-        return (maybe_in(texts, "doc_id", wanted.select("doc_id")).join(wanted, "doc_id").select("text", "wanted")
-                .mapInArrow(_fetch, "node long, payload binary").dropDuplicates(["node"]))
+        fetched.append(write_state(
+            maybe_in(texts, "doc_id", wanted.select("doc_id")).join(wanted, "doc_id").select("text", "wanted")
+            .mapInArrow(_fetch, "node long, payload binary").dropDuplicates(["node"]), "payloads"))
+        drop_states(wanted)
+        return fetched[-1]
 
     def profiles(nodes):
-        whole = write_state(payloads(nodes), "payloads")
-        return write_state(whole.mapInArrow(_profiles(k), PROFILE), "profiles"), whole
+        needed = fetched[0].join(nodes, "node", "left_semi").mapInArrow(_profiles(k), PROFILE)
+        return write_state(needed, "profiles"), fetched[0]
 
     linked = link_components(
         unique.select("line_id", "bands").mapInArrow(_postings(sketch), PLAIN_POSTINGS), payloads,
         profiles, _shingle_sets(k), num, den, again=False).withColumnRenamed("node", "line_id")
-    member = unique.select("line_id", "doc_id", "line_no").join(linked, "line_id")
+    drop_states(*fetched)
+    member = unique.drop("bands").join(linked, "line_id")
     heads = member.groupBy("component").agg(F.min(F.struct("doc_id", "line_no")).alias("head"))
-    kept = (unique.drop("bands").join(member.join(heads, "component").select("line_id", "head"), "line_id", "left")
+    kept = (unique.select("d1", "d2", "doc_id", "line_no")
+            .join(member.join(heads, "component").select("d1", "d2", "head"), ["d1", "d2"], "left")
             .select("d1", "d2", F.coalesce("head.doc_id", "doc_id").alias("first_doc_id"),
                     F.coalesce("head.line_no", "line_no").alias("first_line_no")))
     same = (F.col("doc_id") == F.col("first_doc_id")) & (F.col("line_no") == F.col("first_line_no"))
