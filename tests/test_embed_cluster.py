@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from conftest import tiny_docs
@@ -326,3 +327,43 @@ def test_paragraph_vectors(spark):
     assert all((pv[i] == pv[0]).all() for i in range(10)) and all((pv[i] == pv[10]).all() for i in range(10, 20))
     assert cos(pv[0], pv[1]) > 0.999 and cos(pv[0], pv[15]) < 0.5
 
+
+
+def test_components_of_a_long_chain(spark):
+    """A path of 3,000 nodes in shuffled order, with the ids that label propagation needs many rounds for."""
+    from wordloom.operators import linkage
+    order = np.random.default_rng(2).permutation(3000)
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in zip(order, order[1:]) if a != 17 and b != 17],
+                                  "a long, b long").repartition(8)
+    got = {r["doc_id"]: r["component"] for r in
+           linkage.connected_components(spark.range(3000).withColumnRenamed("id", "doc_id"), edges).collect()}
+    at = int(np.flatnonzero(order == 17)[0])
+    want = {17: 17} | {int(x): int(part.min()) for part in (order[:at], order[at + 1:]) for x in part}
+    assert got == want
+
+
+def test_blocked_means_equal_plain_ones(spark):
+    """A word's vector is sent once a block; the means are those of one row per document and word."""
+    rng = np.random.default_rng(4)
+    cells = [(d, f"w{t}", int(rng.integers(1, 5))) for d in [None, *range(40)] for t in rng.choice(30, 6, replace=False)]
+    counts = spark.createDataFrame(cells, "doc_id long, term string, n long")
+    wv = spark.createDataFrame([(f"w{t}", [float(x) for x in rng.normal(size=12)]) for t in range(25)], "term string, vec array<double>")
+    rows = counts.select("doc_id", "term", F.col("n").alias("x"), "n")
+    want = vecs(E.mean_vectors(counts, wv))
+    for size in (1000, 7):
+        got = vecs(E.blocked_mean_vectors(rows, wv, size))
+        assert got.keys() == want.keys() and all(np.allclose(got[d], want[d], atol=1e-12) for d in want)
+    blocks = E.word_blocks(rows, wv, 1000)
+    assert blocks.count() == counts.join(wv, "term").select("term").distinct().count()
+
+
+def test_pairs_travel_once(spark):
+    """Unordered pairs are counted once, also over several batches; mirrored they are all ordered pairs."""
+    from collections import Counter
+    sents = [["a", "b", "a", "c"], ["c", "b"], ["d"], ["b", "b", "a"]]
+    tokens = spark.createDataFrame([(i, 0, j, w) for i, s in enumerate(sents) for j, w in enumerate(s)],
+                                   "doc_id long, sid int, wid int, term string")
+    want = Counter((x, y) for s in sents for i, x in enumerate(s) for j, y in enumerate(s) if i != j and abs(i - j) <= 2)
+    pairs = E.pair_counts(tokens, 2)
+    assert pairs.where("term > ctx").isEmpty()
+    assert {(r["term"], r["ctx"]): r["n"] for r in E.mirrored(pairs).collect()} == want
