@@ -367,3 +367,11 @@ def test_pairs_travel_once(spark):
     pairs = E.pair_counts(tokens, 2)
     assert pairs.where("term > ctx").isEmpty()
     assert {(r["term"], r["ctx"]): r["n"] for r in E.mirrored(pairs).collect()} == want
+
+
+def test_short_vectors_are_summed_as_numbers(spark):
+    counts = spark.createDataFrame([(1, "a", 2), (1, "b", 1), (2, "a", 3), (3, "z", 1)], "doc_id long, term string, n long")
+    wv = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [4.0, -1.0])], "term string, vec array<double>")
+    got = E.mean_vectors(counts, wv, dim=2)
+    assert "ObjectHashAggregate" not in got._jdf.queryExecution().toString()
+    assert vecs(got) == vecs(E.mean_vectors(counts, wv)) == {1: [2.0, 1.0], 2: [1.0, 2.0]}
