@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import tiny_docs
 from wordloom.functions import text as T
+from wordloom.functions import vectors as V
 from wordloom.operators import cluster as C
 from wordloom.operators import embed as E
 from wordloom.operators import sequence as S
@@ -375,3 +376,11 @@ def test_short_vectors_are_summed_as_numbers(spark):
     got = E.mean_vectors(counts, wv, dim=2)
     assert "ObjectHashAggregate" not in got._jdf.queryExecution().toString()
     assert vecs(got) == vecs(E.mean_vectors(counts, wv)) == {1: [2.0, 1.0], 2: [1.0, 2.0]}
+
+
+def test_a_norm_is_summed_once_a_vector(spark):
+    """Not once an element, which makes the square of the length of it."""
+    df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, [0.0, None]), (5, [])], "doc_id long, vec array<double>")
+    out = df.select("doc_id", V.l2_normalize("vec").alias("vec"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+    assert vecs(out) == {1: [0.6, 0.8], 2: [0.0, 0.0], 3: None, 4: [0.0, None], 5: []}
