@@ -384,3 +384,22 @@ def test_a_norm_is_summed_once_a_vector(spark):
     out = df.select("doc_id", V.l2_normalize("vec").alias("vec"))
     assert out._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
     assert vecs(out) == {1: [0.6, 0.8], 2: [0.0, 0.0], 3: None, 4: [0.0, None], 5: []}
+
+
+def test_subsampling_sends_no_token(spark):
+    """Only words above some 2.6 thresholds can lose tokens; the draws are those of a join with every word's count."""
+    rows = [(d, p, w) for d in range(40) for p, w in enumerate(["the"] * 12 + ["of"] * 3 + [f"w{d}", f"x{d % 7}", None])]
+    tokens = spark.createDataFrame(rows, "doc_id long, pos int, term string")
+    got = S.subsample(tokens, 0.05, 3)
+    n, f = tokens.count(), F.col("cf") / tokens.count()
+    want = tokens.join(tokens.groupBy("term").agg(F.count(F.lit(1)).alias("cf")), "term").withColumn(
+        "keep", S.uniform_from_md5(F.col("doc_id"), F.col("pos"), F.lit(3)) < (F.sqrt(f / 0.05) + 1) * 0.05 / f)
+    as_set = lambda df: sorted(tuple(r) for r in df.select("doc_id", "pos", "term", "keep").collect())
+    assert as_set(got) == as_set(want) and n == len(rows)
+    assert 0 < got.where("not keep").count() < got.where("keep").count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if every word's count were a large table
+    try:
+        plan = S.subsample(tokens, 0.05, 3).where("keep")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
