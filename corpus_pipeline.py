@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from wordloom.llm.common import maybe_in, read, without, write_state
 from wordloom.llm.line_dedup import without_repeated_lines
 from wordloom.llm.mixing import mixed_rows
-from wordloom.llm.ngram_join import ngram_jaccard_components
+from wordloom.llm.ngram_join import written_components
 from wordloom.llm.packing import pack
 from wordloom.llm.quality import quality_scores
 
@@ -40,7 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     A row that repeats a doc_id and its text goes as well; rows with a null doc_id stay.
     """
-    groups = ngram_jaccard_components(docs, n=5, num=80, den=100)
+    groups = written_components(docs, n=5, num=80, den=100)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     again = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
     one = maybe_in(docs, "doc_id", again).join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.session import ensure_checkpoint_dir
+from wordloom.session import ensure_checkpoint_dir, shuffles_removed
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +37,8 @@ def write_state(df: DataFrame, name: str, rows: int | None = 2000) -> DataFrame:
     try:
         if rows:
             spark.conf.set(BATCH_ROWS, str(min(int(before), rows) if int(before) > 0 else rows))
-        df.write.option("compression", "zstd").parquet(path)
+        with shuffles_removed(spark):
+            df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(BATCH_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -149,6 +149,11 @@ def fuzzy_lines(docs: DataFrame, k: int = 8, num: int = 80, den: int = 100) -> D
     stays), nor do rows with a null doc_id (they stay whole). Rows that repeat a
     doc_id and a line number are the same line: all copies of a kept line stay. An empty table gives no rows.
     """
+    return _fuzzy_lines(docs, k, num, den)[0]
+
+
+def _fuzzy_lines(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``fuzzy_lines``, and the tables of the shared folder that it reads."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     run, schema = _lines(k)
     read = write_state(texts.mapInArrow(run, schema), "lines")
@@ -188,8 +193,8 @@ def fuzzy_lines(docs: DataFrame, k: int = 8, num: int = 80, den: int = 100) -> D
             .select("d1", "d2", F.coalesce("head.doc_id", "doc_id").alias("first_doc_id"),
                     F.coalesce("head.line_no", "line_no").alias("first_line_no")))
     same = (F.col("doc_id") == F.col("first_doc_id")) & (F.col("line_no") == F.col("first_line_no"))
-    return lines.drop("bands").join(kept, ["d1", "d2"]).select("doc_id", "line_no", "first_doc_id", "first_line_no",
-                                                               same.alias("kept"))
+    return (lines.drop("bands").join(kept, ["d1", "d2"]).select("doc_id", "line_no", "first_doc_id", "first_line_no",
+                                                                same.alias("kept")), [read, unique])
 
 
 def _without(column: str):
@@ -210,6 +215,7 @@ def _without(column: str):
 def without_repeated_lines(docs: DataFrame, k: int = 8, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with every line gone that ``fuzzy_lines`` does not keep; all columns and rows stay."""
     own = free_name(docs, "gone")
-    gone = (fuzzy_lines(docs, k, num, den).where("not kept").groupBy("doc_id")
-            .agg(F.collect_set("line_no").alias(own)))
+    judged, states = _fuzzy_lines(docs, k, num, den)
+    gone = write_state(judged.where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias(own)), "gone")
+    drop_states(*states)
     return docs.join(gone, "doc_id", "left").select(*docs.columns, own).mapInArrow(_without(own), docs.schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import Sketch, blobs, by_bytes, maybe_in, utf8, write_state
+from wordloom.llm.common import Sketch, blobs, by_bytes, drop_states, maybe_in, utf8, write_state
 from wordloom.llm.linkjoin import POSTINGS, PROFILE, link_components, parities, postings
 from wordloom.llm.textgrams import mix, word_shingles
 
@@ -142,6 +142,20 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: in
     (component_id null). Equal sets are joined once, through the one with the
     smallest doc_id; repeated rows each come back. An empty table gives no rows.
     """
+    return _components(docs, n, num, den)[0]
+
+
+def written_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``ngram_jaccard_components`` as a table of the shared folder, for callers that read it several times;
+    the larger tables that it comes from go."""
+    found, states = _components(docs, n, num, den)
+    written = write_state(found, "components", None)
+    drop_states(*states)
+    return written
+
+
+def _components(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``ngram_jaccard_components``, and the tables of the shared folder that it reads."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     run, schema = _count(n)
     counted = write_state(texts.mapInArrow(run, schema), "shingle-counts")
@@ -164,4 +178,5 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: in
     named = classes.join(linked, "node", "left").withColumn("component_id", F.coalesce("component", "node"))
     return (rows.join(named, ["n_shingles", "s1", "s2"], "left")
             .select("doc_id", "n_shingles",
-                    F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")))
+                    F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")),
+            [counted, profile])
