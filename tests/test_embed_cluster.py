@@ -403,3 +403,46 @@ def test_subsampling_sends_no_token(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_a_large_group_is_searched_in_tiles():
+    """Groups of the spanning tree and of Ward's linkage hold more rows than a tile; the tree is the one of a single tile."""
+    import pandas as pd
+    from wordloom.operators import linkage, ward
+    from wordloom.operators.similarity import DENSE_BLOCK, QUERY_ROWS, plan_blocks
+    rng = np.random.default_rng(8)
+    n = 2 * QUERY_ROWS + 7
+    x = np.round(rng.normal(size=(n, 3)), 1)
+    one = pd.DataFrame({"doc_id": np.arange(n), "n": 1 + np.arange(n) % 3, "comp": np.arange(n) // 2, "vec": list(x)})
+    both = pd.concat([one.assign(is_query=True), one.assign(is_query=False)])
+    d2 = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(d2, np.inf)
+    m = one["n"].to_numpy(float)
+    height = np.round(np.sqrt(2 * m[:, None] * m[None] / (m[:, None] + m[None]) * d2), 12)
+    got = ward._nearest(both)
+    assert got["a"].tolist() == list(range(n)) and got["b"].tolist() == height.argmin(axis=1).tolist()
+    away = np.where(one["comp"].to_numpy()[:, None] == one["comp"].to_numpy()[None], np.inf, np.round(np.sqrt(d2), 12))
+    got = linkage._nearest_other(both)
+    assert got["a"].tolist() == list(range(n)) and got["b"].tolist() == away.argmin(axis=1).tolist()
+    assert plan_blocks(60_000, 60_000, 8, max_block_rows=DENSE_BLOCK) == (4, 4)  # not 59 x 59
+
+
+def test_trees_plan_large_groups(spark, monkeypatch):
+    from wordloom.operators import linkage, ward
+    from wordloom.operators.similarity import DENSE_BLOCK
+    points = spark.createDataFrame([(i, [float(i)]) for i in range(3)], "doc_id long, vec array<double>")
+
+    class Planned(Exception):
+        pass
+
+    def planned(*args, max_block_rows=1024):
+        raise Planned(max_block_rows)
+
+    for module, tree in ((linkage, linkage.minimum_spanning_tree), (ward, ward.ward_linkage)):
+        monkeypatch.setattr(module, "plan_blocks", planned)
+        try:
+            tree(points)
+        except Planned as seen:
+            assert seen.args == (DENSE_BLOCK,)
+        else:
+            raise AssertionError("no plan")
