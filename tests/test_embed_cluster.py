@@ -446,3 +446,18 @@ def test_trees_plan_large_groups(spark, monkeypatch):
             assert seen.args == (DENSE_BLOCK,)
         else:
             raise AssertionError("no plan")
+
+
+def test_kmeans_step_sends_no_shuffle(spark):
+    """A step's sums come from packed points, several rows a block; centres are the plain means."""
+    import numpy as np
+    rng = np.random.RandomState(4)
+    x = np.vstack([rng.rand(300, 3), rng.rand(200, 3) + 9])
+    pts = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "doc_id long, vec array<double>").repartition(5)
+    packed = C._packed(pts)
+    assert packed.count() < 500
+    got = C._centre_means(packed, [(0, [0.0] * 3), (1, [9.0] * 3)], "euclidean")
+    assert np.allclose(got[0], x[:300].mean(0)) and np.allclose(got[1], x[300:].mean(0))
+    assign, _ = C.kmeans(pts, 2)
+    groups = {frozenset(r["ids"]) for r in assign.groupBy("cluster_id").agg(F.collect_list("doc_id").alias("ids")).collect()}
+    assert groups == {frozenset(range(300)), frozenset(range(300, 500))}
