@@ -461,3 +461,21 @@ def test_kmeans_step_sends_no_shuffle(spark):
     assign, _ = C.kmeans(pts, 2)
     groups = {frozenset(r["ids"]) for r in assign.groupBy("cluster_id").agg(F.collect_list("doc_id").alias("ids")).collect()}
     assert groups == {frozenset(range(300)), frozenset(range(300, 500))}
+
+
+def test_lsi_blocks_grow_with_the_matrix(spark, monkeypatch):
+    """Fewer copies of the columns on a large matrix, bounded blocks; parts that leave in pieces give the same vectors."""
+    from wordloom.operators import lsi as L
+    assert L.block_sizes(8000, 204830) == (8192, 32768, 1024)
+    db, tb, chunk = L.block_sizes(410_000, 2_500_000)
+    assert 8192 < db <= L.MOST_DOCS and 32768 < tb <= L.MOST_TERMS and db % chunk == 0 and -(-2_500_000 // tb) < 77 // 3
+    assert L.block_sizes(10 ** 9, 10 ** 9) == (L.MOST_DOCS, L.MOST_TERMS, 1024)
+    rng = np.random.RandomState(6)
+    x = rng.rand(40, 30) * (rng.rand(40, 30) > 0.5)
+    w = _sparse(spark, x)
+    monkeypatch.setattr(L, "PIECE", 7)
+    fit = L.fit_svd(w, 4, width=6, tol=1e-6)
+    assert np.allclose(fit.values, np.linalg.svd(x)[1][:4], rtol=1e-9)
+    got = {r["doc_id"]: np.array(r["vec"]) for r in L.fold_in(w, fit.comps, normalize=False).collect()}
+    want = x @ np.linalg.svd(x)[2][:4].T
+    assert all(np.allclose(np.abs(got[d]), np.abs(want[d]), atol=1e-4) for d in got) and len(got) == 40
