@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from conftest import tiny_docs
@@ -9,6 +10,7 @@ from wordloom.functions import vectors as V
 from wordloom.operators import cluster as C
 from wordloom.operators import embed as E
 from wordloom.operators import sequence as S
+from wordloom.operators import similarity
 from wordloom.operators import weights as W
 
 
@@ -139,6 +141,35 @@ def test_spectral_separates_groups(spark):
         assert got[0] != got[1]
 
 
+def test_spectral_in_small_blocks(spark):
+    """Many blocks give the clusters of one; a step's vectors travel once a pair of blocks, not once an edge."""
+    rng = np.random.RandomState(5)
+    x = np.vstack([rng.randn(60, 3) + 4 * c for c in np.eye(3)])
+    pts = spark.createDataFrame([(7 * i, [float(v) for v in p]) for i, p in enumerate(x)], "doc_id long, vec array<double>")
+    one, many = ({r["doc_id"]: r["cluster_id"] for r in C.spectral(pts, 3, max_iter=6, block_nodes=n).collect()} for n in (1000, 9))
+    assert one == many and len(one) == 180
+    v = np.arange(8.0).reshape(4, 2)
+    takes = np.array([3, 1], "<i4").tobytes()
+    rows = pa.table({"s": pa.array([2, 2], pa.int32()), "t": pa.array([-1, 5], pa.int32()),
+                     "data": pa.array([v.tobytes(), takes], pa.binary())}).to_batches()
+    sent = pa.Table.from_batches(C._sent(2)(iter(rows))).to_pylist()
+    assert [(r["t"], r["s"]) for r in sent] == [(2, -1), (5, 2)]
+    assert (np.frombuffer(sent[1]["data"]).reshape(-1, 2) == v[[3, 1]]).all()
+
+
+def test_search_of_all_rows_for_all_rows(spark):
+    """The same nearest as with every row on both sides: copies, repeated ids and zero vectors too."""
+    rng = np.random.RandomState(6)
+    rows = [(i, [float(v) for v in rng.randint(0, 3, 4)]) for i in range(60)] + [(3, [1.0, 2.0, 0.0, 1.0]), (80, [0.0] * 4)]
+    pts = spark.createDataFrame(rows, "doc_id long, vec array<double>")
+    both = pts.withColumn("is_query", F.lit(True)).unionByName(pts.withColumn("is_query", F.lit(False)))
+    for metric in ("euclidean", "cosine"):
+        want = sorted(map(str, similarity.dense_topk_sided(both, 5, metric).collect()))
+        for block in (None, 11):
+            got = similarity.dense_topk_self(pts, 5, metric, block_rows=block)
+            assert sorted(map(str, got.collect())) == want
+
+
 def _sparse(spark, x):
     return spark.createDataFrame([(d, f"t{t:03d}", float(v)) for d, row in enumerate(x) for t, v in enumerate(row) if v],
                                  "doc_id long, term string, w double").repartition(5)
