@@ -8,10 +8,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.session import ensure_checkpoint_dir, shuffles_removed
+from wordloom.session import BATCH_ROWS, ensure_checkpoint_dir, shuffles_removed
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +23,6 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
 def write_state(df: DataFrame, name: str, rows: int | None = 2000) -> DataFrame:
     """Cut lineage: write ``df`` as a table in the shared folder and read it back.
 
@@ -120,16 +117,18 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def _sieved(df: DataFrame, column: str, keys: DataFrame, inside: bool) -> DataFrame:
-    spark = df.sparkSession
-    h = F.pmod(F.xxhash64(F.col(keys.columns[0])), F.lit(FILTER_BITS)) + 1
-    parts = (keys.select(h.alias("h")).groupBy(F.expr("bitmap_bucket_number(h)").alias("n"))
+def bits_of(keys: DataFrame, place: Column):
+    """A broadcast bit map of ``FILTER_BITS`` bits in which the bits at ``place`` of every row are set."""
+    parts = (keys.select((place + 1).alias("h")).groupBy(F.expr("bitmap_bucket_number(h)").alias("n"))
              .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("bits")).collect())
     whole = np.zeros(FILTER_BITS // 8, np.uint8)
     for n, bits in parts:
         whole[(n - 1) * 4096: n * 4096] = np.frombuffer(bits, np.uint8)
-    sieve = spark.sparkContext.broadcast(whole.tobytes())
+    return keys.sparkSession.sparkContext.broadcast(whole.tobytes())
 
+
+def _sieved(df: DataFrame, column: str, keys: DataFrame, inside: bool) -> DataFrame:
+    sieve = bits_of(keys, F.pmod(F.xxhash64(F.col(keys.columns[0])), F.lit(FILTER_BITS)))
     own = free_name(df, "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,9 +152,14 @@ def maybe_in(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     return _sieved(df, column, keys, True)
 
 
+def surely_out(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows that ``maybe_in`` leaves out: their ``column`` is null or not in ``keys``."""
+    return _sieved(df, column, keys, False)
+
+
 def without(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     """``df`` left-anti ``keys`` on ``column``; only rows the sieve cannot clear go through the join."""
-    return _sieved(df, column, keys, False).union(
+    return surely_out(df, column, keys).union(
         maybe_in(df, column, keys).join(keys.withColumnRenamed(keys.columns[0], column), column, "left_anti")
         .select(*df.columns))
 

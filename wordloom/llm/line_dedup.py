@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import Sketch, blobs, by_bytes, drop_states, free_name, maybe_in, utf8, write_state
+from wordloom.llm.common import FILTER_BITS, Sketch, bits_of, blobs, by_bytes, drop_states, free_name, maybe_in, surely_out, utf8, write_state
 from wordloom.llm.linkjoin import PLAIN_POSTINGS, PROFILE, link_components, parities, postings
 from wordloom.llm.textgrams import bands, char_shingles, distinct, sketches
 
@@ -96,18 +95,30 @@ def _postings(sketch_var):
     return run
 
 
-def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, wanted: line_no, line_id, d1, d2 structs) -> (node, payload): those lines, normalised."""
-    for batch in by_bytes(batches):
-        nodes, payloads = [], []
-        for text, wanted in zip(batch["text"].to_pylist(), batch["wanted"].to_pylist()):
-            lines = (text or "").split("\n")
-            for w in wanted:
-                plain = normal(lines[w["line_no"]]) if w["line_no"] < len(lines) else ""
-                if plain and _digest(plain) == struct.pack("<qq", w["d1"], w["d2"]):
-                    nodes.append(w["line_id"])
-                    payloads.append(plain.encode("utf-8", "surrogatepass"))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), blobs(payloads)], ["node", "payload"])
+def _line_bit(doc, line):
+    """A line's bit, from its doc_id and number (columns or arrays)."""
+    return doc * 2654435 + line * 40503
+
+
+def _fetch(wanted):
+    """(doc_id, text) -> (d1, d2, payload): the lines whose bits are set in ``wanted``, normalised."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(wanted.value, np.uint8)
+        for batch in by_bytes(batches):
+            found = {}
+            for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+                lines = (text or "").split("\n")
+                at = _line_bit(doc % FILTER_BITS, np.arange(len(lines))) % FILTER_BITS
+                for i in np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).tolist():
+                    if plain := normal(lines[i]):
+                        found.setdefault(plain, None)
+            digests = np.frombuffer(b"".join(map(_digest, found)), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(digests[:, 0]), pa.array(digests[:, 1]), blobs([x.encode("utf-8", "surrogatepass") for x in found])],
+                ["d1", "d2", "payload"])
+
+    return run
 
 
 def _shingle_sets(k: int):
@@ -168,25 +179,29 @@ def _fuzzy_lines(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame
     fetched = []  # the first round's nodes hold all that come later: a node in a group of two is in one of its pairs
 
     def payloads(nodes):
-        wanted = write_state(
-            unique.join(nodes.withColumnRenamed("node", "line_id"), "line_id", "left_semi")
-            .groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "line_id", "d1", "d2")).alias("wanted")),
-            "wanted")
+        ids = nodes.withColumnRenamed("node", "line_id")
+        wanted = write_state(maybe_in(unique.drop("bands"), "line_id", ids).join(ids, "line_id", "left_semi"), "wanted", None)
+        doc = F.pmod("doc_id", F.lit(FILTER_BITS))
+        bits = bits_of(wanted, F.pmod(_line_bit(doc, F.col("line_no").cast("long")), F.lit(FILTER_BITS)))
+        # lines travel, not documents; equal digests are equal lines, and the first of each stays where the join has put it
         fetched.append(write_state(
-            maybe_in(texts, "doc_id", wanted.select("doc_id")).join(wanted, "doc_id").select("text", "wanted")
-            .mapInArrow(_fetch, "node long, payload binary").dropDuplicates(["node"]), "payloads"))
+            maybe_in(texts, "doc_id", wanted.select("doc_id")).mapInArrow(_fetch(bits), "d1 long, d2 long, payload binary")
+            .join(wanted.select("d1", "d2", "line_id"), ["d1", "d2"]).dropDuplicates(["d1", "d2"])
+            .select(F.col("line_id").alias("node"), "payload"), "payloads"))
         drop_states(wanted)
         return fetched[-1]
 
     def profiles(nodes):
-        needed = fetched[0].join(nodes, "node", "left_semi").mapInArrow(_profiles(k), PROFILE)
-        return write_state(needed, "profiles"), fetched[0]
+        first = fetched.pop()
+        needed = write_state(maybe_in(first, "node", nodes).join(nodes, "node", "left_semi"), "payloads")
+        drop_states(first)
+        return write_state(needed.mapInArrow(_profiles(k), PROFILE), "profiles"), needed
 
     linked = link_components(
         unique.select("line_id", "bands").mapInArrow(_postings(sketch), PLAIN_POSTINGS), payloads,
         profiles, _shingle_sets(k), num, den, again=False).withColumnRenamed("node", "line_id")
     drop_states(*fetched)
-    member = unique.drop("bands").join(linked, "line_id")
+    member = maybe_in(unique.drop("bands"), "line_id", linked.select("line_id")).join(linked, "line_id")
     heads = member.groupBy("component").agg(F.min(F.struct("doc_id", "line_no")).alias("head"))
     kept = (unique.select("d1", "d2", "doc_id", "line_no")
             .join(member.join(heads, "component").select("d1", "d2", "head"), ["d1", "d2"], "left")
@@ -218,4 +233,8 @@ def without_repeated_lines(docs: DataFrame, k: int = 8, num: int = 80, den: int
     judged, states = _fuzzy_lines(docs, k, num, den)
     gone = write_state(judged.where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias(own)), "gone")
     drop_states(*states)
-    return docs.join(gone, "doc_id", "left").select(*docs.columns, own).mapInArrow(_without(own), docs.schema)
+    key = free_name(docs, "key")
+    keyed, ids = docs.withColumn(key, F.col("doc_id").cast("long")), gone.select(F.col("doc_id").alias(key))
+    cut = (maybe_in(keyed, key, ids).join(gone.withColumnRenamed("doc_id", key), key, "left").select(*docs.columns, own)
+           .mapInArrow(_without(own), docs.schema))
+    return surely_out(keyed, key, ids).select(*docs.columns).union(cut)

@@ -121,20 +121,25 @@ def _mix(docs: DataFrame, block: int, seed: int) -> DataFrame:
     spark, m = docs.sparkSession, lambda c: F.col(f"_mix_{c}")
     sized = (docs.withColumn("_mix_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
              .withColumn("_mix_source", F.col("source").cast("string"))
+             .withColumn("_mix_none", F.col("_mix_source").isNull())  # so that plain equality finds a null source
+             .withColumn("_mix_source", F.coalesce("_mix_source", F.lit("")))
              .withColumn("_mix_h", F.xxhash64(F.lit(seed), "doc_id", "_mix_size"))
              .withColumn("_mix_bucket", F.pmod("_mix_h", F.lit(BUCKETS)).cast("int"))
              .withColumn("_mix_shard", F.pmod("_mix_bucket", F.lit(SHARDS)).cast("int")))
-    totals = write_state(sized.groupBy(m("source").alias("s"), m("bucket").alias("b")).agg(F.sum("_mix_size").alias("tokens")),
+    totals = write_state(sized.groupBy("_mix_source", "_mix_none", "_mix_bucket").agg(F.sum("_mix_size").alias("tokens")),
                          "totals")
-    cells = totals.groupBy("s", F.pmod("b", F.lit(SHARDS)).alias("shard")).agg(F.sum("tokens"))
+    shard = F.pmod("_mix_bucket", F.lit(SHARDS))
+    named = F.when(~F.col("_mix_none"), F.col("_mix_source"))
+    cells = totals.groupBy(named.alias("s"), shard.alias("shard")).agg(F.sum("tokens"))
     plan = spark.createDataFrame(list(_plan([tuple(r) for r in cells.collect()], block, seed)), PLAN)
-    line = Window.partitionBy("s", F.pmod("b", F.lit(SHARDS))).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("s", "b", F.coalesce(F.sum("tokens").over(line), F.lit(0)).alias("_mix_base"))
-    inside = (Window.partitionBy("_mix_source", "_mix_bucket").orderBy("_mix_h", "doc_id")
-              .rowsBetween(Window.unboundedPreceding, -1))
+    keys = ["_mix_source", "_mix_none", "_mix_bucket"]
+    line = Window.partitionBy("_mix_source", "_mix_none", shard).orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*keys, F.coalesce(F.sum("tokens").over(line), F.lit(0)).alias("_mix_base"))
+    # the window and the join have the same keys: the rows with their texts travel once
+    inside = Window.partitionBy(*keys).orderBy("_mix_h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = (sized.withColumn("_mix_before", F.coalesce(F.sum("_mix_size").over(inside), F.lit(0)))
-              .join(starts, m("source").eqNullSafe(F.col("s")) & (m("bucket") == F.col("b"))).drop("s", "b")
-              .join(plan, m("source").eqNullSafe(m("name")) & (m("shard") == m("place"))))
+              .join(starts, keys)
+              .join(plan, named.eqNullSafe(m("name")) & (m("shard") == m("place"))))
 
     size, blocks, quota = m("size"), m("blocks"), m("quota")
     within = lambda p: F.least(F.floor(p / F.lit(block)), blocks - 1)

@@ -173,7 +173,8 @@ def _components(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
                 .mapInArrow(_sets(n), "node long, payload binary"))
 
     linked = link_components(profile.mapInArrow(_postings(sketch), POSTINGS), payloads,
-                             lambda nodes: (write_state(profile.join(nodes, "node", "left_semi"), "profiles"), None),
+                             lambda nodes: (write_state(maybe_in(profile, "node", nodes).join(nodes, "node", "left_semi"),
+                                                        "profiles"), None),
                              lambda raw: [np.frombuffer(x, np.uint64) for x in raw], num, den, bounds=profile)
     named = classes.join(linked, "node", "left").withColumn("component_id", F.coalesce("component", "node"))
     return (rows.join(named, ["n_shingles", "s1", "s2"], "left")
