@@ -510,3 +510,28 @@ def test_lsi_blocks_grow_with_the_matrix(spark, monkeypatch):
     got = {r["doc_id"]: np.array(r["vec"]) for r in L.fold_in(w, fit.comps, normalize=False).collect()}
     want = x @ np.linalg.svd(x)[2][:4].T
     assert all(np.allclose(np.abs(got[d]), np.abs(want[d]), atol=1e-4) for d in got) and len(got) == 40
+
+
+def test_word_vectors_from_marks(spark):
+    """A context's steps are made once a word and travel as one number; the vectors are those of a plain loop."""
+    import hashlib
+    rows = [(f"w{i % 17}", f"w{(i * 7) % 23}") for i in range(150)]
+    counts = {}
+    for a, b in rows:
+        k = (min(a, b), max(a, b))
+        counts[k] = counts.get(k, 0) + 1
+    pairs = spark.createDataFrame([(a, b, n) for (a, b), n in counts.items()], "term string, ctx string, n long").repartition(3)
+    info = E.ppmi(pairs, E.step_mark(20, 3))
+    plain = {(r["term"], r["ctx"]): r["ppmi"] for r in E.ppmi(pairs).collect()}
+    assert {(r["term"], r["ctx"]): r["ppmi"] for r in info.collect()} == plain
+    want = {}
+    for (a, b), x in plain.items():
+        v = want.setdefault(a, np.zeros(20))
+        for j in range(3):
+            h = hashlib.md5(f"{b}#{j}".encode()).hexdigest()
+            v[int(h[:8], 16) % 20] += x if h[8] < "8" else -x
+    for words in (None, 1, 20_000):
+        got = {r["term"]: np.array(r["vec"]) for r in E.indexed_word_vectors(info, 20, 3, words).collect()}
+        assert got.keys() == want.keys()
+        for t, v in want.items():
+            assert np.allclose(got[t], v / max(np.sqrt(v @ v), 1e-300), atol=1e-12)
