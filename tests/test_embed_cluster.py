@@ -535,3 +535,53 @@ def test_word_vectors_from_marks(spark):
         assert got.keys() == want.keys()
         for t, v in want.items():
             assert np.allclose(got[t], v / max(np.sqrt(v @ v), 1e-300), atol=1e-12)
+
+
+def test_spanning_tree_searches_all_pairs_once(spark, monkeypatch):
+    """Lists of nearest points make the tree of a plain Kruskal, ties and copies included; all pairs are searched once,
+    then only points whose list has run out."""
+    from wordloom.operators import linkage
+    rng = np.random.default_rng(4)
+    x = np.vstack([np.round(rng.normal(size=(60, 2)), 1), np.round(rng.normal(size=(40, 2)), 1) + 50, [[9.0, 9.0]] * 12])
+    ids = rng.permutation(len(x)) * 3
+    rows = [(int(i), [float(v) for v in p]) for i, p in zip(ids, x)]
+    pts = spark.createDataFrame(rows, "doc_id long, vec array<double>").repartition(4)
+    at = {i: np.array(v) for i, v in rows}
+    edges = sorted((round(float(np.sqrt(((at[a] - at[b]) ** 2).sum())), 12), a, b) for a in at for b in at if a < b)
+    root = {i: i for i in at}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    want = set()
+    for d, a, b in edges:
+        if top(a) != top(b):
+            root[top(a)] = top(b)
+            want.add((a, b, d))
+    asked = []
+    for name in ("dense_topk_self", "dense_topk_sided"):
+        plain = getattr(linkage, name)
+        monkeypatch.setattr(linkage, name, lambda df, *a, _f=plain, _n=name: asked.append(
+            (_n, df.where("is_query").count() if "is_query" in df.columns else df.count())) or _f(df, *a))
+    for k in (3, 16):
+        asked.clear()
+        got = {(r["a"], r["b"], round(r["height"], 12)) for r in linkage.minimum_spanning_tree(pts, neighbours=k).collect()}
+        assert got == want
+        assert [n for n, _ in asked].count("dense_topk_self") == 1 and all(n < len(x) for f, n in asked if f == "dense_topk_sided")
+
+
+def test_first_columns_are_few(monkeypatch):
+    """Only a tile's first columns are ranked whole; the nearest are those of one sort, at any tile size."""
+    rng = np.random.default_rng(3)
+    a, b = np.round(rng.normal(size=(40, 4)), 1), np.round(rng.normal(size=(900, 4)), 1)
+    whole = []
+    plain = similarity._dense_distances
+    monkeypatch.setattr(similarity, "_dense_distances", lambda x, y, *m: whole.append(len(y)) or plain(x, y, *m))
+    for metric in ("euclidean", "cosine"):
+        got = similarity._dense_tiles(np.arange(40), np.arange(900), a, b, metric, 5)
+        key = np.round(np.sqrt(((a[:, None] - b[None]) ** 2).sum(2)), 12) if metric == "euclidean" else np.round(
+            1 - (a[:, None] * b[None]).sum(2) / np.sqrt((a * a).sum(1)[:, None] * (b * b).sum(1)[None]), 12)
+        assert got["ref_id"].tolist() == np.argsort(key, axis=1, kind="stable")[:, :5].ravel().tolist()
+    assert whole == [similarity.FIRST_COLUMNS] * 2
